@@ -12,8 +12,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -51,14 +54,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, work, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, work, schema: str | StructType) -> DataFrame:
     """mapInArrow where `work` takes a pyarrow table of bounded text size and returns a dict of columns.
 
     An Arrow batch is cut into slices of about CHUNK_BYTES of its column `text`, so that the arrays of
     the vectorised steps stay small; a single longer text makes a slice of its own.
     """
-    fields = df.sparkSession.createDataFrame([], schema).schema
-    arrow = _arrow_schema(fields)
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,14 +72,8 @@ def map_batches(df: DataFrame, work, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(schema) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    lengths = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("text")), np.int64, batch.num_rows)
+    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
     while at < batch.num_rows:
         total = np.cumsum(lengths[at:])
