@@ -1,10 +1,15 @@
-"""The corpus pipeline: documents through quality rules, near-dedup, decontamination, PII and packing."""
+"""The corpus pipeline: documents through quality rules, near-dedup, decontamination, PII and packing.
+
+Every stage but the last takes and returns the columns of `documents`; run() writes each stage's result to
+the shared folder and reads it again as the next one's input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossierlake.llm import pii, quality
+from dossierlake.llm import decontaminate, neardup, packing, pii, quality
+from dossierlake.llm.common import staged, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,18 +17,32 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.filter_quality(docs)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind."""
     return pii.redact_pii(docs)
 
 
-STAGES = [("quality", keep_quality), ("pii", redact)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts' pieces and their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", keep_quality), ("near_dedup", drop_near_duplicates), ("decontamination", drop_contaminated), ("pii", redact), ("packing", pack)]
+#: The stages use sketches, hashes of shingles and a tokenizer, which SQL cannot express; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dossierlake.llm.common import staged, table
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
