@@ -31,32 +31,37 @@ def _is_number(word: F.Column) -> F.Column:
     return (word >= "0") & (word < ":") & word.rlike(NUMBER)
 
 
-def _canonical(raw: F.Column, before: F.Column) -> F.Column:
-    """literal (lower case, bare of edge marks), template (a placeholder where there is a slot) of one word, given the word before."""
-    bare = F.btrim(raw, F.lit(EDGES))
-    literal = F.lower(bare)
-    starts_sentence = F.right(before, F.lit(1)).isin(".", "!", "?", ":", "")
-    is_name = (bare != literal) & ~starts_sentence & bare.rlike(r"^\p{Lu}[\p{Ll}'-]+$")
-    is_unit = literal.isin(*UNITS) & _is_number(F.btrim(before, F.lit(EDGES)))
-    template = F.when(_is_number(literal), "<num>").when(is_unit, "<unit>").when(is_name, "<name>").otherwise(literal)
-    return F.struct(literal.alias("literal"), template.alias("template"))
+def _canonical(w: F.Column, before: F.Column) -> F.Column:
+    """literal (lower case, bare of edge marks) and template (a placeholder where there is a slot) of one word, given the word before."""
+    starts_sentence = F.right(before["raw"], F.lit(1)).isin(".", "!", "?", ":", "")
+    is_name = (w["bare"] != w["literal"]) & ~starts_sentence & w["bare"].rlike(r"^\p{Lu}[\p{Ll}'-]+$")
+    is_unit = w["literal"].isin(*UNITS) & _is_number(before["bare"])
+    template = F.when(_is_number(w["literal"]), "<num>").when(is_unit, "<unit>").when(is_name, "<name>").otherwise(w["literal"])
+    return F.struct(w["literal"].alias("literal"), template.alias("template"))
 
 
-def canonical_words(text: F.Column) -> F.Column:
-    """Array of (literal, template) of a text's words; words of marks alone are left out."""
-    raw = F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda x: F.btrim(x, F.lit(EDGES)) != "")
-    return F.transform(raw, lambda x, i: _canonical(x, F.when(i == 0, "").otherwise(F.get(raw, i - 1))))
+def canonical_words(df: DataFrame, *keys: str, name: str = "words") -> DataFrame:
+    """keys and an array of (literal, template) of the words of `text`; words of marks alone are left out.
+
+    Each step is a projection of its own: inside a lambda, an array that is not a column would be
+    computed again for every word.
+    """
+    split = F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+")
+    bare = F.transform(split, lambda x: F.struct(x.alias("raw"), F.btrim(x, F.lit(EDGES)).alias("bare")))
+    own = F.transform(F.filter(bare, lambda w: w["bare"] != ""), lambda w: F.struct(w["raw"].alias("raw"), w["bare"].alias("bare"), F.lower(w["bare"]).alias("literal")))
+    none = F.struct(*[F.lit("").alias(x) for x in ("raw", "bare", "literal")])
+    before = F.slice(F.concat(F.array(none), F.col("_own")), F.lit(1), F.size("_own"))
+    return df.select(*keys, own.alias("_own")).select(*keys, F.zip_with("_own", before, _canonical).alias(name))
 
 
 def _windows(df: DataFrame, keys: list[str], window: int, least_literal: int | None = None) -> DataFrame:
     """keys, at (window start) and hash: of every literal window, and of every window with slots.
 
-    Arrays of word hashes are laid down first; each step is a projection of its own, so that no array is
-    computed twice.
+    Arrays of word hashes are laid down first, for the same reason as in canonical_words.
     """
     hashed = df.select(*keys, F.transform("words", lambda w: F.xxhash64(w["literal"])).alias("lit"), F.transform("words", lambda w: F.xxhash64(w["template"])).alias("tpl"))
-    hashed = hashed.filter(F.size("lit") >= window)
-    starts = F.sequence(F.lit(0), F.size("lit") - window)
+    # no filter on the number of words: pushed down, it would compute the words a second time
+    starts = F.when(F.size("lit") >= window, F.sequence(F.lit(0), F.size("lit") - window)).otherwise(F.array().cast("array<int>"))
     of = lambda name: F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(F.col(name), i + k) for k in range(window)]).alias("hash")))
     both = hashed.select(*keys, "lit", "tpl", of("lit").alias("wl"), of("tpl").alias("wt"))
     slotted = F.filter("wt", lambda w: w["hash"] != F.get("wl", w["at"])["hash"])
@@ -67,7 +72,7 @@ def _windows(df: DataFrame, keys: list[str], window: int, least_literal: int | N
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("mark"), canonical_words(F.col("text")).alias("words"))
+    return canonical_words(docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("mark"), "text"), "doc_id", "mark")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, short_window: int = SHORT_WINDOW) -> DataFrame:
@@ -79,7 +84,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     document; a repeated item is found under each of its ids; null ids stay null. An empty table on
     either side gives no rows. Columns besides doc_id, text, item_id and text are not read.
     """
-    items = staged(benchmark.select("item_id", canonical_words(F.col("text")).alias("words")).filter(F.size("words") >= short_window), "benchmark-words")
+    items = staged(canonical_words(benchmark.select("item_id", "text"), "item_id"), "benchmark-words").filter(F.size("words") >= short_window)
     found = None
     for size, least, own in ((window, LEAST_LITERAL, items.filter(F.size("words") >= window)), (short_window, SHORT_LITERAL, items.filter(F.size("words") < window))):
         marks = staged(_windows(own, ["item_id"], size, least).withColumnsRenamed({"at": "item_at"}).withColumn("of", F.lit(size)).distinct(), "benchmark-windows")
@@ -95,7 +100,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
     keys = hits.select(F.col("doc_id").alias("id_"), F.col("mark").alias("mark_")).distinct()
     held = docs.withColumn("mark", F.hash(F.coalesce("text", F.lit("")))).join(keys, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_")), "left_semi")
-    words = held.select(F.col("doc_id").alias("id_"), F.col("mark").alias("mark_"), canonical_words(F.col("text")).alias("theirs")).distinct()
+    once = held.select(F.col("doc_id").alias("id_"), F.col("mark").alias("mark_"), "text").dropDuplicates(["id_", "mark_"])
+    words = canonical_words(once, "id_", "mark_", name="theirs")
     aligned = hits.join(words, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_"))).join(items.select(F.col("item_id").alias("item_"), "words"), F.col("item_id").eqNullSafe(F.col("item_")))
     whole = (F.col("of") == window) | (F.col("n_windows") == F.size("words") - F.col("of") + 1)
     length = (F.col("high") - F.col("low") + F.col("of")).cast("int")
