@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("text",)
 
 
 def load() -> None:
