@@ -23,7 +23,31 @@ def _folds() -> tuple[str, str]:
 ACCENTED, PLAIN = _folds()
 
 # Words that carry no meaning in a query.
-STOPWORDS = ["the", "and", "for", "with", "what", "which", "how", "document", "file"]
+STOPWORDS = [
+    "the", "and", "for", "with", "what", "which", "how", "does", "define", "defined", "definition", "code", "hscode", "hang", "hoa", "san", "pham", "duoc", "dinh", "nghia", "thuoc", "loai", "nao",
+    "cua", "cho", "trong", "mot", "cac", "voi", "hon", "khac", "thay", "khong", "phai", "more", "less", "than", "compared", "compare", "versus", "which", "has", "have", "having", "belong", "belongs",
+    "is", "are", "was", "were", "this", "that",
+]
+
+# Words too general to be evidence on their own.
+WEAK_TOKENS = ["chapter", "chuong", "noi", "dung", "tom", "tat", "liet", "ke", "main", "content", "summary", "document", "file"]
+
+# Phrases that set a query off against something else.
+CONTRAST_PHRASES = [
+    "so voi", "khac voi", "khac", "thay vi", "khong phai", "it hon", "nhieu hon", "dai hon", "dang hon", "hon", "less than", "more than", "compared to", "rather than", "instead of", "different from",
+]
+
+# Physical attributes, usages and trade forms that a query may name.
+PHYSICAL_TERMS = [
+    "bitter", "sweet", "mild", "smooth", "coarse", "coarser", "aroma", "texture", "caffeine", "high caffeine", "higher caffeine", "low acidity", "higher acidity", "acidity", "round", "rounder", "oval", "long",
+    "longer", "large", "larger", "balanced", "deformity", "wound", "disease", "appearance", "physical", "shape", "size", "weight", "moisture", "content",
+]
+USAGE_TERMS = [
+    "usage", "used", "use", "ingredient", "instant coffee", "specialty coffee", "espresso", "breeding", "sowing", "planting", "incense", "perfume", "human consumption", "laboratory", "demonstration",
+]
+TRADE_TERMS = [
+    "fresh", "frozen", "dry", "dried", "roast", "roasted", "raw", "processed", "beans", "chips", "wood chips", "powder", "seedling", "seedlings", "budwood", "stumps", "meat paste", "deboned", "separated",
+]
 
 # Comparative and participle forms and the words they stand for.
 TOKEN_FORMS = {

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text",)
+MODULES: tuple[str, ...] = ("text", "qa", "rank")
 
 
 def load() -> None:
