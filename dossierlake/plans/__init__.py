@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text", "qa", "rank")
+MODULES: tuple[str, ...] = ("text", "qa", "rank", "corpus")
 
 
 def load() -> None:
