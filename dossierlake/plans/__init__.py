@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text", "qa", "rank", "corpus")
+MODULES: tuple[str, ...] = ("text", "qa", "rank", "corpus", "layout")
 
 
 def load() -> None:
