@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text", "qa", "rank", "corpus", "layout")
+MODULES: tuple[str, ...] = ("text", "qa", "rank", "corpus", "layout", "checks")
 
 
 def load() -> None:

@@ -131,12 +131,12 @@ def citation_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "gap_sessionize",
-    """WITH e AS (SELECT event_id, user_id, ts, epoch_ms(ts) - lag(epoch_ms(ts)) OVER w > 1800000 AS far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    """WITH e AS (SELECT event_id, user_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER w > 1800000000 AS far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     SELECT event_id, user_id, CAST(sum(CAST(coalesce(far, false) AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM e""",
 )
 def gap_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("at", F.unix_millis(F.col("ts").cast("timestamp")))
-    return corpus.sessions(e, ["user_id"], "at", ["ts", "event_id"], 1800000).select("event_id", "user_id", "session")
+    e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return corpus.sessions(e, ["user_id"], "at", ["ts", "event_id"], 1800000000).select("event_id", "user_id", "session")
 
 
 @query(
