@@ -72,12 +72,12 @@ def map_batches(df: DataFrame, work, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
     while at < batch.num_rows:
         total = np.cumsum(lengths[at:])
-        n = max(1, int(np.searchsorted(total, CHUNK_BYTES, "right")))
+        n = max(1, int(np.searchsorted(total, most, "right")))
         yield batch.slice(at, n)
         at += n
 
