@@ -39,8 +39,8 @@ def check(docs, got, rule, names):
 
 
 def base_spans(text):
-    found = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)] if len(text) < 5000 else [("email", len(text) - 8003, len(text))] if "@" in text else []
-    found += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text if "9" * 5000 != text else "") if all(int(x) <= 255 for x in m[0].split("."))]
+    found = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
     found += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(d := re.sub(r"\D", "", m[0])) <= 19 and luhn(d)]
     found += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub(r"[^0-9]", "", m[0])) <= 15]
     return sorted(found, key=lambda x: (x[1], pii.KINDS.index(x[0])))
@@ -78,7 +78,7 @@ def test_licenses(docs):
     check(docs, got, rule, ("n_words", "n_base", "first_word", "last_word", "base_labels"))
     labels = {r.doc_id: (r.labels, r.score) for r in got}
     assert labels[22] == ("gpl-3", 1.0) and labels[0] == ("", 0.0) and labels[23][0] == ""
-    assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
+    assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
 
 
 def quality_rule(text):
