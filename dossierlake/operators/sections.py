@@ -89,11 +89,10 @@ def layout_sections(blocks: DataFrame) -> DataFrame:
     code = F.regexp_extract("text", r"\d{4}\.\d{2}\.\d{2}", 0)
     w = Window.partitionBy("document").orderBy("order", "block_id")
     marked = blocks.withColumns({"code": F.nullif(code, F.lit("")), "n": F.row_number().over(w)})
-    first = marked.filter("code IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy("document", "code").orderBy("n"))).filter("k = 1")
-    bounds = first.select("document", "code", F.col("n").alias("low"), F.coalesce(F.lead("n").over(Window.partitionBy("document").orderBy("n")) - 1, F.lit(2**31 - 1)).alias("high"))
-    rows = marked.select(F.col("document").alias("d"), F.col("n").alias("at"), "page")
-    met = bounds.join(rows, (F.col("document") == F.col("d")) & F.col("at").between(F.col("low"), F.col("high")))
-    return met.groupBy("document", "code").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"))
+    nth = F.when(F.col("code").isNotNull(), F.row_number().over(Window.partitionBy("document", "code").orderBy("n")))
+    opened = F.last(F.when(F.col("nth") == 1, F.col("code")), ignorenulls=True).over(Window.partitionBy("document").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    held = marked.withColumn("nth", nth).withColumn("section", opened).filter("section IS NOT NULL")
+    return held.groupBy("document", F.col("section").alias("code")).agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"))
 
 
 def section_map(docs: DataFrame, blocks: DataFrame) -> DataFrame:

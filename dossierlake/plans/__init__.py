@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text", "qa", "rank", "corpus", "layout", "checks")
+MODULES: tuple[str, ...] = ("text", "qa", "rank", "corpus", "layout", "checks", "documents")
 
 
 def load() -> None:
