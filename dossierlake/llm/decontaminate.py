@@ -61,10 +61,15 @@ def _windows(df: DataFrame, keys: list[str], window: int, least_literal: int | N
     """
     hashed = df.select(*keys, F.transform("words", lambda w: F.xxhash64(w["literal"])).alias("lit"), F.transform("words", lambda w: F.xxhash64(w["template"])).alias("tpl"))
     # no filter on the number of words: pushed down, it would compute the words a second time
-    starts = F.when(F.size("lit") >= window, F.sequence(F.lit(0), F.size("lit") - window)).otherwise(F.array().cast("array<int>"))
-    of = lambda name: F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(F.col(name), i + k) for k in range(window)]).alias("hash")))
-    both = hashed.select(*keys, "lit", "tpl", of("lit").alias("wl"), of("tpl").alias("wt"))
-    slotted = F.filter("wt", lambda w: w["hash"] != F.get("wl", w["at"])["hash"])
+    none = F.array().cast("array<int>")
+    fits = F.size("lit") >= window
+    starts = F.when(fits, F.sequence(F.lit(0), F.size("lit") - window)).otherwise(none)
+    slots = F.filter(F.when(fits, F.sequence(F.lit(0), F.size("lit") - 1)).otherwise(none), lambda i: F.get("lit", i) != F.get("tpl", i))
+    around = lambda p: F.sequence(F.greatest(p - (window - 1), F.lit(0)), F.least(p, F.size("lit") - window))
+    slot_starts = F.array_distinct(F.flatten(F.transform(slots, around)))
+    of = lambda at, name: F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(F.col(name), i + k) for k in range(window)]).alias("hash")))
+    both = hashed.select(*keys, "lit", "tpl", of(starts, "lit").alias("wl"), of(slot_starts, "tpl").alias("wt"))
+    slotted = F.col("wt")
     if least_literal is not None:
         literals = lambda w: F.size(F.filter(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.get("lit", w["at"] + k) == F.get("tpl", w["at"] + k)))
         slotted = F.filter(slotted, lambda w: literals(w) >= least_literal)
