@@ -80,11 +80,22 @@ def near_any(blocks: DataFrame, most_gap: int = 96) -> DataFrame:
     return images.join(texts, (F.col("page") == F.col("b_page")) & near, "left_semi").select("page", F.col("a_block_id").alias("block_id"))
 
 
+def _by_page(blocks: DataFrame, columns: list[str], fold, schema: str) -> DataFrame:
+    """fold over the rows of every page; neighbouring pages share a group, since a call for each page would cost more than its work."""
+
+    def pages(group: pd.DataFrame) -> pd.DataFrame:
+        by_page: dict[int, list[dict]] = {}
+        for r in group.to_dict("records"):
+            by_page.setdefault(r["page"], []).append(r)
+        return pd.DataFrame([row for rows in by_page.values() for row in fold(rows)], columns=[x.split()[0] for x in schema.split(", ")])
+
+    return blocks.select(*columns).groupBy(F.floor(F.col("page") / 256).alias("_pages")).applyInPandas(lambda _, g: pages(g), schema)
+
+
 def clusters(blocks: DataFrame, most_gap: int = 42) -> DataFrame:
     """Connected groups of near blocks of one kind on a page: page, block_id, cluster (its smallest id)."""
 
-    def join_up(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.to_dict("records")
+    def join_up(rows: list[dict]) -> list[tuple]:
         up = list(range(len(rows)))
 
         def top(i: int) -> int:
@@ -101,18 +112,17 @@ def clusters(blocks: DataFrame, most_gap: int = 42) -> DataFrame:
         least: dict[int, int] = {}
         for i, r in enumerate(rows):
             least[top(i)] = min(least.get(top(i), r["block_id"]), r["block_id"])
-        return pd.DataFrame({"page": group["page"], "block_id": group["block_id"], "cluster": [least[top(i)] for i in range(len(rows))]})
+        return [(r["page"], r["block_id"], least[top(i)]) for i, r in enumerate(rows)]
 
-    return blocks.select("page", "block_id", "kind", "x0", "y0", "x1", "y1").groupBy("page").applyInPandas(join_up, "page long, block_id long, cluster long")
+    return _by_page(blocks, ["page", "block_id", "kind", "x0", "y0", "x1", "y1"], join_up, "page long, block_id long, cluster long")
 
 
 def greedy_dedupe(blocks: DataFrame, least_iou: float = 0.5) -> DataFrame:
     """Largest first, a block stays unless it overlaps one that stays by `least_iou`; the order matters, so pages are folded one by one."""
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(group.to_dict("records"), key=lambda r: (-(r["x1"] - r["x0"]) * (r["y1"] - r["y0"]), r["block_id"]))
+    def fold(rows: list[dict]) -> list[tuple]:
         kept, of = [], {}
-        for r in rows:
+        for r in sorted(rows, key=lambda r: (-(r["x1"] - r["x0"]) * (r["y1"] - r["y0"]), r["block_id"])):
             for k in kept:
                 w, h = min(r["x1"], k["x1"]) - max(r["x0"], k["x0"]), min(r["y1"], k["y1"]) - max(r["y0"], k["y0"])
                 both = max(w, 0) * max(h, 0)
@@ -122,6 +132,7 @@ def greedy_dedupe(blocks: DataFrame, least_iou: float = 0.5) -> DataFrame:
                     break
             else:
                 kept.append(r)
-        return pd.DataFrame({"page": group["page"], "block_id": group["block_id"], "duplicate_of": [of.get(x) for x in group["block_id"]]}).astype({"duplicate_of": "Int64"})
+        return [(r["page"], r["block_id"], of.get(r["block_id"])) for r in rows]
 
-    return blocks.select("page", "block_id", "x0", "y0", "x1", "y1").groupBy("page").applyInPandas(fold, "page long, block_id long, duplicate_of long")
+    duplicates = _by_page(blocks, ["page", "block_id", "x0", "y0", "x1", "y1"], fold, "page long, block_id long, duplicate_of double")
+    return duplicates.withColumn("duplicate_of", F.when(~F.isnan("duplicate_of"), F.col("duplicate_of").cast("long")))
