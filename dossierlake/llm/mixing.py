@@ -38,7 +38,6 @@ MAP = 33
 RATE = 0.1
 PART_BYTES = 1 << 17  # text that is predicted at once, so that its arrays stay in the cache
 STEP = 1 << 14  # decisions between two changes of the weights
-LEARN_ALL, LEARN_EVERY = 16, 8  # the first parts of a task all adjust the weights, later ones in turn
 FREQUENT = 1 << 18  # tokens whose counts are broadcast
 
 
@@ -217,7 +216,7 @@ class Trainer:
     def add(self, texts: list[str]) -> None:
         data, offsets = symbols(texts)
         contexts = context_hashes(data, offsets)
-        learn = 0 < self.parts < LEARN_ALL or self.parts % LEARN_EVERY == LEARN_EVERY - 1
+        learn = self.parts > 0  # before the first part is counted, all log odds are zero
         seen: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
         for here, node, branch in decisions(self.code, data):
             own = [slot_of(c[here], node) for c in contexts]

@@ -213,6 +213,17 @@ def test_model_is_a_distribution_and_learns():
     assert sum(2.0**-d for d in one.values()) == pytest.approx(1)
 
 
+def test_every_part_adjusts_the_weights_and_the_map():
+    texts = [f"part {k} of a long task, which learns from all of them" for k in range(40)]
+    counts = np.bincount(mixing.symbols(texts)[0], minlength=256).astype(float)
+    trainer = mixing.Trainer(mixing.Code(counts))
+    for t in texts:
+        trainer.add([t])
+    made = sum(int(trainer.code.depth[mixing.symbols([t])[0]].sum()) for t in texts[1:])  # the first part meets empty counts
+    assert trainer.mixer.grown.sum() == made
+    assert (trainer.mixer.map[1] - mixing.Mixer().map[1]).sum() == made
+
+
 def test_held_out_texts_cost_less_than_under_a_two_byte_model(spark):
     """Against another proper distribution over texts, learned from the same documents: counts after the last two bytes, smoothed over 257 symbols."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
