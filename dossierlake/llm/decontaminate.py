@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Words are brought to a common form; numbers, names and units also to typed placeholders. Windows of both
-forms are hashed and joined with the benchmark's windows. Along each alignment of a document with an item
-the slots must map one to one, so a question with other numbers or names is found, and chance is not.
+forms are hashed and joined with the benchmark's windows. A literal window counts as it is; in a template
+window equal slots of the item must be equal in the document, so a question with other numbers or names is
+found, and chance is not.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def canonical_words(df: DataFrame, *keys: str, name: str = "words") -> DataFrame
 
 
 def _windows(df: DataFrame, keys: list[str], window: int, least_literal: int | None = None) -> DataFrame:
-    """keys, at (window start) and hash: of every literal window, and of every window with slots.
+    """keys, at (window start), hash and verbatim: of every literal window, and of every window with slots.
 
     Arrays of word hashes are laid down first, for the same reason as in canonical_words.
     """
@@ -67,13 +68,13 @@ def _windows(df: DataFrame, keys: list[str], window: int, least_literal: int | N
     slots = F.filter(F.when(fits, F.sequence(F.lit(0), F.size("lit") - 1)).otherwise(none), lambda i: F.get("lit", i) != F.get("tpl", i))
     around = lambda p: F.sequence(F.greatest(p - (window - 1), F.lit(0)), F.least(p, F.size("lit") - window))
     slot_starts = F.array_distinct(F.flatten(F.transform(slots, around)))
-    of = lambda at, name: F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(F.col(name), i + k) for k in range(window)]).alias("hash")))
+    of = lambda at, name: F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(F.col(name), i + k) for k in range(window)]).alias("hash"), F.lit(name == "lit").alias("verbatim")))
     both = hashed.select(*keys, "lit", "tpl", of(starts, "lit").alias("wl"), of(slot_starts, "tpl").alias("wt"))
     slotted = F.col("wt")
     if least_literal is not None:
         literals = lambda w: F.size(F.filter(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.get("lit", w["at"] + k) == F.get("tpl", w["at"] + k)))
         slotted = F.filter(slotted, lambda w: literals(w) >= least_literal)
-    return both.select(*keys, F.explode(F.concat("wl", slotted)).alias("w")).select(*keys, "w.at", "w.hash")
+    return both.select(*keys, F.explode(F.concat("wl", slotted)).alias("w")).select(*keys, "w.at", "w.hash", "w.verbatim")
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -96,8 +97,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
         n = marks.count()
         if not n:
             continue
-        hits = _windows(_words(docs), ["doc_id", "mark"], size).join(F.broadcast(marks) if n <= MOST_BROADCAST else marks, "hash")
-        hits = hits.groupBy("doc_id", "mark", "item_id", "of", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("n_windows"), F.min("item_at").alias("low"), F.max("item_at").alias("high"))
+        hits = _windows(_words(docs), ["doc_id", "mark"], size).drop("verbatim").join(F.broadcast(marks) if n <= MOST_BROADCAST else marks, "hash")
+        hits = hits.groupBy("doc_id", "mark", "item_id", "of", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set(F.when(F.col("verbatim"), F.col("item_at"))).alias("verbatim"), F.collect_set("item_at").alias("at"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, n_words long, n_slots long, n_changed long")
@@ -108,16 +109,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     once = held.select(F.col("doc_id").alias("id_"), F.col("mark").alias("mark_"), "text").dropDuplicates(["id_", "mark_"])
     words = canonical_words(once, "id_", "mark_", name="theirs")
     aligned = hits.join(words, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_"))).join(items.select(F.col("item_id").alias("item_"), "words"), F.col("item_id").eqNullSafe(F.col("item_")))
-    whole = (F.col("of") == window) | (F.col("n_windows") == F.size("words") - F.col("of") + 1)
-    length = (F.col("high") - F.col("low") + F.col("of")).cast("int")
-    pairs = F.zip_with(F.slice("words", F.col("low") + 1, length), F.slice("theirs", (F.col("low") + F.col("shift") + 1).cast("int"), length), lambda a, b: F.struct(a["literal"].alias("a"), b["literal"].alias("b"), a["template"].alias("ta"), b["template"].alias("tb")))
-    slots = F.filter("pairs", lambda p: (p["ta"] == p["tb"]) & ((p["ta"] != p["a"]) | (p["a"] != p["b"])))
-    told = aligned.filter(whole).select("doc_id", "item_id", "n_windows", length.alias("n_words"), pairs.alias("pairs")).select("doc_id", "item_id", "n_windows", "n_words", slots.alias("slots"))
-    # one to one within each type of placeholder
-    distinct = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda p: F.struct(p["ta"], *[p[x] for x in names]))))
-    consistent = told.filter((distinct("a") == distinct("a", "b")) & (distinct("b") == distinct("a", "b")))
+    low = F.array_min("at")
+    length = (F.array_max("at") - low + F.col("of")).cast("int")
+    pairs = F.zip_with(F.slice("words", low + 1, length), F.slice("theirs", (low + F.col("shift") + 1).cast("int"), length), lambda a, b: F.struct(a["literal"].alias("a"), b["literal"].alias("b"), a["template"].alias("ta"), b["template"].alias("tb")))
+    spans = aligned.select("doc_id", "item_id", "of", "at", "verbatim", low.alias("low"), F.size("words").alias("size"), pairs.alias("pairs"))
+    slots_of = lambda own: F.filter(own, lambda p: (p["ta"] == p["tb"]) & ((p["ta"] != p["a"]) | (p["a"] != p["b"])))
+    distinct = lambda own, *names: F.size(F.array_distinct(F.transform(slots_of(own), lambda p: F.struct(p["ta"], *[p[x] for x in names]))))
+    # within each type of placeholder, what is equal in the item stays equal; what differs may become equal
+    consistent = lambda own: distinct(own, "a") == distinct(own, "a", "b")
+    part = lambda x: F.slice("pairs", x - F.col("low") + 1, F.col("of"))
+    each = F.filter("at", lambda x: F.array_contains("verbatim", x) | consistent(part(x)))
+    whole = F.when((F.size("at") == F.col("size") - F.col("of") + 1) & consistent(F.col("pairs")), F.col("at")).otherwise(F.array().cast("array<int>"))
+    told = spans.withColumn("at", F.when(F.col("of") == window, each).otherwise(whole)).filter(F.size("at") > 0)
+    covered = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x, x + F.col("of") - 1))))
+    told = told.withColumn("covered", covered)
+    slots = slots_of(F.filter("pairs", lambda p, i: F.array_contains("covered", i + F.col("low"))))
+    told = told.select("doc_id", "item_id", F.size("at").alias("n_windows"), F.size("covered").alias("n_words"), slots.alias("slots"))
     changed = F.size(F.filter("slots", lambda p: p["a"] != p["b"]))
-    return consistent.groupBy("doc_id", "item_id").agg(
+    return told.groupBy("doc_id", "item_id").agg(
         F.max(F.struct("n_windows", "n_words", F.size("slots").alias("n_slots"), changed.alias("n_changed"))).alias("best")
     ).select("doc_id", "item_id", F.col("best.n_windows").cast("long").alias("n_windows"), F.col("best.n_words").cast("long").alias("n_words"), F.col("best.n_slots").cast("long").alias("n_slots"), F.col("best.n_changed").cast("long").alias("n_changed"))
 

@@ -173,6 +173,17 @@ def test_templates(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(frame, bench).collect()} == {3, 4, 5, 6}
 
 
+def test_literal_windows_count_alone_and_slots_may_become_equal(spark):
+    item = "A farmer sells 3 boxes of pears and then 5 boxes of plums at the market, so how many boxes of fruit are sold by him today in all"
+    twice = "A train with 12 coaches leaves the northern station at noon and carries some people home while another one with 12 coaches waits on the other side"
+    rows = [(1, item.replace("3", "4").replace("5", "4")), (2, twice.replace("12", "30", 1)), (3, " ".join(item.split()[:12])), (4, "A train with 12 coaches leaves the town")]
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(10, item), (11, twice)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame, bench).collect()}
+    assert set(got) == {(1, 10), (2, 11)}
+    assert got[1, 10].n_changed == 2 and got[2, 11].n_words == 27
+    assert {r.doc_id for r in decontaminate.drop_contaminated(frame, bench).collect()} == {3, 4}
+
+
 def test_benchmark_passages_of_the_supplied_table(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r.item_id: " ".join(words_of(lowered(r.text))) for r in bench.collect()}
