@@ -8,6 +8,7 @@ of squared counts of open sequences per residual gap; a new sequence opens only
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -32,23 +33,29 @@ def _byte_of() -> dict[str, int]:
 
 
 def load_encoding(path: str):
-    """The byte-level BPE of a tokenizers file, as an encoding of the faster of the two libraries that share the vocabulary."""
+    """The byte-level BPE of a tokenizers file, as an encoding of tiktoken (the faster library; tests hold it against tokenizers), and the ids of the file's added tokens, which no ordinary text may become part of."""
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {x["content"] for x in model.get("added_tokens", [])}
+    added = model.get("added_tokens", [])
+    if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens with conditions or normalisation are not supported")
+    special = {x["content"]: x["id"] for x in added}
     byte_of = _byte_of()
     ranks = {bytes(byte_of[c] for c in word): rank for word, rank in model["model"]["vocab"].items() if word not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
 
 class WordCache(dict):
     """Little-endian ids of a chunk of text; filled on demand and emptied when full."""
 
     def __init__(self, path: str):
-        self.encode = load_encoding(path).encode_ordinary
+        encoding, special = load_encoding(path)
+        self.encode = encoding.encode_ordinary
+        self.special = {x: np.array([i], "<u4").tobytes() for x, i in special.items()}
+        self.split = re.compile("(" + "|".join(re.escape(x) for x in sorted(special, key=len, reverse=True)) + ")").split if special else None
 
     def __missing__(self, chunk: str) -> bytes:
         ids = np.array(self.encode(chunk), "<u4").tobytes()
@@ -59,7 +66,13 @@ class WordCache(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        """Ids of a whole text. A blank before a non-blank always begins a new token, so chunks cut there encode alone."""
+        """Ids of a whole text, cut at the added tokens first."""
+        if self.split and any(x in text for x in self.special):
+            return b"".join(self.special.get(x) or self.ordinary(x) for x in self.split(text))
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
+        """Ids of a text without added tokens. A blank before a non-blank always begins a new token, so chunks cut there encode alone."""
         if not text:
             return b""
         pieces = text.split(" ")

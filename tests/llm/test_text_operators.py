@@ -144,6 +144,19 @@ def test_word_cache_equals_tokenizer():
         assert [int.from_bytes(x, "little") for x in (cache.ids(t)[i : i + 4] for i in range(0, len(cache.ids(t)), 4))] == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_added_tokens_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+    import numpy as np
+
+    tok, cache, mark = Tokenizer.from_file(packing.default_tokenizer()), packing.WordCache(packing.default_tokenizer()), "<|endoftext|>"
+    texts = [f"abc {mark} def", mark, mark * 3, f"a  {mark}  b", f"\n{mark}\n\n x", f"<|{mark}|>", mark[:-1], mark.upper(), f"it{mark}'s", f"<|endoftext{mark}"]
+    for t in texts:
+        assert np.frombuffer(cache.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    assert np.frombuffer(cache.ids(texts[0]), "<u4").tolist() == [39305, 220, 50256, 825]
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.ids_crc32 for r in got} == {i: zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in enumerate(texts)}
+
+
 def test_archives(spark):
     rows = [(3, "u3", "same"), (1, "u1", "same"), (2, "u2", None), (5, "u5", ""), (4, "u 4\n", "é" * 100), (3, "u3", "same"), (None, "n", "same"), (None, None, "alone")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
