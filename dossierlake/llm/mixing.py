@@ -2,7 +2,8 @@
 
 A text is coded symbol by symbol (its bytes, A-Z lowered, then an end symbol), each symbol as the binary
 decisions of a code tree made from the training bytes. For every decision several predictors look up
-counts under hashed contexts (the last 3 bytes, the last 5, and the word so far). Their log odds are mixed by weights chosen by a gate, and an adaptive map refines the result.
+counts under hashed contexts (the last 1, 2, 3 and 5 bytes, the word so far, and the word so far with the
+word before). Their log odds are mixed by weights chosen by a gate, and an adaptive map refines the result.
 
 Training runs over all training texts: each task predicts a chunk with what it has learned, adjusts its
 weights, then adds the chunk's counts. Counts are summed over tasks slot by slot and weights averaged, so
@@ -26,8 +27,9 @@ from dossierlake.llm.common import LOWER, SEPARATOR, Words, map_batches, mix, po
 from dossierlake.llm.common import BASE, BASE_INV
 
 END = 255  # never a byte of UTF-8
-ORDERS = (3, 5)
-CONTEXTS = len(ORDERS) + 1
+ORDERS = (1, 2, 3, 5)
+CONTEXTS = len(ORDERS) + 2
+GATING = (2, 3, 4)  # the contexts whose counts choose the gate: orders 3 and 5, and the word so far
 BITS = 22
 SLOTS = 1 << BITS
 BLOCK = 1 << 13  # slots summed together
@@ -35,6 +37,7 @@ PRIOR = 0.1
 SCALE = 512.0  # steps of a stored log odd
 GATES = 4**3
 MAP = 33
+START = 0.2  # the weights at first
 RATE = 0.1
 PART_BYTES = 1 << 17  # text that is predicted at once, so that its arrays stay in the cache
 STEP = 1 << 14  # decisions between two changes of the weights
@@ -92,7 +95,7 @@ def context_hashes(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         packed |= b << np.uint64(8 * (k - 1))
         if k in ORDERS:
             out.append((mix(packed + np.uint64(k << 56)) >> np.uint64(32)).astype(np.uint32))
-    # the word so far
+    # the word so far, and the same with the word before it in the text
     apart = SEPARATOR[data]
     start = np.zeros(n, np.int64)
     begins = np.zeros(n, bool)
@@ -105,6 +108,12 @@ def context_hashes(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=prefix[1:])
     word = mix((prefix[:n] - prefix[start]) * powers(BASE_INV, n)[start])
     out.append((word >> np.uint64(32)).astype(np.uint32))
+    ended = np.where(apart & (start < np.arange(n)), np.arange(n), -1)  # separators that end a word
+    np.maximum.accumulate(ended, out=ended)
+    ended = ended[start - 1]  # the last one before the word; at 0 what it takes is not used
+    last = np.where(ended >= start - inside[start], word[ended], np.uint64(0))
+    last[start == 0] = 0
+    out.append((mix(word + last * np.uint64(3) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32))
     return out
 
 
@@ -140,7 +149,7 @@ class Mixer:
 
     def __init__(self, weights: np.ndarray | None = None, map_: np.ndarray | None = None):
         # one row of gates per context
-        self.weights = np.full((CONTEXTS, GATES), 0.35, np.float32) if weights is None else weights
+        self.weights = np.full((CONTEXTS, GATES), START, np.float32) if weights is None else weights
         # the map: for each gate and step of the mixed log odds, (branches of 1, all), begun with the odds themselves
         if map_ is None:
             middle = 1 / (1 + np.exp(-np.linspace(-8, 8, MAP)))
@@ -151,9 +160,9 @@ class Mixer:
     def inputs(self, packed: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         """Log odds per context, and the gate: how much the longer contexts have seen."""
         odds = [(p >> 2).astype(np.float32) * np.float32(1 / SCALE) for p in packed]
-        gate = packed[0] & 3
-        gate |= (packed[1] & 3) << 2
-        gate |= (packed[2] & 3) << 4
+        gate = packed[GATING[0]] & 3
+        gate |= (packed[GATING[1]] & 3) << 2
+        gate |= (packed[GATING[2]] & 3) << 4
         return odds, gate.astype(np.intp)
 
     def mixed(self, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
@@ -286,7 +295,7 @@ class Model:
                 x = np.frombuffer(raw, "<f8")
                 sizes = np.cumsum([GATES * CONTEXTS, GATES, GATES * MAP])
                 w, grown, ones, all_ = np.split(x, sizes)
-                w = np.where(grown > 0, w.reshape(CONTEXTS, GATES) / np.maximum(grown, 1), 0.35)
+                w = np.where(grown > 0, w.reshape(CONTEXTS, GATES) / np.maximum(grown, 1), START)
                 self.mixer = Mixer(w.astype(np.float32), np.stack([ones.reshape(GATES, MAP), all_.reshape(GATES, MAP)]))
         self.rates = self.mixer.rates()
 

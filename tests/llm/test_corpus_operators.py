@@ -235,6 +235,23 @@ def test_every_part_adjusts_the_weights_and_the_map():
     assert (trainer.mixer.map[1] - mixing.Mixer().map[1]).sum() == made
 
 
+def test_contexts_reach_from_one_byte_to_the_word_before():
+    def contexts(text, *before):
+        data, offsets = mixing.symbols([*before, text])
+        return [int(c[-2]) for c in mixing.context_hashes(data, offsets)]  # at the last byte of the text
+
+    def same(a, b):
+        return [x == y for x, y in zip(contexts(a), contexts(b), strict=True)]
+
+    #                                              1      2      3      5      word   word with the word before
+    assert same("one apple", "one angle") == [True, False, False, False, False, False]
+    assert same("one apple", "one maple") == [True, True, False, False, False, False]
+    assert same("one apples", "two apples") == [True, True, True, True, True, False]
+    assert same("one  \n apples", "one apples") == [True] * 6
+    assert contexts("one apple", "some text") == contexts("one apple")
+    assert contexts("apple", "one") == contexts("apple", "two") == contexts("apple")
+
+
 def test_held_out_texts_cost_less_than_under_a_two_byte_model(spark):
     """Against another proper distribution over texts, learned from the same documents: counts after the last two bytes, smoothed over 257 symbols."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
