@@ -68,6 +68,16 @@ def test_pii_adds_confirmed_kinds_and_redacts(docs):
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
 
 
+@pytest.mark.parametrize("iban", ["NO9386011117947", "BE68539007547034", "CH9300762011623852957", "HR1210010051863000160", "GB82WEST12345698765432", "FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S"])
+def test_ibans_of_every_length_modulo_four(iban):
+    spaced = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+    for t in (iban, spaced, iban[:4] + " " + " ".join(iban[i : i + 3] for i in range(4, len(iban), 3)) if len(iban) == 22 else spaced):
+        for after in ("", ".", " CHF 5", " A", f" {spaced}"):
+            found = [t_[2] - t_[1] for t_ in pii.propose(f"iban {t}{after}") if t_[0] == "iban"]
+            assert found == [len(t)] + [len(spaced)] * (after == f" {spaced}"), (t, after)
+    assert pii.redact(f"iban {spaced}!", pii.find(f"iban {spaced}!")) == "iban [IBAN]!"
+
+
 def test_licenses(docs):
     def rule(text):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
