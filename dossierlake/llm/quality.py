@@ -1,8 +1,8 @@
 """Quality rules: adaptive thresholds from mergeable quantile sketches per language and source.
 
 Every document gets exact text measures in one pass. KLL sketches of its ratios are built per
-(language, source), merged up to the language, and their quartiles give fences that replace fixed
-cut-offs; the fences (one row per group) are joined back and judge the documents.
+(language, source); their quartiles, and for the language the median over its sources of these, give
+fences that replace fixed cut-offs; the fences (one row per group) are joined back and judge the documents.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ SYMBOL[[ord(x) for x in "#*$%&|<>"]] = True
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length")
+QUARTILES = {"low": 0.25, "mid": 0.5, "high": 0.75}
 #: The least distance from median to fence, so that groups without any spread keep ordinary documents.
 SLACK = {"symbol_ratio": 0.2, "dup_line_ratio": 0.4, "repeat_ratio": 0.35, "word_length": 4.0}
 
@@ -101,26 +102,34 @@ def _ratios(df: DataFrame) -> DataFrame:
 def thresholds(measured: DataFrame, reach: float = 8.0, least_rows: int = 100) -> DataFrame:
     """One row per (lang, source) with the upper and lower fence of every ratio.
 
-    A fence stands `reach` times the distance from median to quartile beyond the median, at least SLACK.
-    The sketches of a language's sources are merged; a source with fewer than `least_rows` documents
-    takes the language's fences, and none goes beyond twice the language's distance, so that a source
-    made mostly of junk does not set its own measure.
+    A fence stands `reach` times the distance from median to the nearer quartile beyond the median, at
+    least SLACK: junk on one side, up to half of the rows, does not widen it. The language's quartiles are
+    medians over its sources, whatever their size, so a hot source counts once; sources with fewer than
+    `least_rows` documents are merged and count once for each `least_rows` of them. Such a source takes
+    the language's fences, and none goes beyond twice the language's distance, so that a source made
+    mostly of junk does not set its own measure.
     """
     usable = _ratios(measured).filter(~F.col("base_failed"))
-    per = usable.groupBy("lang_of", "source_of").agg(F.count(F.lit(1)).alias("rows"), *[F.kll_sketch_agg_double(x).alias(x) for x in RATIOS])
-    whole = per.groupBy(F.col("lang_of").alias("lang_")).agg(*[F.kll_merge_agg_double(x).alias(f"{x}_lang") for x in RATIOS])
+    sketches = usable.groupBy("lang_of", "source_of").agg(F.count(F.lit(1)).alias("rows"), *[F.kll_sketch_agg_double(x).alias(x) for x in RATIOS])
+    quartile = lambda x, q: F.kll_sketch_get_quantile_double(F.col(x), F.lit(q))
+    quartiles = [quartile(x, q).alias(f"{x}_{name}") for x in RATIOS for name, q in QUARTILES.items()]
+    per = staged(sketches, "sketches")
+    large = per.filter(F.col("rows") >= least_rows).select("lang_of", F.lit(1).alias("times"), *quartiles)
+    merged = per.filter(F.col("rows") < least_rows).groupBy("lang_of").agg(F.sum("rows").alias("rows"), *[F.kll_merge_agg_double(x).alias(x) for x in RATIOS])
+    small = merged.select("lang_of", F.ceil(F.col("rows") / least_rows).cast("int").alias("times"), *quartiles)
+    voices = large.unionByName(small).withColumn("voice", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    # of an even number the lower one, not a value between two sources
+    whole = voices.groupBy(F.col("lang_of").alias("lang_")).agg(*[F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {x}_{name})").alias(f"{x}_{name}_l") for x in RATIOS for name in QUARTILES])
     both = per.join(whole, F.col("lang_of").eqNullSafe(F.col("lang_")))
     out = {}
     for x in RATIOS:
-        low, mid, high = (F.kll_sketch_get_quantile_double(F.col(x), F.lit(q)) for q in (0.25, 0.5, 0.75))
-        low_l, mid_l, high_l = (F.kll_sketch_get_quantile_double(F.col(f"{x}_lang"), F.lit(q)) for q in (0.25, 0.5, 0.75))
-        up_l = F.greatest(F.lit(reach) * (high_l - mid_l), F.lit(SLACK[x]))
-        down_l = F.greatest(F.lit(reach) * (mid_l - low_l), F.lit(SLACK[x]))
-        up = F.greatest(F.lit(reach) * (high - mid), F.lit(SLACK[x]))
-        down = F.greatest(F.lit(reach) * (mid - low), F.lit(SLACK[x]))
+        low, mid, high = (quartile(x, q) for q in QUARTILES.values())
+        low_l, mid_l, high_l = (F.col(f"{x}_{name}_l") for name in QUARTILES)
+        reach_l = F.greatest(F.lit(reach) * F.least(high_l - mid_l, mid_l - low_l), F.lit(SLACK[x]))
+        own = F.greatest(F.lit(reach) * F.least(high - mid, mid - low), F.lit(SLACK[x]))
         few = F.col("rows") < least_rows
-        out[f"{x}_most"] = F.when(few, mid_l + up_l).otherwise(F.least(mid + up, mid_l + 2 * up_l))
-        out[f"{x}_least"] = F.when(few, mid_l - down_l).otherwise(F.greatest(mid - down, mid_l - 2 * down_l))
+        out[f"{x}_most"] = F.when(few, mid_l + reach_l).otherwise(F.least(mid + own, mid_l + 2 * reach_l))
+        out[f"{x}_least"] = F.when(few, mid_l - reach_l).otherwise(F.greatest(mid - own, mid_l - 2 * reach_l))
     return both.select(F.col("lang_of").alias("lang_"), F.col("source_of").alias("source_"), *[v.alias(k) for k, v in out.items()])
 
 

@@ -113,6 +113,16 @@ def test_quality_measures_and_verdict(docs, spark):
     assert all(rows[i] for i, *_ in prose) and not any(rows[i] for i, *_ in junk)
 
 
+@pytest.mark.parametrize("good_sources", ["bbcc", "bcdx", "aaaa"])
+def test_hot_junk_does_not_widen_the_fences(spark, good_sources):
+    """A third of the rows is junk: a source of its own beside one to three good ones ('x': small ones), or mixed into the only one."""
+    source = lambda i: f"x{i}" if good_sources[i % 4] == "x" else good_sources[i % 4]
+    prose = [(i, " ".join(f"w{i}x{k} plain{k} text" for k in range(60)), "en", source(i)) for i in range(800)]
+    junk = [(1000 + i, " ".join(f"w{i}x{k}### t{k}%%%" for k in range(60)), "en", "a") for i in range(400)]
+    rows = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(prose + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(rows[i] for i, *_ in prose) and not any(rows[i] for i, *_ in junk)
+
+
 def test_filter_quality_keeps_columns(docs):
     kept = quality.filter_quality(docs)
     assert kept.columns == docs.columns
