@@ -16,7 +16,7 @@ from dossierlake.llm.common import staged
 WINDOW = 13
 SHORT_WINDOW = 7
 LEAST_LITERAL = 7  # literal words that a window of WINDOW must have
-SHORT_LITERAL = 5
+SHORT_LITERAL = 5  # and that a shorter item must have
 MOST_BROADCAST = 2_000_000  # benchmark windows (24 bytes each) that are broadcast; beyond, the join shuffles
 
 EDGES = " .,;:!?\"'()[]{}<>*#$%&|_-=+~`/\\…“”„‘’«»–—"
@@ -25,6 +25,12 @@ UNITS = (
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur gbp percent "
     "degree degrees kmh mph hz khz mhz ghz w kw kwh v volt volts kb mb gb tb"
 ).split()
+COMMON = (  # words that begin a sentence without being a name
+    "a an the this that these those i he she it we you they his her its our your their my if when while after before since because although as at by for from in into of on to with without during "
+    "and or but so then thus hence how what which who whose whom where why is are was were be do does did has have had can could will would shall should may might must there here now each every "
+    "both all some many most no not one two three four five six seven eight nine ten find calculate compute suppose given let consider assume determine please however therefore first next finally also"
+).split()
+GLUED = "(?i)(?<![0-9A-Za-z.,:/-])([0-9]+(?:[.,][0-9]+)*)(" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")(?![0-9A-Za-z])"
 NUMBER = "^[0-9]+([.,:/-][0-9]+)*(st|nd|rd|th)?$"
 
 
@@ -33,21 +39,22 @@ def _is_number(word: F.Column) -> F.Column:
 
 
 def _canonical(w: F.Column, before: F.Column) -> F.Column:
-    """literal (lower case, bare of edge marks) and template (a placeholder where there is a slot) of one word, given the word before."""
+    """literal (lower case, bare of edge marks), template (a placeholder where there is a slot) and wide (the same, with names that begin a sentence) of one word, given the word before."""
     starts_sentence = F.right(before["raw"], F.lit(1)).isin(".", "!", "?", ":", "")
-    is_name = (w["bare"] != w["literal"]) & ~starts_sentence & w["bare"].rlike(r"^\p{Lu}[\p{Ll}'-]+$")
+    is_name = (w["bare"] != w["literal"]) & w["bare"].rlike(r"^\p{Lu}[\p{Ll}'-]+$")
     is_unit = w["literal"].isin(*UNITS) & _is_number(before["bare"])
-    template = F.when(_is_number(w["literal"]), "<num>").when(is_unit, "<unit>").when(is_name, "<name>").otherwise(w["literal"])
-    return F.struct(w["literal"].alias("literal"), template.alias("template"))
+    template = F.when(_is_number(w["literal"]), "<num>").when(is_unit, "<unit>").when(is_name & ~starts_sentence, "<name>").otherwise(w["literal"])
+    wide = F.when(starts_sentence & is_name & ~w["literal"].isin(*COMMON), "<name>").otherwise(template)
+    return F.struct(w["literal"].alias("literal"), template.alias("template"), wide.alias("wide"))
 
 
 def canonical_words(df: DataFrame, *keys: str, name: str = "words") -> DataFrame:
-    """keys and an array of (literal, template) of the words of `text`; words of marks alone are left out.
+    """keys and an array of (literal, template, wide) of the words of `text`; words of marks alone are left out, a unit glued to its number is a word.
 
     Each step is a projection of its own: inside a lambda, an array that is not a column would be
     computed again for every word.
     """
-    split = F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+")
+    split = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), GLUED, "$1 $2"), "[\\x20\\x09-\\x0D]+")
     bare = F.transform(split, lambda x: F.struct(x.alias("raw"), F.btrim(x, F.lit(EDGES)).alias("bare")))
     own = F.transform(F.filter(bare, lambda w: w["bare"] != ""), lambda w: F.struct(w["raw"].alias("raw"), w["bare"].alias("bare"), F.lower(w["bare"]).alias("literal")))
     none = F.struct(*[F.lit("").alias(x) for x in ("raw", "bare", "literal")])
@@ -55,26 +62,38 @@ def canonical_words(df: DataFrame, *keys: str, name: str = "words") -> DataFrame
     return df.select(*keys, own.alias("_own")).select(*keys, F.zip_with("_own", before, _canonical).alias(name))
 
 
-def _windows(df: DataFrame, keys: list[str], window: int, least_literal: int | None = None) -> DataFrame:
-    """keys, at (window start), hash and verbatim: of every literal window, and of every window with slots.
+def _windows(df: DataFrame, keys: list[str], window: int, least_literal: int | None = None, slotted: bool = True, whole: bool = False) -> DataFrame:
+    """keys, at (window start), hash and verbatim: of every literal window, and (if slotted) of every window with slots.
 
-    Arrays of word hashes are laid down first, for the same reason as in canonical_words.
+    A window with a name that begins a sentence is given with and without that slot, since a document may
+    have it in lower case. least_literal words of each such window (whole: of all words) are literal. Arrays of word hashes are laid down first, for the same reason as in canonical_words.
     """
-    hashed = df.select(*keys, F.transform("words", lambda w: F.xxhash64(w["literal"])).alias("lit"), F.transform("words", lambda w: F.xxhash64(w["template"])).alias("tpl"))
+    hashes = lambda name: F.transform("words", lambda w: F.xxhash64(w[name]))
+    hashed = df.select(*keys, hashes("literal").alias("lit"), hashes("template").alias("tpl"), hashes("wide").alias("wid"))
     # no filter on the number of words: pushed down, it would compute the words a second time
     none = F.array().cast("array<int>")
     fits = F.size("lit") >= window
     starts = F.when(fits, F.sequence(F.lit(0), F.size("lit") - window)).otherwise(none)
-    slots = F.filter(F.when(fits, F.sequence(F.lit(0), F.size("lit") - 1)).otherwise(none), lambda i: F.get("lit", i) != F.get("tpl", i))
     around = lambda p: F.sequence(F.greatest(p - (window - 1), F.lit(0)), F.least(p, F.size("lit") - window))
-    slot_starts = F.array_distinct(F.flatten(F.transform(slots, around)))
     of = lambda at, name: F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(F.col(name), i + k) for k in range(window)]).alias("hash"), F.lit(name == "lit").alias("verbatim")))
-    both = hashed.select(*keys, "lit", "tpl", of(starts, "lit").alias("wl"), of(slot_starts, "tpl").alias("wt"))
-    slotted = F.col("wt")
-    if least_literal is not None:
-        literals = lambda w: F.size(F.filter(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.get("lit", w["at"] + k) == F.get("tpl", w["at"] + k)))
-        slotted = F.filter(slotted, lambda w: literals(w) >= least_literal)
-    return both.select(*keys, F.explode(F.concat("wl", slotted)).alias("w")).select(*keys, "w.at", "w.hash", "w.verbatim")
+
+    def slot_starts(name: str, plain: str) -> F.Column:
+        slots = F.filter(F.when(fits, F.sequence(F.lit(0), F.size("lit") - 1)).otherwise(none), lambda i: F.get(plain, i) != F.get(name, i))
+        return F.array_distinct(F.flatten(F.transform(slots, around)))
+
+    kinds = [("tpl", "lit"), ("wid", "tpl")] if slotted else []
+    all_ = hashed.select(*keys, "lit", "tpl", "wid", of(starts, "lit").alias("wlit"), *[of(slot_starts(x, y), x).alias(f"w{x}") for x, y in kinds])
+
+    def literal_enough(name: str) -> F.Column:
+        if least_literal is None:
+            return F.col(f"w{name}")
+        if whole:
+            same = F.size(F.filter(F.sequence(F.lit(0), F.size("lit") - 1), lambda k: F.get("lit", k) == F.get(name, k)))
+            return F.filter(F.col(f"w{name}"), lambda w: same >= least_literal)
+        literals = lambda w: F.size(F.filter(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.get("lit", w["at"] + k) == F.get(name, w["at"] + k)))
+        return F.filter(F.col(f"w{name}"), lambda w: literals(w) >= least_literal)
+
+    return all_.select(*keys, F.explode(F.concat("wlit", *[literal_enough(x) for x, _ in kinds])).alias("w")).select(*keys, "w.at", "w.hash", "w.verbatim")
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -85,19 +104,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     """doc_id, item_id, n_windows, n_words (covered words of the item), n_slots, n_changed: one row per document and item it holds.
 
     An item of at least `window` words is found by any window of it, one of `short_window` words up only
-    as a whole, and a shorter one is not searched, since chance would find it. Case, edge punctuation and
+    as a whole, and a shorter one only as a whole and word for word. Case, edge punctuation and
     white space do not matter. Null and empty texts hold nothing; rows that share an id count as one
     document; a repeated item is found under each of its ids; null ids stay null. An empty table on
     either side gives no rows. Columns besides doc_id, text, item_id and text are not read.
     """
-    items = staged(canonical_words(benchmark.select("item_id", "text"), "item_id"), "benchmark-words").filter(F.size("words") >= short_window)
+    items = staged(canonical_words(benchmark.select("item_id", "text"), "item_id"), "benchmark-words").filter(F.size("words") > 0)
+    short = sorted(r[0] for r in items.filter(F.size("words") < short_window).select(F.size("words")).distinct().collect())  # below short_window values
+    sizes = [(window, LEAST_LITERAL, items.filter(F.size("words") >= window)), (short_window, SHORT_LITERAL, items.filter(F.size("words").between(short_window, window - 1)))]
+    sizes += [(n, None, items.filter(F.size("words") == n)) for n in short]
     found = None
-    for size, least, own in ((window, LEAST_LITERAL, items.filter(F.size("words") >= window)), (short_window, SHORT_LITERAL, items.filter(F.size("words") < window))):
-        marks = staged(_windows(own, ["item_id"], size, least).withColumnsRenamed({"at": "item_at"}).withColumn("of", F.lit(size)).distinct(), "benchmark-windows")
+    for size, least, own in sizes:
+        marks = staged(_windows(own, ["item_id"], size, least, size >= short_window, size < window).withColumnsRenamed({"at": "item_at"}).withColumn("of", F.lit(size)).distinct(), "benchmark-windows")
         n = marks.count()
         if not n:
             continue
-        hits = _windows(_words(docs), ["doc_id", "mark"], size).drop("verbatim").join(F.broadcast(marks) if n <= MOST_BROADCAST else marks, "hash")
+        hits = _windows(_words(docs), ["doc_id", "mark"], size, slotted=size >= short_window).drop("verbatim").join(F.broadcast(marks) if n <= MOST_BROADCAST else marks, "hash")
         hits = hits.groupBy("doc_id", "mark", "item_id", "of", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set(F.when(F.col("verbatim"), F.col("item_at"))).alias("verbatim"), F.collect_set("item_at").alias("at"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
@@ -111,7 +133,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     aligned = hits.join(words, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_"))).join(items.select(F.col("item_id").alias("item_"), "words"), F.col("item_id").eqNullSafe(F.col("item_")))
     low = F.array_min("at")
     length = (F.array_max("at") - low + F.col("of")).cast("int")
-    pairs = F.zip_with(F.slice("words", low + 1, length), F.slice("theirs", (low + F.col("shift") + 1).cast("int"), length), lambda a, b: F.struct(a["literal"].alias("a"), b["literal"].alias("b"), a["template"].alias("ta"), b["template"].alias("tb")))
+    pairs = F.zip_with(F.slice("words", low + 1, length), F.slice("theirs", (low + F.col("shift") + 1).cast("int"), length), lambda a, b: F.struct(a["literal"].alias("a"), b["literal"].alias("b"), a["wide"].alias("ta"), b["wide"].alias("tb")))
     spans = aligned.select("doc_id", "item_id", "of", "at", "verbatim", low.alias("low"), F.size("words").alias("size"), pairs.alias("pairs"))
     slots_of = lambda own: F.filter(own, lambda p: (p["ta"] == p["tb"]) & ((p["ta"] != p["a"]) | (p["a"] != p["b"])))
     distinct = lambda own, *names: F.size(F.array_distinct(F.transform(slots_of(own), lambda p: F.struct(p["ta"], *[p[x] for x in names]))))

@@ -184,6 +184,15 @@ def test_literal_windows_count_alone_and_slots_may_become_equal(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(frame, bench).collect()} == {3, 4}
 
 
+def test_names_that_begin_a_sentence_glued_units_and_short_items(spark):
+    run = "The runner covers 5km on each of the first days and then adds 20kg to the bag that is carried"
+    bench = [(10, "Tom has 3 apples and buys 4 more"), (11, run), (12, "fruit of spring")]
+    rows = [(1, "Well. Mary has 5 apples and buys 6 more today"), (2, run.replace("5km", "8km").replace("20kg", "30 kg")), (3, "the FRUIT of spring!"), (4, "fruit of late spring"), (5, "and tom has 5 apples and buys 6 more")]
+    schema = "long, text string"
+    got = decontaminate.contaminated(spark.createDataFrame(rows, f"doc_id {schema}"), spark.createDataFrame(bench, f"item_id {schema}")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 10), (2, 11), (3, 12), (5, 10)}
+
+
 def test_benchmark_passages_of_the_supplied_table(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r.item_id: " ".join(words_of(lowered(r.text))) for r in bench.collect()}
