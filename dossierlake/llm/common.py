@@ -150,3 +150,17 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def text_or_empty() -> F.Column:
     return F.coalesce(F.col("text"), F.lit(""))
+
+
+def text_mark(name: str = "mark") -> F.Column:
+    """A 64-bit check of the text, to tell rows that share an id apart."""
+    return F.xxhash64(text_or_empty()).alias(name)
+
+
+def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """The rows of docs whose id and text mark are not among (doc_id, mark) of `gone`, with all their columns, whatever their names."""
+    keys = staged(gone.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), name)
+    names = docs.columns
+    hidden = docs.select(F.col("doc_id").alias("_doc"), text_mark("_own"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])
+    kept = hidden.join(keys, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left_anti")
+    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])

@@ -1,9 +1,11 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Words are brought to a common form; numbers, names and units also to typed placeholders. Windows of both
-forms are hashed and joined with the benchmark's windows. A literal window counts as it is; in a template
-window equal slots of the item must be equal in the document, so a question with other numbers or names is
-found, and chance is not.
+A text is brought to a common form as a whole, by a few regular expressions, and from that to typed
+placeholders for numbers, names and units. Each template window of the benchmark is filed under a run of
+words that stand outside its slots; hashes of all such runs in the documents are joined with them, and the
+windows are compared where a run was found. A literal window counts as it is; in a template window equal
+slots of the item must be equal in the document, so a question with other numbers or names is found, and
+chance is not.
 """
 
 from __future__ import annotations
@@ -11,15 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossierlake.llm.common import staged
+from dossierlake.llm.common import staged, text_mark, without
 
 WINDOW = 13
 SHORT_WINDOW = 7
-LEAST_LITERAL = 7  # literal words that a window of WINDOW must have
+LEAST_LITERAL = 7  # words outside slots that a window of WINDOW must have
 SHORT_LITERAL = 5  # and that a shorter item must have
-MOST_BROADCAST = 2_000_000  # benchmark windows (24 bytes each) that are broadcast; beyond, the join shuffles
+RUNS = (4, 2, 1)  # lengths of the runs that windows are filed under, the longest that a window has
+MOST_BROADCAST = 2_000_000  # runs of the benchmark (24 bytes each) that are broadcast; beyond, the join shuffles
 
-EDGES = " .,;:!?\"'()[]{}<>*#$%&|_-=+~`/\\…“”„‘’«»–—"
+MARKS = ".,;:!?\"'()[]{}<>*#$%&|_-=+~`/\\«»"  # with U+2010 to U+2027 (dashes, quotes, dots) and white space: these do not count at a word's edge
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles g kg mg lb lbs pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons "
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur gbp percent "
@@ -30,74 +33,135 @@ COMMON = (  # words that begin a sentence without being a name
     "and or but so then thus hence how what which who whose whom where why is are was were be do does did has have had can could will would shall should may might must there here now each every "
     "both all some many most no not one two three four five six seven eight nine ten find calculate compute suppose given let consider assume determine please however therefore first next finally also"
 ).split()
-GLUED = "(?i)(?<![0-9A-Za-z.,:/-])([0-9]+(?:[.,][0-9]+)*)(" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")(?![0-9A-Za-z])"
-NUMBER = "^[0-9]+([.,:/-][0-9]+)*(st|nd|rd|th)?$"
 
-
-def _is_number(word: F.Column) -> F.Column:
-    return (word >= "0") & (word < ":") & word.rlike(NUMBER)
-
-
-def _canonical(w: F.Column, before: F.Column) -> F.Column:
-    """literal (lower case, bare of edge marks), template (a placeholder where there is a slot) and wide (the same, with names that begin a sentence) of one word, given the word before."""
-    starts_sentence = F.right(before["raw"], F.lit(1)).isin(".", "!", "?", ":", "")
-    is_name = (w["bare"] != w["literal"]) & w["bare"].rlike(r"^\p{Lu}[\p{Ll}'-]+$")
-    is_unit = w["literal"].isin(*UNITS) & _is_number(before["bare"])
-    template = F.when(_is_number(w["literal"]), "<num>").when(is_unit, "<unit>").when(is_name & ~starts_sentence, "<name>").otherwise(w["literal"])
-    wide = F.when(starts_sentence & is_name & ~w["literal"].isin(*COMMON), "<name>").otherwise(template)
-    return F.struct(w["literal"].alias("literal"), template.alias("template"), wide.alias("wide"))
-
-
-def canonical_words(df: DataFrame, *keys: str, name: str = "words") -> DataFrame:
-    """keys and an array of (literal, template, wide) of the words of `text`; words of marks alone are left out, a unit glued to its number is a word.
-
-    Each step is a projection of its own: inside a lambda, an array that is not a column would be
-    computed again for every word.
+# classes of regular expressions; \x01 stands for a gap between words that ends a sentence, a blank for any other
+_E = "".join("\\" + x if x.isascii() else x for x in MARKS) + "\\u2010-\\u2027"  # one range, since each character above Latin-1 slows every match
+_S = "\\x20\\x09-\\x0D"
+_UNIT = "(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")"
+_END = "(?![^ \\x01])"
+_NAME = "\\p{Lu}[\\p{Ll}'-]++" + _END
+#: Applied in this order; possessive and anchored at a run's start, so that long runs of marks take linear time and no stack.
+BARE = (
+    ("([0-9])(" + _UNIT + ")(?![0-9A-Za-z])", "$1 $2"),
+    (f"(?<![{_E}{_S}])(?=[{_E}]*+[{_S}])(?=[{_E}{_S}]*[.!?:])[{_E}{_S}]++", "\x01"),
+    (f"(?<![{_E}{_S}])[{_E}]*+[{_S}][{_E}{_S}]*+", " "),
+    (f"^[{_E}{_S}\\x01]++|(?<![{_E}{_S}\\x01])[{_E}{_S}\\x01]++$", ""),
+)
+TEMPLATE = (
+    ("(^|[ \\x01])[0-9]++(?:[.,:/-][0-9]++)*+(?:st|nd|rd|th)?" + _END, "$1<num>"),
+    ("<num>([ \\x01])" + _UNIT + _END, "<num>$1<unit>"),
+    (" " + _NAME, " <name>"),
+)
+WIDE = (("(^|\\x01)(?!(?i:" + "|".join(COMMON) + ")" + _END + ")" + _NAME, "$1<name>"),)
+
+
+def _replaced(text: F.Column, rules: tuple[tuple[str, str], ...]) -> F.Column:
+    for pattern, by in rules:
+        text = F.regexp_replace(text, pattern, by)
+    return text
+
+
+def canonical_words(df: DataFrame, *keys: str) -> DataFrame:
+    """keys and three arrays with one entry per word of `text`: literal (lower case, bare of edge marks), template (a placeholder where there is a slot) and wide (the same, with names that begin a sentence).
+
+    Words of marks alone are left out, and a unit glued to its number is a word. A sentence begins with the
+    text and after a gap that holds one of . ! ? and :.
     """
-    split = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), GLUED, "$1 $2"), "[\\x20\\x09-\\x0D]+")
-    bare = F.transform(split, lambda x: F.struct(x.alias("raw"), F.btrim(x, F.lit(EDGES)).alias("bare")))
-    own = F.transform(F.filter(bare, lambda w: w["bare"] != ""), lambda w: F.struct(w["raw"].alias("raw"), w["bare"].alias("bare"), F.lower(w["bare"]).alias("literal")))
-    none = F.struct(*[F.lit("").alias(x) for x in ("raw", "bare", "literal")])
-    before = F.slice(F.concat(F.array(none), F.col("_own")), F.lit(1), F.size("_own"))
-    return df.select(*keys, own.alias("_own")).select(*keys, F.zip_with("_own", before, _canonical).alias(name))
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\x01"), F.lit(" "))
+    words = lambda name: F.when(F.col(name) == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(F.replace(name, F.lit("\x01"), F.lit(" "))), " "))
+    # each form is a projection of its own, since the next one begins with it
+    bare = df.select(*keys, _replaced(text, BARE).alias("_bare"))
+    template = bare.select(*keys, "_bare", _replaced(F.col("_bare"), TEMPLATE).alias("_template"))
+    wide = template.select(*keys, "_bare", "_template", _replaced(F.col("_template"), WIDE).alias("_wide"))
+    return wide.select(*keys, words("_bare").alias("literal"), words("_template").alias("template"), words("_wide").alias("wide"))
 
 
-def _windows(df: DataFrame, keys: list[str], window: int, least_literal: int | None = None, slotted: bool = True, whole: bool = False) -> DataFrame:
-    """keys, at (window start), hash and verbatim: of every literal window, and (if slotted) of every window with slots.
+def _runs(words: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
+    """keys and an array run_n for each length n in `lengths`: hashes of all n consecutive literal words, by their start.
 
-    A window with a name that begins a sentence is given with and without that slot, since a document may
-    have it in lower case. least_literal words of each such window (whole: of all words) are literal. Arrays of word hashes are laid down first, for the same reason as in canonical_words.
+    Each step is a projection of its own: inside a lambda, an array that is not a column would be computed
+    again for every word. No filter on the number of words is given: pushed down, it would compute the words twice.
     """
-    hashes = lambda name: F.transform("words", lambda w: F.xxhash64(w[name]))
-    hashed = df.select(*keys, hashes("literal").alias("lit"), hashes("template").alias("tpl"), hashes("wide").alias("wid"))
-    # no filter on the number of words: pushed down, it would compute the words a second time
-    none = F.array().cast("array<int>")
-    fits = F.size("lit") >= window
-    starts = F.when(fits, F.sequence(F.lit(0), F.size("lit") - window)).otherwise(none)
-    around = lambda p: F.sequence(F.greatest(p - (window - 1), F.lit(0)), F.least(p, F.size("lit") - window))
-    of = lambda at, name: F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(F.col(name), i + k) for k in range(window)]).alias("hash"), F.lit(name == "lit").alias("verbatim")))
 
-    def slot_starts(name: str, plain: str) -> F.Column:
-        slots = F.filter(F.when(fits, F.sequence(F.lit(0), F.size("lit") - 1)).otherwise(none), lambda i: F.get(plain, i) != F.get(name, i))
-        return F.array_distinct(F.flatten(F.transform(slots, around)))
+    def beside(name: str, by: int) -> F.Column:  # a length beyond the words gives no entries
+        left = F.greatest(F.size(name) - by, F.lit(0))
+        return F.zip_with(F.slice(name, 1, left), F.slice(name, by + 1, left), lambda a, b: F.xxhash64(a, b))
 
-    kinds = [("tpl", "lit"), ("wid", "tpl")] if slotted else []
-    all_ = hashed.select(*keys, "lit", "tpl", "wid", of(starts, "lit").alias("wlit"), *[of(slot_starts(x, y), x).alias(f"w{x}") for x, y in kinds])
+    one, two = F.transform("literal", lambda w: F.xxhash64(w)), beside("literal", 1)
+    now = words.select(*keys, *([one.alias("run_1")] if 1 in lengths else []), *([two.alias("run_2")] if {2, 4} & set(lengths) else []))
+    if 4 in lengths:
+        now = now.select(*now.columns, beside("run_2", 2).alias("run_4"))
+    return now.select(*keys, *[f"run_{n}" for n in lengths])
 
-    def literal_enough(name: str) -> F.Column:
-        if least_literal is None:
-            return F.col(f"w{name}")
-        if whole:
-            same = F.size(F.filter(F.sequence(F.lit(0), F.size("lit") - 1), lambda k: F.get("lit", k) == F.get(name, k)))
-            return F.filter(F.col(f"w{name}"), lambda w: same >= least_literal)
-        literals = lambda w: F.size(F.filter(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.get("lit", w["at"] + k) == F.get(name, w["at"] + k)))
-        return F.filter(F.col(f"w{name}"), lambda w: literals(w) >= least_literal)
 
-    return all_.select(*keys, F.explode(F.concat("wlit", *[literal_enough(x) for x, _ in kinds])).alias("w")).select(*keys, "w.at", "w.hash", "w.verbatim")
+def _filed(items: DataFrame, window: int, short_window: int) -> DataFrame:
+    """length, hash, item_id and item_at of the runs by which the windows of all items are found.
 
+    A window with words enough outside its slots is filed under a run of such words, since a document that
+    matches it in any form holds them literally; the least hash is taken, so that neighbouring windows share a run. Other
+    windows match as they are only, and are filed under any run. Items shorter than `window` are one window.
+    """
+    size = F.size("literal")
+    of, least = F.when(size >= window, window).otherwise(size), F.when(size >= window, LEAST_LITERAL).otherwise(SHORT_LITERAL)
+    own = _runs(items, ["item_id", "literal", "wide"], list(RUNS)).withColumns({"of": of, "least": least, "fixed": F.zip_with("literal", "wide", lambda a, b: a == b)})
+    part = lambda name, at, n: F.slice(name, at + 1, n)
+
+    def places(n: int) -> F.Column:
+        return F.transform(f"run_{n}", lambda h, i: F.struct(F.lit(n).alias("length"), h.alias("hash"), i.alias("item_at"), F.forall(part("fixed", i, F.lit(n)), lambda x: x).alias("fixed")))
+
+    own = staged(own.withColumns({f"run_{n}": places(n) for n in RUNS}), "benchmark-places")  # laid down, since the lambdas below read it for every window
+    windows = own.select("*", F.explode(F.sequence(F.lit(0), size - F.col("of"))).alias("at"))
+    slotted = (size >= short_window) & (F.size(F.filter(part("fixed", F.col("at"), F.col("of")), lambda x: x)) >= F.col("least"))
+    inside = lambda n, fixed: F.array_min(F.filter(f"run_{n}", lambda r: (r["item_at"] >= F.col("at")) & (r["item_at"] + n <= F.col("at") + F.col("of")) & (r["fixed"] | F.lit(not fixed))))
+    run = F.when(slotted, F.coalesce(*[inside(n, True) for n in RUNS])).otherwise(F.coalesce(*[inside(n, False) for n in RUNS]))
+    return windows.select("item_id", run.alias("run")).select("item_id", "run.length", "run.hash", "run.item_at").distinct()
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, short_window: int) -> DataFrame:
+    """doc_id, mark, item_id, n_windows, covered, slots: the alignments that hold."""
+    items = staged(canonical_words(benchmark.select("item_id", "text"), "item_id"), "benchmark-words").filter(F.size("literal") > 0)
+    filed = staged(_filed(items, window, short_window), "benchmark-runs")
+    lengths = sorted(r["length"] for r in filed.select("length").distinct().collect()) or [1]  # some of RUNS
+    n = filed.count()
+    rows = _runs(canonical_words(docs.select("doc_id", text_mark(), "text"), "doc_id", "mark"), ["doc_id", "mark"], lengths)
+    each = rows.select("doc_id", "mark", F.inline(F.array(*[F.struct(F.lit(x).alias("length"), F.col(f"run_{x}").alias("hashes")) for x in lengths])))
+    each = each.select("doc_id", "mark", "length", F.posexplode("hashes").alias("at", "hash"))
+    hits = each.join(F.broadcast(filed) if n <= MOST_BROADCAST else filed, ["hash", "length"])
+    hits = staged(hits.select("doc_id", "mark", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "alignments")
 
-def _words(docs: DataFrame) -> DataFrame:
-    return canonical_words(docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("mark"), "text"), "doc_id", "mark")
+    keys = hits.select(F.col("doc_id").alias("id_"), F.col("mark").alias("mark_")).distinct()
+    own = docs.select(F.col("doc_id").alias("doc_"), text_mark("own"), "text")
+    held = own.join(keys, F.col("doc_").eqNullSafe(F.col("id_")) & (F.col("own") == F.col("mark_")), "left_semi").dropDuplicates(["doc_", "own"])
+    forms = F.arrays_zip("literal", "template", "wide")
+    theirs = canonical_words(held, "doc_", "own").select("doc_", "own", forms.alias("theirs"))
+    words = items.select(F.col("item_id").alias("item_"), forms.alias("words"))
+    aligned = hits.join(theirs, F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("mark") == F.col("own"))).join(words, F.col("item_id").eqNullSafe(F.col("item_")))
+    size, low = F.size("words"), F.greatest(F.lit(0), -F.col("shift"))
+    length = F.least(size - low, F.size("theirs") - low - F.col("shift"))
+    pair = lambda a, b: F.struct(
+        a["literal"].alias("a"), b["literal"].alias("b"), a["wide"].alias("ta"), b["wide"].alias("tb"), (a["literal"] == b["literal"]).alias("same"),
+        ((a["literal"] == b["literal"]) | (a["template"] == b["template"]) | (a["wide"] == b["wide"])).alias("fits"), (a["literal"] == a["wide"]).alias("fixed"),
+    )
+    pairs = F.zip_with(F.slice("words", low + 1, length), F.slice("theirs", low + F.col("shift") + 1, length), pair)
+    of = F.when(size >= window, window).otherwise(size)
+    spans = aligned.filter(length >= of).select("doc_id", "mark", "item_id", of.alias("of"), size.alias("size"), low.alias("low"), pairs.alias("pairs"))
+    part = lambda x: F.slice("pairs", x - F.col("low") + 1, F.col("of"))
+    least = F.when(F.col("of") >= window, LEAST_LITERAL).otherwise(SHORT_LITERAL)
+    # with a guard, since filters may be evaluated in any order
+    starts = F.when(F.size("pairs") >= F.col("of"), F.sequence(F.col("low"), F.col("low") + F.size("pairs") - F.col("of"))).otherwise(F.array().cast("array<int>"))
+    spans = staged(spans, "spans")  # laid down, as above
+    spans = spans.withColumn("verbatim", F.filter(starts, lambda x: F.forall(part(x), lambda p: p["same"])))
+    slotted = lambda x: F.forall(part(x), lambda p: p["fits"]) & (F.size(F.filter(part(x), lambda p: p["fixed"])) >= least)
+    slots_of = lambda own: F.filter(own, lambda p: (p["ta"] == p["tb"]) & ((p["ta"] != p["a"]) | (p["a"] != p["b"])))
+    distinct = lambda own, *names: F.size(F.array_distinct(F.transform(slots_of(own), lambda p: F.struct(p["ta"], *[p[x] for x in names]))))
+    # within each type of placeholder, what is equal in the item stays equal; what differs may become equal
+    consistent = lambda own: distinct(own, "a") == distinct(own, "a", "b")
+    at = F.filter(starts, lambda x: F.array_contains("verbatim", x) | ((F.col("size") >= short_window) & slotted(x) & consistent(part(x))))
+    told = spans.withColumn("at", at).filter(F.size("at") > 0)
+    covered = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x, x + F.col("of") - 1))))
+    told = told.withColumn("covered", covered)
+    slots = slots_of(F.filter("pairs", lambda p, i: F.array_contains("covered", i + F.col("low"))))
+    return told.select("doc_id", "mark", "item_id", F.size("at").alias("n_windows"), F.size("covered").alias("n_words"), slots.alias("slots"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, short_window: int = SHORT_WINDOW) -> DataFrame:
@@ -109,51 +173,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     document; a repeated item is found under each of its ids; null ids stay null. An empty table on
     either side gives no rows. Columns besides doc_id, text, item_id and text are not read.
     """
-    items = staged(canonical_words(benchmark.select("item_id", "text"), "item_id"), "benchmark-words").filter(F.size("words") > 0)
-    short = sorted(r[0] for r in items.filter(F.size("words") < short_window).select(F.size("words")).distinct().collect())  # below short_window values
-    sizes = [(window, LEAST_LITERAL, items.filter(F.size("words") >= window)), (short_window, SHORT_LITERAL, items.filter(F.size("words").between(short_window, window - 1)))]
-    sizes += [(n, None, items.filter(F.size("words") == n)) for n in short]
-    found = None
-    for size, least, own in sizes:
-        marks = staged(_windows(own, ["item_id"], size, least, size >= short_window, size < window).withColumnsRenamed({"at": "item_at"}).withColumn("of", F.lit(size)).distinct(), "benchmark-windows")
-        n = marks.count()
-        if not n:
-            continue
-        hits = _windows(_words(docs), ["doc_id", "mark"], size, slotted=size >= short_window).drop("verbatim").join(F.broadcast(marks) if n <= MOST_BROADCAST else marks, "hash")
-        hits = hits.groupBy("doc_id", "mark", "item_id", "of", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set(F.when(F.col("verbatim"), F.col("item_at"))).alias("verbatim"), F.collect_set("item_at").alias("at"))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, n_words long, n_slots long, n_changed long")
-    hits = staged(found, "alignments")
-
-    keys = hits.select(F.col("doc_id").alias("id_"), F.col("mark").alias("mark_")).distinct()
-    held = docs.withColumn("mark", F.hash(F.coalesce("text", F.lit("")))).join(keys, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_")), "left_semi")
-    once = held.select(F.col("doc_id").alias("id_"), F.col("mark").alias("mark_"), "text").dropDuplicates(["id_", "mark_"])
-    words = canonical_words(once, "id_", "mark_", name="theirs")
-    aligned = hits.join(words, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_"))).join(items.select(F.col("item_id").alias("item_"), "words"), F.col("item_id").eqNullSafe(F.col("item_")))
-    low = F.array_min("at")
-    length = (F.array_max("at") - low + F.col("of")).cast("int")
-    pairs = F.zip_with(F.slice("words", low + 1, length), F.slice("theirs", (low + F.col("shift") + 1).cast("int"), length), lambda a, b: F.struct(a["literal"].alias("a"), b["literal"].alias("b"), a["wide"].alias("ta"), b["wide"].alias("tb")))
-    spans = aligned.select("doc_id", "item_id", "of", "at", "verbatim", low.alias("low"), F.size("words").alias("size"), pairs.alias("pairs"))
-    slots_of = lambda own: F.filter(own, lambda p: (p["ta"] == p["tb"]) & ((p["ta"] != p["a"]) | (p["a"] != p["b"])))
-    distinct = lambda own, *names: F.size(F.array_distinct(F.transform(slots_of(own), lambda p: F.struct(p["ta"], *[p[x] for x in names]))))
-    # within each type of placeholder, what is equal in the item stays equal; what differs may become equal
-    consistent = lambda own: distinct(own, "a") == distinct(own, "a", "b")
-    part = lambda x: F.slice("pairs", x - F.col("low") + 1, F.col("of"))
-    each = F.filter("at", lambda x: F.array_contains("verbatim", x) | consistent(part(x)))
-    whole = F.when((F.size("at") == F.col("size") - F.col("of") + 1) & consistent(F.col("pairs")), F.col("at")).otherwise(F.array().cast("array<int>"))
-    told = spans.withColumn("at", F.when(F.col("of") == window, each).otherwise(whole)).filter(F.size("at") > 0)
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x, x + F.col("of") - 1))))
-    told = told.withColumn("covered", covered)
-    slots = slots_of(F.filter("pairs", lambda p, i: F.array_contains("covered", i + F.col("low"))))
-    told = told.select("doc_id", "item_id", F.size("at").alias("n_windows"), F.size("covered").alias("n_words"), slots.alias("slots"))
+    told = _found(docs, benchmark, window, short_window)
     changed = F.size(F.filter("slots", lambda p: p["a"] != p["b"]))
-    return told.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("n_windows", "n_words", F.size("slots").alias("n_slots"), changed.alias("n_changed"))).alias("best")
-    ).select("doc_id", "item_id", F.col("best.n_windows").cast("long").alias("n_windows"), F.col("best.n_words").cast("long").alias("n_words"), F.col("best.n_slots").cast("long").alias("n_slots"), F.col("best.n_changed").cast("long").alias("n_changed"))
+    best = told.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "n_words", F.size("slots").alias("n_slots"), changed.alias("n_changed"))).alias("best"))
+    return best.select("doc_id", "item_id", *[F.col(f"best.{x}").cast("long").alias(x) for x in ("n_windows", "n_words", "n_slots", "n_changed")])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    gone = staged(contaminated(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The documents that hold no benchmark item, with all their columns, whatever their names.
+
+    Rows are told apart by id and text, so of rows that share an id, or have none, only those that hold an
+    item go. Null and empty texts stay; repeated rows stay or go together; an empty table gives no rows.
+    """
+    return without(docs, _found(docs, benchmark, WINDOW, SHORT_WINDOW).select("doc_id", "mark"), "contaminated")
