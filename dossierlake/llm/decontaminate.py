@@ -20,7 +20,7 @@ SHORT_WINDOW = 7
 LEAST_LITERAL = 7  # words outside slots that a window of WINDOW must have
 SHORT_LITERAL = 5  # and that a shorter item must have
 RUNS = (4, 2, 1)  # lengths of the runs that windows are filed under, the longest that a window has
-MOST_BROADCAST = 2_000_000  # runs of the benchmark (24 bytes each) that are broadcast; beyond, the join shuffles
+MOST_BROADCAST = 2_000_000  # runs of the benchmark (32 bytes each) that are broadcast at once; more of them take a pass over the documents for each such block
 
 MARKS = ".,;:!?\"'()[]{}<>*#$%&|_-=+~`/\\«»"  # with U+2010 to U+2027 (dashes, quotes, dots) and white space: these do not count at a word's edge
 UNITS = (
@@ -61,19 +61,33 @@ def _replaced(text: F.Column, rules: tuple[tuple[str, str], ...]) -> F.Column:
     return text
 
 
+def _bare(df: DataFrame, *keys: str) -> DataFrame:
+    """keys and _bare: the words of `text` without edge marks, parted by blanks, or by \\x01 where a sentence ends."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\x01"), F.lit(" "))
+    return df.select(*keys, _replaced(text, BARE).alias("_bare"))
+
+
+def _split(name: str, by: str = " ") -> F.Column:
+    """The words of a text in that form, where by stands for \\x01."""
+    return F.when(F.col(name) == "", F.array().cast("array<string>")).otherwise(F.split(F.replace(name, F.lit("\x01"), F.lit(by)), " "))
+
+
+def _forms(bare: DataFrame, *keys: str) -> DataFrame:
+    """keys and three arrays with one entry per word of `_bare`: literal (lower case), template (a placeholder where there is a slot) and wide (the same, with names that begin a sentence)."""
+    # each form is a projection of its own, since the next one begins with it
+    template = bare.select(*keys, "_bare", _replaced(F.col("_bare"), TEMPLATE).alias("_template"))
+    wide = template.select(*keys, "_bare", "_template", _replaced(F.col("_template"), WIDE).alias("_wide"))
+    lowered = wide.select(*keys, *[F.lower(f"_{x}").alias(f"_{x}") for x in ("bare", "template", "wide")])
+    return lowered.select(*keys, _split("_bare").alias("literal"), _split("_template").alias("template"), _split("_wide").alias("wide"))
+
+
 def canonical_words(df: DataFrame, *keys: str) -> DataFrame:
-    """keys and three arrays with one entry per word of `text`: literal (lower case, bare of edge marks), template (a placeholder where there is a slot) and wide (the same, with names that begin a sentence).
+    """keys and the forms (literal, template, wide) of the words of `text`.
 
     Words of marks alone are left out, and a unit glued to its number is a word. A sentence begins with the
     text and after a gap that holds one of . ! ? and :.
     """
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\x01"), F.lit(" "))
-    words = lambda name: F.when(F.col(name) == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(F.replace(name, F.lit("\x01"), F.lit(" "))), " "))
-    # each form is a projection of its own, since the next one begins with it
-    bare = df.select(*keys, _replaced(text, BARE).alias("_bare"))
-    template = bare.select(*keys, "_bare", _replaced(F.col("_bare"), TEMPLATE).alias("_template"))
-    wide = template.select(*keys, "_bare", "_template", _replaced(F.col("_template"), WIDE).alias("_wide"))
-    return wide.select(*keys, words("_bare").alias("literal"), words("_template").alias("template"), words("_wide").alias("wide"))
+    return _forms(_bare(df, *keys), *keys)
 
 
 def _runs(words: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
@@ -95,7 +109,7 @@ def _runs(words: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
 
 
 def _filed(items: DataFrame, window: int, short_window: int) -> DataFrame:
-    """length, hash, item_id and item_at of the runs by which the windows of all items are found.
+    """length, hash, item_id, item_at and size (of the item) of the runs by which the windows of all items are found.
 
     A window with words enough outside its slots is filed under a run of such words, since a document that
     matches it in any form holds them literally; the least hash is taken, so that neighbouring windows share a run. Other
@@ -114,7 +128,7 @@ def _filed(items: DataFrame, window: int, short_window: int) -> DataFrame:
     slotted = (size >= short_window) & (F.size(F.filter(part("fixed", F.col("at"), F.col("of")), lambda x: x)) >= F.col("least"))
     inside = lambda n, fixed: F.array_min(F.filter(f"run_{n}", lambda r: (r["item_at"] >= F.col("at")) & (r["item_at"] + n <= F.col("at") + F.col("of")) & (r["fixed"] | F.lit(not fixed))))
     run = F.when(slotted, F.coalesce(*[inside(n, True) for n in RUNS])).otherwise(F.coalesce(*[inside(n, False) for n in RUNS]))
-    return windows.select("item_id", run.alias("run")).select("item_id", "run.length", "run.hash", "run.item_at").distinct()
+    return windows.select("item_id", size.alias("size"), run.alias("run")).select("item_id", "size", "run.length", "run.hash", "run.item_at").distinct()
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, short_window: int) -> DataFrame:
@@ -122,27 +136,37 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, short_window: int
     items = staged(canonical_words(benchmark.select("item_id", "text"), "item_id"), "benchmark-words").filter(F.size("literal") > 0)
     filed = staged(_filed(items, window, short_window), "benchmark-runs")
     lengths = sorted(r["length"] for r in filed.select("length").distinct().collect()) or [1]  # some of RUNS
-    n = filed.count()
-    rows = _runs(canonical_words(docs.select("doc_id", text_mark(), "text"), "doc_id", "mark"), ["doc_id", "mark"], lengths)
-    each = rows.select("doc_id", "mark", F.inline(F.array(*[F.struct(F.lit(x).alias("length"), F.col(f"run_{x}").alias("hashes")) for x in lengths])))
-    each = each.select("doc_id", "mark", "length", F.posexplode("hashes").alias("at", "hash"))
-    hits = each.join(F.broadcast(filed) if n <= MOST_BROADCAST else filed, ["hash", "length"])
-    hits = staged(hits.select("doc_id", "mark", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "alignments")
-
-    keys = hits.select(F.col("doc_id").alias("id_"), F.col("mark").alias("mark_")).distinct()
-    own = docs.select(F.col("doc_id").alias("doc_"), text_mark("own"), "text")
-    held = own.join(keys, F.col("doc_").eqNullSafe(F.col("id_")) & (F.col("own") == F.col("mark_")), "left_semi").dropDuplicates(["doc_", "own"])
-    forms = F.arrays_zip("literal", "template", "wide")
-    theirs = canonical_words(held, "doc_", "own").select("doc_", "own", forms.alias("theirs"))
-    words = items.select(F.col("item_id").alias("item_"), forms.alias("words"))
-    aligned = hits.join(theirs, F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("mark") == F.col("own"))).join(words, F.col("item_id").eqNullSafe(F.col("item_")))
+    blocks = max(1, -(-filed.count() // MOST_BROADCAST))
+    bare = _bare(docs.select("doc_id", text_mark(), "text"), "doc_id", "mark").select("doc_id", "mark", F.lower("_bare").alias("_lower"), "_bare")
+    # of the words as written, those that begin a sentence keep the mark
+    rows = _runs(bare.select("doc_id", "mark", _split("_lower").alias("literal"), _split("_bare", " \x01").alias("written")), ["doc_id", "mark", "written"], lengths)
+    each = rows.select("doc_id", "mark", "written", F.inline(F.array(*[F.struct(F.lit(x).alias("length"), F.col(f"run_{x}").alias("hashes")) for x in lengths])))
+    each = each.select("doc_id", "mark", "written", "length", F.posexplode("hashes").alias("at", "hash"))
+    shift = F.col("at") - F.col("item_at")
+    first = F.greatest(shift, F.lit(0))
+    lead = F.least(first, F.lit(1))  # with the word before, which decides on units and names
+    there = F.slice("written", first - lead + 1, F.least(F.size("written"), shift + F.col("size")) - first + lead)
+    found = None
+    for b in range(blocks):
+        # the words stay in the row until a run is found: the join is with a broadcast side, so they are neither copied nor shuffled
+        hits = each.join(F.broadcast(filed.filter(F.pmod("hash", F.lit(blocks)) == b)), ["hash", "length"])
+        hits = hits.select("doc_id", "mark", "item_id", shift.alias("shift"), lead.alias("lead"), F.array_join(there, " ").alias("written"))
+        found = hits if found is None else found.unionByName(hits)
+    hits = staged(found.dropDuplicates(["doc_id", "mark", "item_id", "shift"]), "alignments")
+
+    own = ["doc_id", "mark", "item_id", "shift", "lead"]
+    written = F.replace(F.regexp_replace("written", "^\x01", ""), F.lit(" \x01"), F.lit("\x01"))
+    zipped = F.arrays_zip("literal", "template", "wide")
+    theirs = _forms(hits.select(*own, written.alias("_bare")), *own).select(*own, zipped.alias("theirs")).select("doc_id", "mark", "item_id", "shift", F.slice("theirs", F.col("lead") + 1, F.size("theirs")).alias("theirs"))
+    words = items.select(F.col("item_id").alias("item_"), zipped.alias("words"))
+    aligned = theirs.join(words, F.col("item_id").eqNullSafe(F.col("item_")))
     size, low = F.size("words"), F.greatest(F.lit(0), -F.col("shift"))
-    length = F.least(size - low, F.size("theirs") - low - F.col("shift"))
+    length = F.least(size - low, F.size("theirs"))
     pair = lambda a, b: F.struct(
         a["literal"].alias("a"), b["literal"].alias("b"), a["wide"].alias("ta"), b["wide"].alias("tb"), (a["literal"] == b["literal"]).alias("same"),
         ((a["literal"] == b["literal"]) | (a["template"] == b["template"]) | (a["wide"] == b["wide"])).alias("fits"), (a["literal"] == a["wide"]).alias("fixed"),
     )
-    pairs = F.zip_with(F.slice("words", low + 1, length), F.slice("theirs", low + F.col("shift") + 1, length), pair)
+    pairs = F.zip_with(F.slice("words", low + 1, length), F.slice("theirs", 1, length), pair)
     of = F.when(size >= window, window).otherwise(size)
     spans = aligned.filter(length >= of).select("doc_id", "mark", "item_id", of.alias("of"), size.alias("size"), low.alias("low"), pairs.alias("pairs"))
     part = lambda x: F.slice("pairs", x - F.col("low") + 1, F.col("of"))
