@@ -22,7 +22,8 @@ from dossierlake.llm.common import map_batches, staged, text_or_empty, texts_of
 SEQUENCE = 2048
 END_ID = 0
 BLOCK_PIECES = 16384
-CACHE_WORDS = 1 << 20
+CACHE_BYTES = 12 << 20  # of one of the two generations of cached chunks; an entry counts ENTRY_BYTES beside its text and ids
+ENTRY_BYTES = 200
 
 
 def _byte_of() -> dict[str, int]:
@@ -49,19 +50,30 @@ def load_encoding(path: str):
 
 
 class WordCache(dict):
-    """Little-endian ids of a chunk of text; filled on demand and emptied when full."""
+    """Little-endian ids of a chunk of text, filled on demand.
+
+    When the entries reach CACHE_BYTES they become the older generation, from which those asked for again
+    come back, and the one before it goes: common words stay, and a worker holds twice CACHE_BYTES at most.
+    """
 
     def __init__(self, path: str):
         encoding, special = load_encoding(path)
         self.encode = encoding.encode_ordinary
         self.special = {x: np.array([i], "<u4").tobytes() for x, i in special.items()}
         self.split = re.compile("(" + "|".join(re.escape(x) for x in sorted(special, key=len, reverse=True)) + ")").split if special else None
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(chunk), "<u4").tobytes()
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = np.array(self.encode(chunk), "<u4").tobytes()
         if len(chunk) <= 64:
-            if len(self) >= CACHE_WORDS:
+            self.held += ENTRY_BYTES + len(chunk) + len(ids)
+            if self.held > CACHE_BYTES:
+                self.older = dict(self)
                 self.clear()
+                self.held = 0
             self[chunk] = ids
         return ids
 
