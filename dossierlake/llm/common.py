@@ -6,6 +6,7 @@ code points. Hashes are polynomials modulo 2**64 over prefix sums, finished with
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+POWERS = 1 << 19  # powers kept between calls
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -68,10 +70,19 @@ def map_batches(df: DataFrame, work, schema: str | StructType) -> DataFrame:
                 out = work(part)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return memory that a task has freed: workers live on, and the next stage's JVM needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
 def _column(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.Array):
         return values if values.type == kind else values.cast(kind)
@@ -96,11 +107,10 @@ def powers(base: np.uint64, n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B0
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     got = _kept.get(int(base))
     if got is None or len(got) < n:
-        size = max(n, CHUNK_BYTES + 4096 if got is None else 2 * len(got))
-        got = np.full(size, base, np.uint64)
+        got = np.full(max(n, POWERS), base, np.uint64)
         got[0] = 1
         np.multiply.accumulate(got, out=got)
-        if size <= 16 * CHUNK_BYTES:
+        if n <= POWERS:
             _kept[int(base)] = got
     return got[:n]
 
@@ -143,6 +153,15 @@ class Words:
         self.counts = np.diff(self.bounds)
         self.hashes = range_hash(self.data, self.starts, self.ends) if hashed else None
 
+    def part(self, first: int, end: int) -> Words:
+        """The words of texts first to end - 1, over the same bytes."""
+        out = object.__new__(Words)
+        a, b = self.bounds[first], self.bounds[end]
+        out.data, out.offsets = self.data, self.offsets[first : end + 1]
+        out.starts, out.ends, out.bounds, out.counts = self.starts[a:b], self.ends[a:b], self.bounds[first : end + 1] - a, self.counts[first:end]
+        out.hashes = None if self.hashes is None else self.hashes[a:b]
+        return out
+
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

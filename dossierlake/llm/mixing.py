@@ -1,14 +1,16 @@
 """Language-model scores by logistic context mixing.
 
-A text is coded symbol by symbol (its bytes, A-Z lowered, then an end symbol), each symbol as the binary
-decisions of a code tree made from the training bytes. For every decision several predictors look up
-counts under hashed contexts (the last 1, 2, 3 and 5 bytes, the word so far, and the word so far with the
-word before). Their log odds are mixed by weights chosen by a gate, and an adaptive map refines the result.
+A text is coded as binary decisions. Words of a vocabulary are paths in a code tree over words (see
+wordmix); any other word is escaped there and spelled here, byte by byte (A-Z lowered), each byte as a path
+in a code tree over bytes. White space other than single blanks is spelled too. For every decision several
+predictors look up counts under hashed contexts (of the bytes: the last 1, 2, 3 and 5 bytes, the word so
+far, and the word so far with the word before). Their log odds are mixed by weights chosen by a gate, and
+an adaptive map refines the result.
 
 Training runs over all training texts: each task predicts a chunk with what it has learned, adjusts its
-weights, then adds the chunk's counts. Counts are summed over tasks slot by slot and weights averaged, so
-the model has a fixed size that is broadcast, while what is gathered grows with the corpus. Scoring uses
-the merged model, unchanged, on whole texts.
+weights, then adds the chunk's counts. Counts are summed over tasks slot by slot and weights averaged.
+Scoring uses the merged model, unchanged, on whole texts. Tables grow with the training tokens up to a
+bound, so that the model can be broadcast.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossierlake.llm.common import LOWER, SEPARATOR, Words, map_batches, mix, powers, signed, slices, staged, text_or_empty, texts_of
-from dossierlake.llm.common import BASE, BASE_INV
+from dossierlake.llm.common import BASE, BASE_INV, give_back
+from dossierlake.llm.wordmix import INPUTS, BlockSum, RUNS, Vocabulary, WordModel, WordTrainer, gaps, table_bits
 
 END = 255  # never a byte of UTF-8
 ORDERS = (1, 2, 3, 5)
 CONTEXTS = len(ORDERS) + 2
 GATING = (2, 3, 4)  # the contexts whose counts choose the gate: orders 3 and 5, and the word so far
-BITS = 22
+BITS = 19
 SLOTS = 1 << BITS
 BLOCK = 1 << 13  # slots summed together
 PRIOR = 0.1
@@ -39,9 +42,13 @@ GATES = 4**3
 MAP = 33
 START = 0.2  # the weights at first
 RATE = 0.1
-PART_BYTES = 1 << 17  # text that is predicted at once, so that its arrays stay in the cache
+PART_BYTES = 1 << 17  # spelled text that is predicted at once, so that its arrays stay in the cache
+WORD_PART_BYTES = 1 << 17  # the same of words, which have more decisions at a time
 STEP = 1 << 14  # decisions between two changes of the weights
 FREQUENT = 1 << 18  # tokens whose counts are broadcast
+WORDS = 16  # the first number of the word model's tables in what tasks hand over; LETTERS_MIX and WORDS_MIX are the mixers
+LETTERS_MIX, WORDS_MIX = CONTEXTS, WORDS + RUNS + 1
+GAP_BYTES = 7  # six separators and a stop
 
 
 class Code:
@@ -70,9 +77,9 @@ class Code:
                 self.node[level, s], self.branch[level, s] = node, branch
 
 
-def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def symbols(texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of all texts in a row, each text ended by END, and the offsets of the texts."""
-    encoded = [x.encode("utf-8", "surrogatepass") for x in texts]
+    encoded = [x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass") for x in texts]
     data = LOWER[np.frombuffer(b"\xff".join([*encoded, b""]), np.uint8)]
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(x) + 1 for x in encoded], out=offsets[1:])
@@ -147,9 +154,9 @@ def pack_odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 class Mixer:
     """Gated weights and the adaptive map."""
 
-    def __init__(self, weights: np.ndarray | None = None, map_: np.ndarray | None = None):
-        # one row of gates per context
-        self.weights = np.full((CONTEXTS, GATES), START, np.float32) if weights is None else weights
+    def __init__(self, weights: np.ndarray | None = None, map_: np.ndarray | None = None, inputs: int = CONTEXTS):
+        # one row of gates per predictor
+        self.weights = np.full((inputs, GATES), START, np.float32) if weights is None else weights
         # the map: for each gate and step of the mixed log odds, (branches of 1, all), begun with the odds themselves
         if map_ is None:
             middle = 1 / (1 + np.exp(-np.linspace(-8, 8, MAP)))
@@ -167,7 +174,7 @@ class Mixer:
 
     def mixed(self, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         out = odds[0] * self.weights[0].take(gate)
-        for k in range(1, CONTEXTS):
+        for k in range(1, len(self.weights)):
             out += odds[k] * self.weights[k].take(gate)
         return np.clip(out, -12, 12, out=out)
 
@@ -202,27 +209,44 @@ class Mixer:
     def _step(self, odds: list[np.ndarray], gate: np.ndarray, branch: np.ndarray) -> None:
         m = self.mixed(odds, gate)
         p = 1 / (1 + np.exp(-m))
-        error, curve = branch - p, p * (1 - p)
+        error, curve = branch.astype(np.float32) - p, p * (1 - p)
+        # sums per gate, over the decisions in the order of their gates
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
         n = np.bincount(gate, minlength=GATES)
-        for k in range(CONTEXTS):
-            push = odds[k] * error
-            steep = np.bincount(gate, odds[k] * odds[k] * curve, GATES) + 0.01 * n + 1
-            self.weights[k] += (RATE * np.bincount(gate, push, GATES) / steep).astype(np.float32)
+        some = np.flatnonzero(n)
+        starts = (np.cumsum(n) - n)[some]
+        error, curve = error[order], curve[order]
+        for k in range(len(self.weights)):
+            own = odds[k][order]
+            push = np.add.reduceat(own * error, starts)
+            own *= own
+            own *= curve
+            self.weights[k, some] += RATE * push / (np.add.reduceat(own, starts) + 0.01 * n[some] + 1)
         low, part = self.place(m)
         at = gate * MAP + low + (part > 0.5)
         self.map[0] += np.bincount(at, branch, GATES * MAP).reshape(GATES, MAP)
         self.map[1] += np.bincount(at, minlength=GATES * MAP).reshape(GATES, MAP)
         self.grown += n
 
+    def data(self) -> bytes:
+        """The weights by how much they have learned, that itself, and the map: what is added up over tasks."""
+        return zlib.compress(np.concatenate([(self.weights * self.grown).ravel(), self.grown, self.map[0].ravel(), self.map[1].ravel()]).astype("<f8").tobytes(), 1)
+
+    @classmethod
+    def merged(cls, raw: bytes, inputs: int = CONTEXTS) -> Mixer:
+        w, grown, ones, all_ = np.split(np.frombuffer(raw, "<f8"), np.cumsum([GATES * inputs, GATES, GATES * MAP]))
+        w = np.where(grown > 0, w.reshape(inputs, GATES) / np.maximum(grown, 1), START)
+        return cls(w.astype(np.float32), np.stack([ones.reshape(GATES, MAP), all_.reshape(GATES, MAP)]), inputs)
+
 
 class Trainer:
-    """Counts and weights of one task."""
+    """Counts and weights of one task's spelled words."""
 
     def __init__(self, code: Code):
         self.code, self.mixer, self.parts = code, Mixer(), 0
         self.counts = np.zeros((CONTEXTS, 2 * SLOTS), np.uint32)
 
-    def add(self, texts: list[str]) -> None:
+    def add(self, texts: list[str] | list[bytes]) -> None:
         data, offsets = symbols(texts)
         contexts = context_hashes(data, offsets)
         learn = self.parts > 0  # before the first part is counted, all log odds are zero
@@ -248,40 +272,49 @@ class Trainer:
                 part = self.counts[k, 2 * b * BLOCK : 2 * (b + 1) * BLOCK]
                 if part.any():
                     yield {"what": k, "block": b, "data": zlib.compress(part.tobytes(), 1)}
-        m = self.mixer
-        yield {"what": CONTEXTS, "block": 0, "data": zlib.compress(np.concatenate([(m.weights * m.grown).ravel(), m.grown, m.map[0].ravel(), m.map[1].ravel()]).astype("<f8").tobytes(), 1)}
+        yield {"what": LETTERS_MIX, "block": 0, "data": self.mixer.data()}
 
 
 _PIECE = pa.schema([("what", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
 
 
 def _summed(parts: DataFrame) -> DataFrame:
-    """The parts of each (what, block) added up; a task holds one block at a time."""
+    """The parts of each (what, block) added up, in an order that their contents decide; a task holds one block at a time."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total = None, None
+    class Whole:
+        """Sums of arrays: counts of spelled words (packed at the end) and mixers."""
 
-        def close() -> pa.RecordBatch:
-            data = pack_odds(*total.astype(np.float64).reshape(-1, 2).T).tobytes() if key[0] < CONTEXTS else total.tobytes()
-            return pa.RecordBatch.from_pylist([{"what": key[0], "block": key[1], "data": zlib.compress(data, 1)}], _PIECE)
+        def __init__(self, packed: bool):
+            self.kind, self.sum, self.total = (np.uint32, np.uint64, None) if packed else ("<f8", "<f8", None)
 
+        def add(self, data: bytes) -> None:
+            own = np.frombuffer(zlib.decompress(data), self.kind).astype(self.sum)
+            self.total = own if self.total is None else self.total + own
+
+        def packed(self, pack) -> bytes:
+            return zlib.compress((self.total if self.kind == "<f8" else pack(*self.total.astype(np.float64).reshape(-1, 2).T)).tobytes(), 1)
+
+    def fresh(what: int) -> Whole | BlockSum:
+        return BlockSum(what < WORDS + RUNS) if WORDS <= what < WORDS_MIX else Whole(what < CONTEXTS)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                own = np.frombuffer(zlib.decompress(row["data"]), np.uint32 if row["what"] < CONTEXTS else "<f8")
                 if (row["what"], row["block"]) != key:
                     if key is not None:
-                        yield close()
-                    key, total = (row["what"], row["block"]), own.astype(np.uint64 if row["what"] < CONTEXTS else "<f8")
-                else:
-                    total = total + own
+                        yield pa.RecordBatch.from_pylist([{"what": key[0], "block": key[1], "data": total.packed(pack_odds)}], _PIECE)
+                    key, total = (row["what"], row["block"]), fresh(row["what"])
+                total.add(row["data"])
         if key is not None:
-            yield close()
+            yield pa.RecordBatch.from_pylist([{"what": key[0], "block": key[1], "data": total.packed(pack_odds)}], _PIECE)
 
-    return parts.repartition("what", "block").sortWithinPartitions("what", "block").mapInArrow(work, "what int, block int, data binary")
+    sorted_ = parts.repartition("what", "block").sortWithinPartitions("what", "block", F.xxhash64("data"))
+    return sorted_.mapInArrow(work, "what int, block int, data binary")
 
 
 class Model:
-    """The merged model: packed log odds per context and slot, weights and map."""
+    """The merged model of spelled words: packed log odds per context and slot, weights and map."""
 
     def __init__(self, code_counts: np.ndarray, pieces: list[tuple[int, int, bytes]]):
         self.code = Code(code_counts)
@@ -292,15 +325,11 @@ class Model:
             if what < CONTEXTS:
                 self.odds[what, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(raw, np.int16)
             else:
-                x = np.frombuffer(raw, "<f8")
-                sizes = np.cumsum([GATES * CONTEXTS, GATES, GATES * MAP])
-                w, grown, ones, all_ = np.split(x, sizes)
-                w = np.where(grown > 0, w.reshape(CONTEXTS, GATES) / np.maximum(grown, 1), START)
-                self.mixer = Mixer(w.astype(np.float32), np.stack([ones.reshape(GATES, MAP), all_.reshape(GATES, MAP)]))
+                self.mixer = Mixer.merged(raw)
         self.rates = self.mixer.rates()
 
-    def log10(self, texts: list[str]) -> np.ndarray:
-        """The log10 probability of each whole text."""
+    def log10(self, texts: list[str] | list[bytes]) -> np.ndarray:
+        """The log10 probability of each whole text, spelled."""
         data, offsets = symbols(texts)
         contexts = context_hashes(data, offsets)
         whole = np.ones(len(data))  # of each symbol: the product over its few decisions
@@ -318,7 +347,7 @@ def held_out() -> F.Column:
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    """Per task and slice: token hashes with counts (kind 0; the end token is hash 0), and byte counts (kind 1)."""
+    """Per task and slice: token hashes with counts (kind 0; the end token is hash 0), byte counts (kind 1), and gaps (kind 2; 0 and 1 between words, 2 and 3 at an edge, odd ones plain)."""
 
     def work(part: pa.RecordBatch) -> dict:
         texts = texts_of(part)
@@ -326,37 +355,104 @@ def _tokens(docs: DataFrame) -> DataFrame:
         tokens, counts = np.unique(w.hashes, return_counts=True)
         bytes_ = np.bincount(symbols(texts)[0], minlength=256)
         seen = np.flatnonzero(bytes_)
+        _, edge, plain, _ = gaps(w)
         return {
-            "kind": np.concatenate([np.zeros(len(tokens) + 1, np.int32), np.ones(len(seen), np.int32)]),
-            "key": np.concatenate([signed(tokens), [0], seen]),
-            "n": np.concatenate([counts, [len(texts)], bytes_[seen]]),
+            "kind": np.concatenate([np.zeros(len(tokens) + 1, np.int32), np.ones(len(seen), np.int32), np.full(4, 2, np.int32)]),
+            "key": np.concatenate([signed(tokens), [0], seen, np.arange(4)]),
+            "n": np.concatenate([counts, [len(texts)], bytes_[seen], np.bincount(2 * edge + plain, minlength=4)]),
         }
 
     return map_batches(docs.select(text_or_empty().alias("text")), work, "kind int, key long, n long")
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the token counts (key, n) of all given texts."""
+def spelled(words: Words, numbers: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The words with these numbers, joined text by text, and the texts that have any."""
+    if not len(numbers):
+        return [], np.zeros(0, np.int64)
+    data = words.data.tobytes()
+    of = np.searchsorted(words.bounds, numbers, "right") - 1
+    own = [data[a:b] for a, b in zip(words.starts[numbers].tolist(), words.ends[numbers].tolist(), strict=True)]
+    texts, first = np.unique(of, return_index=True)
+    ends = [*first[1:].tolist(), len(own)]
+    return [b" ".join(own[a:b]) for a, b in zip(first.tolist(), ends, strict=True)], texts
+
+
+class TextModel:
+    """Words, spelled words and gaps together."""
+
+    def __init__(self, letters: Model, words: WordModel, gap_counts: np.ndarray):
+        self.letters, self.words = letters, words
+        n = gap_counts.reshape(2, 2) + 0.5
+        self.gap_logs = np.log10(n / n.sum(axis=1, keepdims=True))  # by edge and plain
+
+    def log10(self, texts: list[str]) -> np.ndarray:
+        """The log10 probability of each whole text."""
+        w = Words(texts, lower=True)
+        out, escaped, done = np.zeros(len(texts)), [], 0
+        sizes = np.cumsum(np.diff(w.offsets))
+        while done < len(texts):  # runs of texts of about WORD_PART_BYTES
+            end = max(done + 1, int(np.searchsorted(sizes, (sizes[done - 1] if done else 0) + WORD_PART_BYTES, "right")))
+            out[done:end], rare = self.words.log10(w.part(done, end))
+            escaped.append(rare + w.bounds[done])
+            done = end
+        own, at = spelled(w, np.concatenate(escaped)) if escaped else ([], None)
+        if own:
+            out[at] += self.letters.log10(own)
+        of, edge, plain, length = gaps(w)
+        logs = self.gap_logs[edge.astype(np.intp), plain.astype(np.intp)] - np.where(plain, 0, (length + 1) * math.log10(GAP_BYTES))
+        return out + np.bincount(of, logs, len(texts))
+
+
+def train(docs: DataFrame) -> tuple[TextModel, DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """The model, the token counts (key, n) of all given texts, and the frequent ones of them."""
+    spark = docs.sparkSession
     counted = staged(_tokens(docs).groupBy("kind", "key").agg(F.sum("n").alias("n")), "token-counts")
-    byte_counts = np.zeros(256)
-    for r in counted.filter("kind = 1").collect():
-        byte_counts[r["key"]] = r["n"]
+    byte_counts, gap_counts = np.zeros(256), np.zeros(4)
+    for r in counted.filter("kind > 0").collect():  # 260 rows at most
+        (byte_counts if r["kind"] == 1 else gap_counts)[r["key"]] = r["n"]
+    counts = counted.filter("kind = 0").select("key", "n")
+    n_all, n_texts = (int(x or 0) for x in counts.agg(F.sum("n"), F.sum(F.when(F.col("key") == 0, F.col("n")))).first())
+    frequent = frequent_tokens(counts)
+    own = (frequent[0] != 0) & (frequent[1] > 1)  # words seen once are escaped, which tells how often new ones come
+    vocabulary, bits = Vocabulary(frequent[0][own], frequent[1][own], n_texts, n_all), table_bits(n_all)
+    sent = spark.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = None
+        letters = words = None
+        rare, held = [], 0  # spelled words wait until they make a part
         for batch in batches:
-            for part in slices(batch, PART_BYTES):
-                trainer = trainer or Trainer(Code(byte_counts))
-                trainer.add(texts_of(part))
-        if trainer is not None:
-            rows = list(trainer.rows())
-            for i in range(0, len(rows), 16):
-                yield pa.RecordBatch.from_pylist(rows[i : i + 16], _PIECE)
+            for part in slices(batch, WORD_PART_BYTES):
+                letters = letters or Trainer(Code(byte_counts))
+                words = words or WordTrainer(sent.value, bits, Mixer(inputs=INPUTS))
+                w = Words(texts_of(part), lower=True)
+                own, _ = spelled(w, words.add(w, pack_odds))
+                rare += own
+                held += sum(map(len, own))
+                if held >= PART_BYTES:
+                    letters.add(rare)
+                    rare, held = [], 0
+        if words is not None:
+            if rare:
+                letters.add(rare)
+            rows = []
+            for row in (*letters.rows(), *words.rows(WORDS), {"what": WORDS_MIX, "block": 0, "data": words.mixer.data()}):
+                rows.append(row)
+                if len(rows) == 16:
+                    yield pa.RecordBatch.from_pylist(rows, _PIECE)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, _PIECE)
+        give_back()
 
     parts = docs.select(text_or_empty().alias("text")).mapInArrow(work, "what int, block int, data binary")
     merged = staged(_summed(parts), "model")
-    pieces = [(r["what"], r["block"], bytes(r["data"])) for r in merged.collect()]  # of fixed size: CONTEXTS * SLOTS entries of two bytes
-    return Model(byte_counts, pieces), counted.filter("kind = 0").select("key", "n")
+    pieces = [(r["what"], r["block"], bytes(r["data"])) for r in merged.toLocalIterator()]  # bounded by the tables' sizes
+    mixer = next((Mixer.merged(zlib.decompress(d), INPUTS) for what, _, d in pieces if what == WORDS_MIX), Mixer(inputs=INPUTS))
+    words = WordModel(vocabulary, bits, mixer)
+    for what, block, data in pieces:
+        if WORDS <= what < WORDS_MIX:
+            words.put(what - WORDS, block, data)
+    letters = Model(byte_counts, [x for x in pieces if x[0] <= LETTERS_MIX])
+    return TextModel(letters, words, gap_counts), counts, frequent
 
 
 def frequent_tokens(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -383,9 +479,9 @@ def mixing_scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_or_empty().alias("text"), held_out().alias("held_out"))
-    model, counts = train(rows.filter("NOT held_out"))
+    model, counts, frequent = train(rows.filter("NOT held_out"))
     n_all, n_kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    sent = spark.sparkContext.broadcast((model, *frequent_tokens(counts)))
+    sent = spark.sparkContext.broadcast((model, *frequent))
 
     def work(part: pa.RecordBatch) -> dict:
         model, keys, numbers = sent.value
@@ -407,7 +503,7 @@ def mixing_scores(docs: DataFrame) -> DataFrame:
         rare = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(own[at]), pa.array(n.astype(np.int64))], names=["key", "k"]))
         return {
             "row": part.column("row"), "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": w.counts + 1, "n_known": np.bincount(of[known], minlength=len(texts)),
-            "part_sum": part_sum, "score": np.concatenate([model.log10(texts_of(x)) for x in slices(part, PART_BYTES)]), "n_bytes": np.diff(w.offsets) - 1, "rare": rare,
+            "part_sum": part_sum, "score": model.log10(texts), "n_bytes": np.diff(w.offsets) - 1, "rare": rare,
         }
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
