@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text", "qa", "rank", "corpus", "layout", "checks", "documents")
+MODULES: tuple[str, ...] = ("text", "qa", "rank", "corpus", "layout", "checks", "documents", "forms")
 
 
 def load() -> None:
