@@ -215,19 +215,20 @@ def followers(symbol: np.ndarray, inside: np.ndarray) -> np.ndarray:
 
 
 def sparse(*columns: np.ndarray) -> bytes:
-    """The entries of a block that are not empty: their number, their places and the columns."""
-    at = np.flatnonzero(columns[-1]).astype(np.uint16)
-    return zlib.compress(np.uint32(len(at)).tobytes() + at.tobytes() + b"".join(c[at].tobytes() for c in columns), 1)
+    """The entries of a block whose last column is not zero: a bit for every place, then the columns byte by byte, which packs well."""
+    there = columns[-1] != 0
+    planes = [np.ascontiguousarray(c[there].view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in columns]
+    return zlib.compress(np.packbits(there).tobytes() + b"".join(planes), 1)
 
 
 def from_sparse(data: bytes, *types: str) -> tuple[np.ndarray, ...]:
-    raw = zlib.decompress(data)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    out, at = [], 4
-    for t in ("<u2", *types):
-        own = np.frombuffer(raw, t, n, at)
-        out.append(own.astype(np.intp) if not out else own)
-        at += n * np.dtype(t).itemsize
+    """Places and columns of a block."""
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    places = np.flatnonzero(np.unpackbits(raw[: BLOCK // 8]))
+    n, out, at = len(places), [places], BLOCK // 8
+    for t in map(np.dtype, types):
+        out.append(np.ascontiguousarray(raw[at : at + n * t.itemsize].reshape(t.itemsize, n).T).view(t).ravel())
+        at += n * t.itemsize
     return tuple(out)
 
 
@@ -248,18 +249,21 @@ class WordTrainer:
         before = followers(symbol, inside)[d.of]
         counted = np.flatnonzero(before >= 0)
         at = 2 * node_slot(before[counted], d.node[counted], self.bits)
+        guessed = [guesses(r, c) for r, c in zip(self.runs, hashed, strict=True)]
         if self.parts:
             packed = np.zeros(len(d.of), np.int16)
             packed[counted] = pack_odds(self.nodes[at].astype(np.float32), self.nodes[at + 1].astype(np.float32))
             inputs, gate = [v.node_odds[d.node], (packed >> 2).astype(np.float32) / np.float32(512)], packed & 3
-            for k, (r, c) in enumerate(zip(self.runs, hashed, strict=True)):
-                x, kind = run_input(d, *guesses(r, c))
+            for k, g in enumerate(guessed):
+                x, kind = run_input(d, *g)
                 inputs.append(x)
                 gate = gate if k == 0 else gate | (kind << (2 * k))
             self.mixer.learn(inputs, gate.astype(np.intp), d.branch)
         np.add.at(self.nodes, at + d.branch[counted], np.uint32(1))
-        for r, c in zip(self.runs, hashed, strict=True):
-            r.add(c, symbol)
+        for k, (r, c) in enumerate(zip(self.runs, hashed, strict=True)):
+            # contexts grow: one of three words is kept once its two last words have been met before
+            grown = guessed[k - 1][0] >= 0 if k == RUNS - 1 else slice(None)
+            r.add(c[grown], symbol[grown])
         self.parts += 1
         return escaped
 
@@ -272,7 +276,7 @@ class WordTrainer:
                     yield {"what": first + k, "block": b, "data": sparse(r.entry[part], r.hits[part], r.seen[part])}
             n = self.nodes[2 * b * BLOCK : 2 * (b + 1) * BLOCK].reshape(-1, 2)
             if n.any():
-                yield {"what": first + RUNS, "block": b, "data": sparse(n[:, 0].copy(), n[:, 1].copy(), n.any(axis=1))}
+                yield {"what": first + RUNS, "block": b, "data": sparse(n[:, 0].copy(), n[:, 1].copy(), n.any(axis=1).view(np.uint8))}
 
 
 def guesses(r: Runs, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,9 +309,9 @@ class BlockSum:
         if self.runs:
             odds = np.clip(np.rint(self.total.odds() * 512), -32000, 32000).astype(np.int16)
             there = self.total.seen > 0
-            return sparse(np.where(there, self.total.entry, 0), np.where(there, odds, 0), there)
+            return sparse(np.where(there, self.total.entry, 0), np.where(there, odds, 0), there.view(np.uint8))
         both = self.total.astype(np.float64)
-        return sparse(pack_odds(both[:, 0], both[:, 1]), both.any(axis=1))
+        return sparse(pack_odds(both[:, 0], both[:, 1]), both.any(axis=1).view(np.uint8))
 
 
 class WordModel:
