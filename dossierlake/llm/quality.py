@@ -154,8 +154,8 @@ def quality_rules(docs: DataFrame, reach: float = 8.0, least_rows: int = 100) ->
     source form groups of their own. A table without rows gives no rows. Columns besides doc_id, text,
     lang and source are not read. Repeated rows are judged alike, each on its own.
     """
-    fences = thresholds(measures(docs), reach, least_rows)
-    return judge(measures(docs), fences)
+    measured = staged(measures(docs), "measures")
+    return judge(measured, thresholds(measured, reach, least_rows))
 
 
 def filter_quality(docs: DataFrame, reach: float = 8.0, least_rows: int = 100) -> DataFrame:
