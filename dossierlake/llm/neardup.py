@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossierlake.llm.common import BASE, BASE_INV, SECOND, SECOND_INV, Words, map_batches, mix, range_hash, signed, slices, staged, text_or_empty, texts_of
+from dossierlake.llm.common import BASE, BASE_INV, SECOND, SECOND_INV, Words, map_batches, mix, range_hash, signed, slices, staged, text_mark, text_or_empty, texts_of, without
 from dossierlake.llm.graph import components
 
 SAMPLES = 512
@@ -89,8 +89,8 @@ def signatures(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             out["odd"].append(odd_sketch(m) if len(x) else b"")
         return out
 
-    rows = docs.select("doc_id", F.hash(text_or_empty()).alias("mark"), text_or_empty().alias("text"))
-    return map_batches(rows, work, "doc_id long, mark int, n_shingles long, s1 long, s2 long, bands array<long>, odd binary")
+    rows = docs.select("doc_id", text_mark(), text_or_empty().alias("text"))
+    return map_batches(rows, work, "doc_id long, mark long, n_shingles long, s1 long, s2 long, bands array<long>, odd binary")
 
 
 class Forest:
@@ -181,6 +181,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, in
     component and is kept. Repeated rows repeat. An empty table gives no rows; columns besides doc_id
     and text are not read.
     """
+    return _judged(docs, shingle, similarity).drop("mark")
+
+
+def _judged(docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """near_duplicates, with the mark of each row's text."""
     signed_ = staged(signatures(docs, shingle, similarity[0] / similarity[1]), "signatures")
     usable = signed_.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     best = F.min(F.struct("doc_id", "mark"))
@@ -195,19 +200,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, in
     placed = families.join(blocks, F.col("family") == F.col("family_")).select("node_", "family", "blocks", F.pmod(F.xxhash64("node_"), F.col("blocks")).cast("int").alias("block"))
     sketches = distinct.select("rep", F.col("mark").alias("mark_"), "odd")
     known = staged(placed.join(sketches, F.col("node_") == F.col("rep")).drop("rep"), "family-members")
-    rows = docs.select("doc_id", F.hash(text_or_empty()).alias("mark"), text_or_empty().alias("text"))
+    rows = docs.select("doc_id", text_mark(), text_or_empty().alias("text"))
     with_text = rows.join(known, (F.col("doc_id") == F.col("node_")) & (F.col("mark") == F.col("mark_")))
     paired = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "odd", "text")
     links = components(_confirmed(paired, shingle, similarity)).withColumnsRenamed({"node": "node_", "component": "linked"})
 
     classes = distinct.join(links, F.col("rep") == F.col("node_"), "left").select(F.col("s1").alias("s1_"), F.col("s2").alias("s2_"), F.coalesce("linked", "rep").alias("class"))
     classes = staged(classes, "classes")
-    told = signed_.select("doc_id", "n_shingles", "s1", "s2").join(classes, (F.col("s1") == F.col("s1_")) & (F.col("s2") == F.col("s2_")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
+    told = signed_.select("doc_id", "mark", "n_shingles", "s1", "s2").join(classes, (F.col("s1") == F.col("s1_")) & (F.col("s2") == F.col("s2_")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("class", "doc_id")
-    return told.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return told.select("doc_id", "mark", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns."""
-    gone = staged(near_duplicates(docs, shingle, similarity).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "dropped-documents")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The documents that stay, one of each group, with all their columns, whatever their names.
+
+    Rows are told apart by id and text: of rows that share an id only those in a group with a smaller id go. Rows without an
+    id and without words stay; rows that repeat stay or go together; an empty table gives no rows.
+    """
+    return without(docs, _judged(docs, shingle, similarity).filter("NOT kept").select("doc_id", "mark"), "dropped-documents")
