@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text", "qa", "rank", "corpus", "layout", "checks", "documents", "forms")
+MODULES: tuple[str, ...] = ("text", "qa", "rank", "corpus", "layout", "checks", "documents", "forms", "places")
 
 
 def load() -> None:
