@@ -74,6 +74,12 @@ class Vocabulary:
         for k, (s, place) in enumerate(steps):
             self.places[self.first[s] + depth[s] - 1 - k] = place
             self.codes[s] |= (place & 1).astype(np.uint64) << (63 - (depth[s] - 1 - k)).astype(np.uint64)
+        # a decision's group (the node three decisions are reached from) * 8 + its place there, so that three lookups share a cache line
+        level = np.arange(len(self.places)) - np.repeat(self.first, depth)
+        inner, bits = level % 3, self.places & 1
+        last, one = np.roll(bits, 1), np.roll(bits, 2)
+        within = np.where(inner == 0, 1, np.where(inner == 1, 2 + last, 4 + 2 * one + last))
+        self.groups = ((self.places >> 1)[np.arange(len(level)) - inner] * 8 + within).astype(np.int32)
 
     def symbols(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Symbol and hash of every word and every end, the symbols' place in their text, and the numbers of the words that are escaped."""
@@ -109,14 +115,17 @@ def contexts(hashes: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+RUN = np.dtype([("entry", "<u4"), ("hits", "<u2"), ("seen", "<u2")])  # entry: check and symbol
+GUESS = np.dtype([("entry", "<u4"), ("odds", "<i2")])
+
+
 class Runs:
-    """For each slot of a hashed context: the symbol that followed most, its hits, and how often the context was seen."""
+    """For each slot of a hashed context: the symbol that followed most, the votes it is ahead by, and how often the context was seen."""
 
     def __init__(self, bits: int):
         self.bits = bits
-        self.entry = np.zeros(1 << bits, np.uint32)  # check and symbol
-        self.hits = np.zeros(1 << bits, np.uint16)
-        self.seen = np.zeros(1 << bits, np.uint16)
+        table = np.zeros(1 << bits, RUN)  # side by side, for one cache line a lookup
+        self.entry, self.hits, self.seen = table["entry"], table["hits"], table["seen"]
 
     def add(self, context: np.ndarray, symbol: np.ndarray) -> None:
         slot, check = slots(context, self.bits)
@@ -127,28 +136,28 @@ class Runs:
         self.put(slot, entry, n, n)
 
     def put(self, slot: np.ndarray, entry: np.ndarray, hits: np.ndarray, seen: np.ndarray) -> None:
-        """Add (entry, hits, seen) to their slots: equal entries add up, of two symbols of one context that with more hits stays, of two contexts that seen more, and the other one wears it down."""
-        old = self.entry[slot]
-        same, context = old == entry, (old >> np.uint32(SYMBOL_BITS)) == (entry >> np.uint32(SYMBOL_BITS))
-        context &= self.seen[slot] > 0
-        same &= context
-        total = self.seen.astype(np.int64) if len(slot) * 8 > len(self.seen) else None
-        if total is None:
-            places, back = np.unique(slot[context], return_inverse=True)
-            more = np.bincount(back, seen[context], len(places)).astype(np.int64) if len(places) else np.zeros(0, np.int64)
+        """Add (entry, hits, seen) to their slots. Hits are votes: equal entries add up, another symbol of the same context takes off and comes in when none are left, so a majority always stays. Of two contexts in a slot that seen more stays, and the other one wears it down."""
+        old, held = self.entry[slot], self.seen[slot]
+        context = (old >> np.uint32(SYMBOL_BITS) == entry >> np.uint32(SYMBOL_BITS)) & (held > 0)
+        places, back = np.unique(slot[context], return_inverse=True)
+        if len(places):
+            more = np.bincount(back, seen[context], len(places)).astype(np.int64)
             self.seen[places] = np.minimum(self.seen[places] + more, CEILING)
-        else:
-            total += np.bincount(slot[context], seen[context], len(total)).astype(np.int64)
-            self.seen[:] = np.minimum(total, CEILING)
-        self.hits[slot[same]] = np.minimum(self.hits[slot[same]].astype(np.int64) + hits[same], CEILING)
-        better = context & ~same & (hits > self.hits[slot])
-        self.entry[slot[better]], self.hits[slot[better]] = entry[better], np.minimum(hits[better], CEILING)
-        held = self.seen[slot]
+            same = old[context] == entry[context]
+            own = hits[context]
+            votes = self.hits[places] + np.bincount(back, np.where(same, own, -own), len(places)).astype(np.int64)
+            self.hits[places] = np.minimum(np.abs(votes), CEILING)
+            over = ~same & (votes < 0)[back]
+            self.entry[slot[context][over]] = entry[context][over]
         win = ~context & (seen >= held)
         self.entry[slot[win]], self.hits[slot[win]], self.seen[slot[win]] = entry[win], np.minimum(hits[win], CEILING), np.minimum(seen[win], CEILING)
         worn = slot[~context & (seen < held)]
         self.seen[worn] -= np.minimum(self.seen[worn], 1)
         self.hits[worn] = np.minimum(self.hits[worn], self.seen[worn])
+        # of several new entries for a slot one stands now; others of its context count too
+        again = win & (self.entry[slot] != entry) & (self.entry[slot] >> np.uint32(SYMBOL_BITS) == entry >> np.uint32(SYMBOL_BITS))
+        if again.any():
+            self.put(slot[again], entry[again], hits[again], seen[again])
 
     def odds(self) -> np.ndarray:
         return run_odds(self.hits, self.seen)
@@ -160,7 +169,9 @@ def slots(context: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_odds(hits: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    return np.log((hits + np.float32(0.4)) / (np.maximum(seen, hits).astype(np.float32) - hits + np.float32(0.4)))
+    """Log odds of the standing symbol: its votes and all others' tell how often it came."""
+    came = (np.minimum(hits, seen).astype(np.float32) + seen) * np.float32(0.5)
+    return np.log((came + np.float32(0.4)) / (seen - came + np.float32(0.4)))
 
 
 class Decisions:
@@ -171,8 +182,9 @@ class Decisions:
         first = np.cumsum(self.depth) - self.depth
         self.of = np.repeat(np.arange(len(symbol)), self.depth)
         self.level = np.arange(len(self.of)) - np.repeat(first, self.depth)
-        place = v.places[np.repeat(v.first[symbol], self.depth) + self.level]
-        self.node, self.branch = place >> 1, place & 1
+        at = np.repeat(v.first[symbol], self.depth) + self.level
+        place = v.places[at]
+        self.node, self.branch, self.group = place >> 1, place & 1, v.groups[at]
         self.sign = (2 * self.branch - 1).astype(np.float32)
 
 
@@ -197,13 +209,13 @@ def run_input(d: Decisions, guess: np.ndarray, odds: np.ndarray) -> tuple[np.nda
     return out, np.repeat(kind, d.depth) * (left >= 0)
 
 
-def node_slot(previous: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+def node_slot(previous: np.ndarray, group: np.ndarray, bits: int) -> np.ndarray:
     x = (previous.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-    x ^= node.astype(np.uint32) * np.uint32(0x85EBCA6B)
+    x ^= (group >> 3).astype(np.uint32) * np.uint32(0x85EBCA6B)
     x ^= x >> np.uint32(15)
     x *= np.uint32(0xC2B2AE35)
     x ^= x >> np.uint32(13)
-    return (x & np.uint32((1 << bits) - 1)).astype(np.intp)
+    return (((x & np.uint32((1 << (bits - 3)) - 1)) << np.uint32(3)) | (group & 7).astype(np.uint32)).astype(np.intp)
 
 
 def followers(symbol: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -248,7 +260,7 @@ class WordTrainer:
         d = Decisions(v, symbol)
         before = followers(symbol, inside)[d.of]
         counted = np.flatnonzero(before >= 0)
-        at = 2 * node_slot(before[counted], d.node[counted], self.bits)
+        at = 2 * node_slot(before[counted], d.group[counted], self.bits)
         guessed = [guesses(r, c) for r, c in zip(self.runs, hashed, strict=True)]
         if self.parts:
             packed = np.zeros(len(d.of), np.int16)
@@ -320,14 +332,13 @@ class WordModel:
     def __init__(self, v: Vocabulary, bits: int, mixer):
         self.v, self.bits, self.mixer = v, bits, mixer
         self.rates = mixer.rates()
-        self.entry = np.zeros((RUNS, 1 << bits), np.uint32)
-        self.odds = np.zeros((RUNS, 1 << bits), np.int16)
+        self.runs = np.zeros((RUNS, 1 << bits), GUESS)
         self.nodes = np.zeros(1 << bits, np.int16)
 
     def put(self, k: int, block: int, data: bytes) -> None:
         if k < RUNS:
             at, entry, odds = from_sparse(data, "<u4", "<i2")
-            self.entry[k, block * BLOCK + at], self.odds[k, block * BLOCK + at] = entry, odds
+            self.runs["entry"][k, block * BLOCK + at], self.runs["odds"][k, block * BLOCK + at] = entry, odds
         else:
             at, packed = from_sparse(data, "<i2")
             self.nodes[block * BLOCK + at] = packed
@@ -340,13 +351,14 @@ class WordModel:
         before = followers(symbol, inside)[d.of]
         counted = np.flatnonzero(before >= 0)
         packed = np.zeros(len(d.of), np.int16)
-        packed[counted] = self.nodes[node_slot(before[counted], d.node[counted], self.bits)]
+        packed[counted] = self.nodes[node_slot(before[counted], d.group[counted], self.bits)]
         inputs, gate = [v.node_odds[d.node], (packed >> 2).astype(np.float32) / np.float32(512)], packed & 3
         for k, c in enumerate(contexts(hashes, inside)):
             slot, check = slots(c, self.bits)
-            entry = self.entry[k].take(slot.astype(np.intp))
+            found = self.runs[k][slot.astype(np.intp)]
+            entry, odds = found["entry"], found["odds"].astype(np.float32) / np.float32(512)
             there = (entry > 0) & (entry >> np.uint32(SYMBOL_BITS) == check)
-            x, kind = run_input(d, np.where(there, (entry & SYMBOL).astype(np.int64), -1), self.odds[k].take(slot.astype(np.intp)).astype(np.float32) / np.float32(512))
+            x, kind = run_input(d, np.where(there, (entry & SYMBOL).astype(np.int64), -1), odds)
             inputs.append(x)
             gate = gate if k == 0 else gate | (kind << (2 * k))
         gate = gate.astype(np.intp)
