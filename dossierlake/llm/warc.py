@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from dossierlake.llm.common import shared_dir, staged
 
-ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+ARCHIVES, INDEXES = "archive/", "indexes/"
+ARCHIVE, INDEX = ARCHIVES + "data.warc.gz", INDEXES + "index.cdxj"
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PACKAGE_BYTES = 64 << 20
 READ_BYTES = 4 << 20
 DATE = "2000-01-01T00:00:00Z"
@@ -107,8 +109,8 @@ class ZipRanges:
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (names in lower case) and block of one gzip-compressed WARC record."""
-    plain = gzip.decompress(raw)
+    """Headers (names in lower case) and block of one WARC record, gzip-compressed or plain."""
+    plain = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
     head, _, rest = plain.partition(b"\r\n\r\n")
     first, *lines = head.decode("utf-8").split("\r\n")
     if not first.startswith("WARC/"):
@@ -117,20 +119,51 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["content-length"])]
 
 
+def http_payload(block: bytes) -> bytes:
+    """The payload of a response's block: what follows its HTTP head, or all of a block without one."""
+    if not block.startswith(b"HTTP/"):
+        return block
+    return block.partition(b"\r\n\r\n")[2]
+
+
+def index_lines(z: ZipRanges) -> Iterator[dict]:
+    """The places of all records, from every index member (CDXJ, gzip-compressed or plain)."""
+    for name in sorted(n for n in z.members if n.startswith(INDEXES) and n.rstrip("/") != INDEXES.rstrip("/")):
+        if not name.endswith((".cdxj", ".cdxj.gz", ".cdx", ".cdx.gz")):
+            continue
+        data = z.member(name)
+        for line in (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode("utf-8").splitlines():
+            at = line.find("{")
+            if line[:1] != "!" and at >= 0:
+                yield json.loads(line[at:])
+
+
 def read_package(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """All records of a package in index order; neighbouring records share a ranged read of at most READ_BYTES, or one record."""
+    """Headers and payload of all records of a package in index order, from whichever archive member each index line names; neighbouring records share a ranged read of at most READ_BYTES, or one record.
+
+    Offsets and lengths may be numbers or their text. A name without a folder is looked for below ARCHIVES.
+    """
     z = ZipRanges(read, size)
-    base = z.data_start(ARCHIVE)
-    places = [(x["offset"], x["length"]) for x in (json.loads(line.split(" ", 2)[2]) for line in z.member(INDEX).decode("utf-8").splitlines())]
+    places = []
+    for x in index_lines(z):
+        name = x.get("filename") or ARCHIVE
+        places.append((name if name in z.members else ARCHIVES + name, int(x["offset"]), int(x["length"])))
+    starts: dict[str, int] = {}
     at = 0
     while at < len(places):
+        member, first, _ = places[at]
+        if member not in z.members:
+            raise ValueError(f"the index names {member}, which the package does not hold")
+        base = starts.setdefault(member, -1)
+        if base < 0:
+            base = starts[member] = z.data_start(member)
         end = at + 1
-        while end < len(places) and places[end][0] == sum(places[end - 1]) and sum(places[end]) - places[at][0] <= READ_BYTES:
+        while end < len(places) and places[end][0] == member and places[end][1] == sum(places[end - 1][1:]) and sum(places[end][1:]) - first <= READ_BYTES:
             end += 1
-        first = places[at][0]
-        block = read(base + first, sum(places[end - 1]) - first)
-        for offset, length in places[at:end]:
-            yield parse_record(block[offset - first : offset - first + length])
+        block = read(base + first, sum(places[end - 1][1:]) - first)
+        for _, offset, length in places[at:end]:
+            headers, own = parse_record(block[offset - first : offset - first + length])
+            yield headers, http_payload(own)
         at = end
 
 
@@ -141,21 +174,22 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, original: int | None) -> bytes:
-    """One WARC record; original: the page whose response this one revisits, or None for a response."""
+def record(page_id: int | None, url: str, payload: bytes, original: int | None, record_id: str | None = None) -> bytes:
+    """One WARC record; original: the page whose response this one revisits, or None for a response. record_id: by default the page's."""
     kind = "response" if original is None else "revisit"
     headers = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
+        "WARC-Record-ID": record_id or f"<urn:page:{'' if page_id is None else page_id}>",
+        **({} if page_id is None else {"X-Page-ID": str(page_id)}),
         "WARC-Target-URI": "".join(url.split()),
         "WARC-Date": DATE,
         "WARC-Payload-Digest": f"sha1:{digest32(payload)}",
         "X-Payload-Length": str(len(payload)),
-        "Content-Type": "text/html",
+        "Content-Type": "application/http; msgtype=response",
     }
     if original is not None:
         headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{original}>"}
-    block = payload if original is None else b""
+    block = HTTP_HEAD + (payload if original is None else b"")
     headers["Content-Length"] = str(len(block))
     head = "".join(f"{k}: {v}\r\n" for k, v in headers.items())
     return gzip.compress(b"WARC/1.1\r\n" + head.encode("utf-8") + b"\r\n" + block + b"\r\n\r\n", 1, mtime=0)
@@ -165,10 +199,14 @@ class PackageWriter:
     """Collects records up to PACKAGE_BYTES and hands out whole packages."""
 
     def __init__(self):
-        self.archive, self.index = io.BytesIO(), []
+        self.archive, self.index, self.ids = io.BytesIO(), [], set()
 
     def add(self, page_id: int | None, url: str, payload: bytes, original: int | None) -> None:
-        raw = record(page_id, url, payload, original)
+        # a page that repeats, or has no id, is a record with an id of its own
+        own = page_id is not None and page_id not in self.ids
+        raw = record(page_id, url, payload, original, None if own else f"<urn:uuid:{uuid.uuid4()}>")
+        if own:
+            self.ids.add(page_id)
         place = {"offset": self.archive.tell(), "length": len(raw), "filename": ARCHIVE}
         self.index.append(f"{'' if page_id is None else page_id} {DATE} {json.dumps(place)}\n")
         self.archive.write(raw)
@@ -182,7 +220,7 @@ class PackageWriter:
             for name, data in ((ARCHIVE, self.archive.getbuffer()), (INDEX, "".join(self.index).encode("utf-8"))):
                 with z.open(zipfile.ZipInfo(name), "w", force_zip64=True) as f:
                     f.write(data)
-        self.archive, self.index = io.BytesIO(), []
+        self.archive, self.index, self.ids = io.BytesIO(), [], set()
         return out.getvalue()
 
 
@@ -239,8 +277,8 @@ READ = "page_id long, url string, payload_bytes long, payload_digest string, rec
 def read_archives(packages: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """One row per record of the listed packages; a record's payload digest is checked where it has a payload."""
 
-    def number(urn: str) -> int | None:
-        digits = urn.strip("<>").rpartition(":")[2]
+    def number(urn: str | None) -> int | None:
+        digits = (urn or "").strip("<>").rpartition(":")[2]
         return int(digits) if digits else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +294,7 @@ def read_archives(packages: DataFrame, folder: str, payloads: bool = True) -> Da
                         if kind == "response" and digest32(block) != digest:
                             raise ValueError(f"{name}: a payload differs from its digest")
                         rows.append({
-                            "page_id": number(headers["warc-record-id"]), "url": headers["warc-target-uri"], "payload_bytes": int(headers["x-payload-length"]), "payload_digest": digest,
+                            "page_id": number(headers.get("x-page-id")), "url": headers["warc-target-uri"], "payload_bytes": int(headers["x-payload-length"]), "payload_digest": digest,
                             "record_type": kind, "refers_to": number(headers["warc-refers-to"]) if kind == "revisit" else None, "payload": block.decode("utf-8") if payloads and kind == "response" else None,
                         })
                         held += len(block)
