@@ -101,6 +101,11 @@ def includes_signal(normalized: Column, term: Column) -> Column:
     return F.when(term == "", False).when(term.rlike("^[a-z0-9.]+$"), F.array_contains(raw_tokens(normalized), term)).otherwise(F.contains(normalized, term))
 
 
+def includes_term(text: Column, words: Column, term: Column) -> Column:
+    """includes_signal where the text's raw tokens are at hand: inside a lambda they would be split off again for every term."""
+    return F.when(term == "", False).when(term.rlike("^[a-z0-9.]+$"), F.array_contains(words, term)).otherwise(F.contains(text, term))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 

@@ -11,8 +11,9 @@ from dossierlake.functions import text as T
 LOW, MEDIUM, HIGH = "low", "medium", "high"
 
 
-def _hits(array: str | Column, text: Column) -> Column:
-    return F.filter(array, lambda x: T.includes_signal(text, x))
+def _hits(array: str | Column, name: str) -> Column:
+    """The terms that stand in a text of section_features."""
+    return F.filter(array, lambda x: T.includes_term(F.col(f"{name}_text"), F.col(f"{name}_words"), x))
 
 
 def _weak(token: Column) -> Column:
@@ -23,28 +24,37 @@ def _distinctive(token: Column) -> Column:
     return ~token.isin(*T.STOPWORDS) & ~_weak(token) & ((F.length(token) >= 4) | token.rlike(r"\d"))
 
 
+def section_features(sections: DataFrame) -> DataFrame:
+    """Sections with the normalised texts, words and tokens that relevance looks at: once a section, before any question meets it."""
+    text = lambda *cs: T.normalize_search(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in cs]))
+    d = sections.withColumns({
+        "title_text": text("title", "section"), "body_text": T.normalize_search(F.col("text")), "source_text": text("source", "chapter", "document"),
+        "title_tokens": T.meaningful_tokens(F.concat_ws(" ", "title", "section")), "body_tokens": T.meaningful_tokens(F.col("text")), "source_tokens": T.meaningful_tokens(F.concat_ws(" ", "source", "chapter", "document")),
+    })
+    d = d.withColumns({"all_text": F.concat_ws(" ", "title_text", "body_text", "source_text"), "own_text": F.concat_ws(" ", "title_text", "body_text")})
+    d = d.withColumns({f"{x}_words": T.raw_tokens(F.col(f"{x}_text")) for x in ("title", "body", "source", "all", "own")})
+    return d.withColumn("own_numbers", T.numbers(F.col("own_text")))
+
+
 def relevance(candidates: DataFrame) -> DataFrame:
     """Evidence, score and first reason of rejection of candidate rows.
 
-    Rows carry the question's signals, the section's fields and the retrieval score. A token counts once,
-    in the best field that has it.
+    Rows carry the question's signals, the section's fields (with section_features or without) and the
+    retrieval score. A token counts once, in the best field that has it.
     """
-    d = candidates
-    title = T.normalize_search(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("section", F.lit(""))))
-    body, source = T.normalize_search(F.col("text")), T.normalize_search(F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("chapter", F.lit("")), F.col("document")))
-    d = d.withColumns({"title_text": title, "body_text": body, "source_text": source, "title_tokens": T.meaningful_tokens(F.concat_ws(" ", "title", "section")), "body_tokens": T.meaningful_tokens(F.col("text")), "source_tokens": T.meaningful_tokens(F.concat_ws(" ", "source", "chapter", "document"))})
-    d = d.withColumns({"all_text": F.concat_ws(" ", "title_text", "body_text", "source_text"), "in_title": F.array_intersect("tokens", "title_tokens")})
+    d = candidates if "own_numbers" in candidates.columns else section_features(candidates)
+    d = d.withColumn("in_title", F.array_intersect("tokens", "title_tokens"))
     d = d.withColumn("in_body", F.array_intersect(F.array_except("tokens", "title_tokens"), "body_tokens"))
     rest = F.array_except(F.array_except("tokens", "title_tokens"), "body_tokens")
     d = d.withColumns({
-        "in_source": _hits(rest, F.col("source_text")),
-        "phrase_hits": _hits("phrases", F.col("all_text")),
+        "in_source": _hits(rest, "source"),
+        "phrase_hits": _hits("phrases", "all"),
         "rare": F.filter(F.array_intersect("tokens", F.array_union(F.array_union("title_tokens", "body_tokens"), "source_tokens")), lambda t: (F.length(t) >= 6) | t.rlike(r"\d")),
-        "numeric_hits": F.filter("numeric", lambda r: T.includes_signal(F.concat_ws(" ", "title_text", "body_text"), r) | F.exists(T.numbers(r), lambda a: F.exists(T.numbers(F.concat_ws(" ", "title_text", "body_text")), lambda b: F.abs(a - b) < 0.0001))),
-        "contrast_hits": _hits(F.array_distinct(F.concat("contrast", "baseline")), F.col("all_text")),
+        "numeric_hits": F.filter("numeric", lambda r: T.includes_term(F.col("own_text"), F.col("own_words"), r) | F.exists(T.numbers(r), lambda a: F.exists("own_numbers", lambda b: F.abs(a - b) < 0.0001))),
+        "contrast_hits": _hits(F.array_distinct(F.concat("contrast", "baseline")), "all"),
         "code_hits": F.filter(F.array("hs_code"), lambda c: F.contains(F.lower(F.col("question")), c)),
     })
-    d = d.withColumns({"title_phrases": _hits("phrase_hits", F.col("title_text")), "body_phrases": _hits("phrase_hits", F.col("body_text")), "strong_phrases": F.filter("phrase_hits", lambda p: F.exists(T.meaningful_tokens(p), lambda t: ~_weak(t)))})
+    d = d.withColumns({"title_phrases": _hits("phrase_hits", "title"), "body_phrases": _hits("phrase_hits", "body"), "strong_phrases": F.filter("phrase_hits", lambda p: F.exists(T.meaningful_tokens(p), lambda t: ~_weak(t)))})
     n = {x: F.size(x) for x in ("in_title", "in_body", "in_source", "phrase_hits", "rare", "numeric_hits", "contrast_hits", "code_hits", "title_phrases", "body_phrases", "strong_phrases")}
     evidence = n["code_hits"] + n["in_title"] + n["in_body"] + n["in_source"] + n["phrase_hits"] + n["numeric_hits"]
     strong = n["code_hits"] + n["title_phrases"] + n["numeric_hits"] + n["strong_phrases"] + n["rare"]
@@ -79,11 +89,11 @@ def validate(rated: DataFrame, scope: list[str] | None = None) -> DataFrame:
     })
     many = lambda p: F.size(F.filter(T.meaningful_tokens(p), _distinctive)) >= 2
     product = F.exists("phrase_hits", lambda p: F.size(T.meaningful_tokens(p)) >= 2) | (F.size("distinctive") >= 1)
-    supported = F.exists(F.concat("matched", "phrase_hits", "numeric_hits"), lambda t: T.includes_signal(F.concat_ws(" ", "title_text", "body_text"), t))
+    supported = F.exists(F.concat("matched", "phrase_hits", "numeric_hits"), lambda t: T.includes_term(F.col("own_text"), F.col("own_words"), t))
     own_title = F.filter("title_tokens", lambda t: _distinctive(t) & ~t.rlike(r"^\d+(?:\.\d+)*$"))
     shared = F.size(F.array_intersect(own_title, F.filter("tokens", _distinctive)))
     near_title = (shared >= 2) | ((F.size(own_title) == 1) & (shared == 1))
-    against = F.exists(F.array_distinct(F.concat("contrast", "baseline")), lambda t: T.includes_signal(F.col("title_text"), t))
+    against = F.exists(F.array_distinct(F.concat("contrast", "baseline")), lambda t: T.includes_term(F.col("title_text"), F.col("title_words"), t))
     numeric = F.size("numeric_hits") > 0
     d = d.withColumns({"product_evidence": product, "supported": supported})
     d = d.withColumn("strong", F.array_compact(F.array(

@@ -2,7 +2,7 @@
 
 Questions are rows. A question meets the sections that share a token with it through the index, so the
 work follows the postings, not questions times sections; phrases and numbers are then looked at on those
-candidates alone.
+candidates alone, and where only the best are wanted, on those that can still be among them.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ CONTRAST_WEIGHT = {"title": 6, "heading": 4, "body": 1}
 CODE_WEIGHT, NUMERIC_WEIGHT = 40, 11
 
 
-def _known(normalized: Column, terms: list[str]) -> Column:
-    return F.filter(F.array(*map(F.lit, terms)), lambda t: T.includes_signal(normalized, t))
+def _known(normalized: Column, words: Column, terms: list[str]) -> Column:
+    return F.filter(F.array(*map(F.lit, terms)), lambda t: T.includes_term(normalized, words, t))
 
 
 def _phrase_pattern(phrase: Column) -> Column:
@@ -43,7 +43,8 @@ def signals(queries: DataFrame) -> DataFrame:
     after = lambda p: F.get(F.split(n, _phrase_pattern(p), 2), F.lit(1))
     baseline = F.flatten(F.transform("contrast", lambda p: F.slice(F.filter(T.raw_tokens(after(p)), lambda t: F.length(t) >= 3), 1, 4)))
     q = q.withColumn("baseline", F.array_distinct(baseline))
-    known = F.concat(*[_known(n, terms) for terms in (T.PHYSICAL_TERMS, T.USAGE_TERMS, T.TRADE_TERMS)])
+    q = q.withColumn("words", T.raw_tokens(n))
+    known = F.concat(*[_known(n, F.col("words"), terms) for terms in (T.PHYSICAL_TERMS, T.USAGE_TERMS, T.TRADE_TERMS)])
     q = q.withColumn("known", known)
     more = F.flatten(F.transform("known", lambda t: F.filter(F.transform(F.split(t, " "), T.token_form), lambda x: F.length(x) >= 3)))
     q = q.withColumn("tokens", F.array_except(F.array_distinct(F.concat(T.meaningful_tokens(F.col("question")), more)), F.col("baseline")))
@@ -81,23 +82,49 @@ def _weight(weights: dict[str, int]) -> Column:
 PARTS = ("hs_code", "title", "heading", "body", "captions", "source", "numeric", "contrast_penalty")
 
 
-def field_scores(queries: DataFrame, fields: DataFrame) -> DataFrame:
-    """query_id, section_id, the parts of the score (p_*) and their sum, for sections that share a token with the question."""
+def token_scores(queries: DataFrame, fields: DataFrame) -> DataFrame:
+    """query_id, section_id and the parts of the score that the index alone decides (t_*, p_hs_code, p_contrast_penalty), for sections that share a token with the question."""
     tokens = lambda name, against: queries.select("query_id", F.explode(name).alias("token"), F.lit(against).alias("against"))
-    hits = inverted_index(fields).join(F.broadcast(tokens("tokens", False).unionByName(tokens("baseline", True))), "token")
+    hits = inverted_index(fields).join(tokens("tokens", False).unionByName(tokens("baseline", True)), "token")
     summed = lambda keep, weight: F.sum(F.when(keep, F.col("tf") * weight).otherwise(0))
     positive = ~F.col("against")
-    found = hits.groupBy("query_id", "section_id").agg(
+    return hits.groupBy("query_id", "section_id").agg(
         *[summed(positive & (F.col("field") == f), w).alias(f"t_{f}") for f, w in TOKEN_WEIGHT.items()],
         summed(positive & (F.col("field") == "title") & F.col("token").rlike(T.CODE), CODE_WEIGHT).alias("p_hs_code"),
         (-summed(F.col("against"), _weight(CONTRAST_WEIGHT))).alias("p_contrast_penalty"),
     )
-    texts = fields.select("section_id", *[f"f_{f}" for f in FIELDS])
-    both = found.join(F.broadcast(queries.select("query_id", "phrases", "numeric")), "query_id").join(texts, "section_id")
-    long_ = F.filter("phrases", lambda p: F.contains(p, F.lit(" ")))
-    hit = lambda array, text: F.size(F.filter(array, lambda x: T.includes_signal(text, x)))
-    parts = {f"p_{f}": F.col(f"t_{f}") + (hit(long_, F.col(f"f_{f}")) * PHRASE_WEIGHT[f] if f in PHRASE_WEIGHT else 0) for f in FIELDS}
-    parts["p_numeric"] = hit("numeric", F.concat_ws(" ", "f_title", "f_heading", "f_body", "f_captions")) * NUMERIC_WEIGHT
+
+
+def _long(phrases: str) -> Column:
+    return F.filter(phrases, lambda p: F.contains(p, F.lit(" ")))
+
+
+def contenders(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The scored pairs that can still be among the k best of their query.
+
+    Phrases and numbers only add, and no more than all of them in every field; so a pair that stays below
+    the k-th best token score even with all of them cannot come in.
+    """
+    sure = sum((F.col(f"t_{f}") for f in FIELDS), F.col("p_hs_code") + F.col("p_contrast_penalty"))
+    room = queries.select("query_id", (F.size(_long("phrases")) * sum(PHRASE_WEIGHT.values()) + F.size("numeric") * NUMERIC_WEIGHT).alias("_room"))
+    w = Window.partitionBy("query_id").orderBy(F.col("_sure").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = found.withColumn("_sure", sure).withColumn("_n", F.row_number().over(w))
+    least = ranked.filter(F.col("_n") == k).select("query_id", F.col("_sure").alias("_least"))
+    kept = ranked.join(room, "query_id").join(least, "query_id", "left").filter(F.col("_least").isNull() | (F.col("_sure") + F.col("_room") >= F.col("_least")))
+    return kept.drop("_sure", "_n", "_room", "_least")
+
+
+def field_scores(queries: DataFrame, fields: DataFrame, k: int | None = None) -> DataFrame:
+    """query_id, section_id, the parts of the score (p_*) and their sum, for sections that share a token with the question; with k, of those alone that can be among a query's k best."""
+    found = token_scores(queries, fields)
+    if k is not None:
+        found = contenders(found, queries, k)
+    texts = fields.select("section_id", *[f"f_{f}" for f in FIELDS], F.concat_ws(" ", "f_title", "f_heading", "f_body", "f_captions").alias("_all"))
+    texts = texts.withColumn("_words", T.raw_tokens(F.col("_all")))
+    both = found.join(queries.select("query_id", _long("phrases").alias("_long"), "numeric"), "query_id").join(texts, "section_id")
+    hit = lambda text: F.size(F.filter("_long", lambda x: F.contains(text, x)))
+    parts = {f"p_{f}": F.col(f"t_{f}") + (hit(F.col(f"f_{f}")) * PHRASE_WEIGHT[f] if f in PHRASE_WEIGHT else 0) for f in FIELDS}
+    parts["p_numeric"] = F.size(F.filter("numeric", lambda x: T.includes_term(F.col("_all"), F.col("_words"), x))) * NUMERIC_WEIGHT
     scored = both.withColumns(parts).select("query_id", "section_id", *[F.col(f"p_{x}").cast("long").alias(f"p_{x}") for x in PARTS])
     return scored.withColumn("score", sum((F.col(f"p_{x}") for x in PARTS), F.lit(0)).cast("long"))
 

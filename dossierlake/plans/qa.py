@@ -96,8 +96,8 @@ scored AS (SELECT query_id, section_id, {", ".join(f"CAST(p_{x} AS BIGINT) AS p_
 RETRIEVED = f"WITH {SIGNALS}, {FIELDS}, {INDEX}, {SCORES}"
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.field_scores(retrieval.signals(questions(spark, sf_dir)), retrieval.search_fields(part_sections(spark, sf_dir)))
+def scores(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
+    return retrieval.field_scores(retrieval.signals(questions(spark, sf_dir)), retrieval.search_fields(part_sections(spark, sf_dir)), k)
 
 
 @query("score_breakdown", f"{RETRIEVED} SELECT * FROM scored")
@@ -115,5 +115,5 @@ TOP = 10
 
 @query("field_weighted_score", f"{RETRIEVED} SELECT query_id, section_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS INT) AS rank FROM scored WHERE score > 0) WHERE rank <= {TOP}")
 def field_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieval.top_k(scores(spark, sf_dir).filter("score > 0"), TOP, F.col("score").desc(), F.col("section_id"))
+    best = retrieval.top_k(scores(spark, sf_dir, TOP).filter("score > 0"), TOP, F.col("score").desc(), F.col("section_id"))
     return best.select("query_id", "section_id", "score", "rank")
