@@ -197,3 +197,22 @@ _CITED = "'Source: ' || document || ', pages ' || page_start || '–' || page_en
 def qa_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole question batch, answered: signals, retrieval, relevance, validation, ranking, broadness, gate and reply."""
     return answers.reply(gated(spark, sf_dir))
+
+
+_CODED = "section_id % 9 <> 0"  # sections that stand for those with a code
+
+
+@query("usability_rank", f"{WITH_VALIDATED} SELECT query_id, section_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN {_CODED} THEN 0 ELSE 1 END, score DESC, document, seven) AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS seven FROM validated)")
+def usability_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with a code before others, then by score and document; the ranking for the question decides among equals."""
+    seven = F.row_number().over(Window.partitionBy("query_id").orderBy(*ranking.rank_order()))
+    ranked = validated(spark, sf_dir).withColumn("seven", seven)
+    order = (F.when(F.expr(_CODED), 0).otherwise(1), F.col("score").desc(), F.col("document"), F.col("seven"))
+    return ranked.select("query_id", "section_id", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank"))
+
+
+@query("topk_per_query", f"WITH {SIGNALS}, {FIELDS}, {INDEX}, {SCORES} SELECT query_id, max(score) AS best, min(score) AS least, count(*) AS n FROM (SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS r FROM scored WHERE score > 0) WHERE r <= 3 GROUP BY query_id")
+def topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best sections of every query, summed up."""
+    best = retrieval.top_k(scores(spark, sf_dir, 3).filter("score > 0"), 3, F.col("score").desc(), F.col("section_id"))
+    return best.groupBy("query_id").agg(F.max("score").alias("best"), F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
