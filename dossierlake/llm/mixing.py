@@ -172,10 +172,15 @@ class Mixer:
         gate |= (packed[GATING[2]] & 3) << 4
         return odds, gate.astype(np.intp)
 
-    def mixed(self, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+    def mixed(self, odds: list, gate: np.ndarray) -> np.ndarray:
+        """The mixed log odds; of predictors that say little, the decisions and their log odds are given."""
         out = odds[0] * self.weights[0].take(gate)
         for k in range(1, len(self.weights)):
-            out += odds[k] * self.weights[k].take(gate)
+            if isinstance(odds[k], tuple):
+                at, x = odds[k]
+                out[at] += x * self.weights[k].take(gate[at])
+            else:
+                out += odds[k] * self.weights[k].take(gate)
         return np.clip(out, -12, 12, out=out)
 
     @staticmethod
@@ -201,31 +206,44 @@ class Mixer:
     def rates(self) -> np.ndarray:
         return (self.map[0] / self.map[1]).ravel().astype(np.float32)
 
-    def learn(self, odds: list[np.ndarray], gate: np.ndarray, branch: np.ndarray) -> None:
+    def learn(self, odds: list, gate: np.ndarray, branch: np.ndarray) -> None:
         """Steps of every gate's weights along the gradient, each divided by its curvature, and the map's counts."""
+
+        def part(o, i: int):
+            if not isinstance(o, tuple):
+                return o[i : i + STEP]
+            a, b = np.searchsorted(o[0], (i, i + STEP))
+            return o[0][a:b] - i, o[1][a:b]
+
         for i in range(0, len(gate), STEP):
-            self._step([o[i : i + STEP] for o in odds], gate[i : i + STEP], branch[i : i + STEP])
+            self._step([part(o, i) for o in odds], gate[i : i + STEP], branch[i : i + STEP])
 
-    def _step(self, odds: list[np.ndarray], gate: np.ndarray, branch: np.ndarray) -> None:
+    def _step(self, odds: list, gate: np.ndarray, branch: np.ndarray) -> None:
         m = self.mixed(odds, gate)
         p = 1 / (1 + np.exp(-m))
         error, curve = branch.astype(np.float32) - p, p * (1 - p)
-        # sums per gate, over the decisions in the order of their gates
-        order = np.argsort(gate.astype(np.uint8), kind="stable")
         n = np.bincount(gate, minlength=GATES)
-        some = np.flatnonzero(n)
-        starts = (np.cumsum(n) - n)[some]
-        error, curve = error[order], curve[order]
         for k in range(len(self.weights)):
-            own = odds[k][order]
-            push = np.add.reduceat(own * error, starts)
-            own *= own
-            own *= curve
-            self.weights[k, some] += RATE * push / (np.add.reduceat(own, starts) + 0.01 * n[some] + 1)
-        low, part = self.place(m)
-        at = gate * MAP + low + (part > 0.5)
-        self.map[0] += np.bincount(at, branch, GATES * MAP).reshape(GATES, MAP)
-        self.map[1] += np.bincount(at, minlength=GATES * MAP).reshape(GATES, MAP)
+            if isinstance(odds[k], tuple):
+                at, own = odds[k]
+                g, e, c = gate[at], error[at], curve[at]
+            else:
+                own, g, e, c = odds[k], gate, error, curve
+            push = np.bincount(g, own * e, GATES)
+            c = c * own
+            c *= own
+            self.weights[k] += (RATE * push / (np.bincount(g, c, GATES) + 0.01 * n + 1)).astype(np.float32)
+        # the nearest step of the map
+        np.clip(m, -8, 8, out=m)
+        m += 8
+        m *= (MAP - 1) / 16
+        at = np.rint(m, out=m).astype(np.intp)
+        at += gate * MAP
+        at *= 2
+        at += branch
+        seen = np.bincount(at, minlength=2 * GATES * MAP).reshape(GATES, MAP, 2)
+        self.map[0] += seen[:, :, 1]
+        self.map[1] += seen.sum(axis=2)
         self.grown += n
 
     def data(self) -> bytes:
@@ -346,23 +364,55 @@ def held_out() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
+TOKENS = 1 << 21  # token hashes that a task holds before it counts them
+
+
 def _tokens(docs: DataFrame) -> DataFrame:
-    """Per task and slice: token hashes with counts (kind 0; the end token is hash 0), byte counts (kind 1), and gaps (kind 2; 0 and 1 between words, 2 and 3 at an edge, odd ones plain)."""
+    """Per task: token hashes with counts (kind 0; the end token is hash 0), byte counts (kind 1), and gaps (kind 2; 0 and 1 between words, 2 and 3 at an edge, odd ones plain).
 
-    def work(part: pa.RecordBatch) -> dict:
-        texts = texts_of(part)
-        w = Words(texts, lower=True)
-        tokens, counts = np.unique(w.hashes, return_counts=True)
-        bytes_ = np.bincount(symbols(texts)[0], minlength=256)
-        seen = np.flatnonzero(bytes_)
-        _, edge, plain, _ = gaps(w)
-        return {
-            "kind": np.concatenate([np.zeros(len(tokens) + 1, np.int32), np.ones(len(seen), np.int32), np.full(4, 2, np.int32)]),
-            "key": np.concatenate([signed(tokens), [0], seen, np.arange(4)]),
-            "n": np.concatenate([counts, [len(texts)], bytes_[seen], np.bincount(2 * edge + plain, minlength=4)]),
-        }
+    A task counts what it holds whenever that reaches TOKENS; where most of that stays apart, it is handed on.
+    """
+    schema = "kind int, key long, n long"
+
+    def rows(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(key), 1 << 16):
+            own = key[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own.astype(np.int64)), pa.array(n[i : i + (1 << 16)].astype(np.int64))], names=["kind", "key", "n"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held = [], [], 0
+        bytes_, kinds, texts_seen = np.zeros(256, np.int64), np.zeros(4, np.int64), 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            own, back = np.unique(np.concatenate(keys), return_inverse=True)
+            return own, np.bincount(back, np.concatenate(counts), len(own)).astype(np.int64)
+
+        for batch in batches:
+            for part in slices(batch, 1 << 20):
+                texts = texts_of(part)
+                w = Words(texts, lower=True)
+                own, n = np.unique(w.hashes, return_counts=True)
+                keys.append(signed(own))
+                counts.append(n)
+                held += len(own)
+                bytes_ += np.bincount(symbols(texts)[0], minlength=256)
+                _, edge, plain, _ = gaps(w)
+                kinds += np.bincount(2 * edge + plain, minlength=4)
+                texts_seen += len(texts)
+                if held >= TOKENS:
+                    own, n = summed()
+                    if 2 * len(own) > TOKENS:
+                        yield from rows(0, own, n)
+                        own, n = own[:0], n[:0]
+                    keys, counts, held = [own], [n], len(own)
+        if texts_seen:
+            own, n = summed()
+            yield from rows(0, np.append(own, 0), np.append(n, texts_seen))
+            yield from rows(1, np.flatnonzero(bytes_), bytes_[bytes_ > 0])
+            yield from rows(2, np.arange(4), kinds)
+        give_back()
 
-    return map_batches(docs.select(text_or_empty().alias("text")), work, "kind int, key long, n long")
+    return docs.select(text_or_empty().alias("text")).mapInArrow(work, schema)
 
 
 def spelled(words: Words, numbers: np.ndarray) -> tuple[list[bytes], np.ndarray]:

@@ -10,7 +10,6 @@ sure that was. Their log odds go through the gated mixer and the adaptive map.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,7 +115,8 @@ def contexts(hashes: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
 
 
 RUN = np.dtype([("entry", "<u4"), ("hits", "<u2"), ("seen", "<u2")])  # entry: check and symbol
-GUESS = np.dtype([("entry", "<u4"), ("odds", "<i2")])
+CHECK = np.uint64((1 << (32 - SYMBOL_BITS)) - 1)
+GUESS = np.dtype([("entry", "<u4"), ("odds", "<i2"), ("there", "<u2")])
 
 
 class Runs:
@@ -126,6 +126,7 @@ class Runs:
         self.bits = bits
         table = np.zeros(1 << bits, RUN)  # side by side, for one cache line a lookup
         self.entry, self.hits, self.seen = table["entry"], table["hits"], table["seen"]
+        self.whole = table.view(np.uint64)
 
     def add(self, context: np.ndarray, symbol: np.ndarray) -> None:
         slot, check = slots(context, self.bits)
@@ -179,9 +180,9 @@ class Decisions:
 
     def __init__(self, v: Vocabulary, symbol: np.ndarray):
         self.v, self.symbol, self.depth = v, symbol, v.depth[symbol]
-        first = np.cumsum(self.depth) - self.depth
+        self.first = np.cumsum(self.depth) - self.depth
         self.of = np.repeat(np.arange(len(symbol)), self.depth)
-        self.level = np.arange(len(self.of)) - np.repeat(first, self.depth)
+        self.level = np.arange(len(self.of)) - np.repeat(self.first, self.depth)
         at = np.repeat(v.first[symbol], self.depth) + self.level
         place = v.places[at]
         self.node, self.branch, self.group = place >> 1, place & 1, v.groups[at]
@@ -194,19 +195,36 @@ def leading(x: np.ndarray) -> np.ndarray:
     return 64 - np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1])
 
 
-def run_input(d: Decisions, guess: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log odds that a guessed symbol gives each decision on its path, zero elsewhere, and their class.
+def run_input(d: Decisions, guess: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The decisions that a guessed symbol's path shares, the log odds it gives each, and their class.
 
     A guess shares a symbol's path as far as their codes agree: up to there it is right, at the next decision wrong.
     """
-    g = np.maximum(guess, 0)
-    shared = np.where(guess >= 0, np.minimum(leading(d.v.codes[g] ^ d.v.codes[d.symbol]), d.depth), -1)
-    left = np.repeat(shared, d.depth) - d.level
-    kind = (1 + (odds >= FAIR) + (odds >= SURE)).astype(np.int16)
-    out = np.repeat(odds, d.depth)
-    out *= d.sign
-    out *= (left > 0).astype(np.float32) - (left == 0)
-    return out, np.repeat(kind, d.depth) * (left >= 0)
+    some = np.flatnonzero(guess >= 0)
+    depth = d.depth[some]
+    shared = np.minimum(leading(d.v.codes[guess[some]] ^ d.v.codes[d.symbol[some]]), depth)
+    n = np.minimum(shared + 1, depth)
+    level = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(d.first[some], n) + level
+    x = np.repeat(odds[some], n) * d.sign[at]
+    np.negative(x, out=x, where=level == np.repeat(shared, n))
+    own = odds[some]
+    return at, x, np.repeat(1 + (own >= FAIR) + (own >= SURE), n)
+
+
+def predictions(d: Decisions, counted: np.ndarray, packed: np.ndarray, guessed: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list, np.ndarray]:
+    """The predictors' inputs, all but the first one given only where they have something to say, and the gate."""
+    gate = np.zeros(len(d.of), np.intp)
+    seen = packed & 3
+    gate[counted] = seen
+    told = seen > 0
+    inputs: list = [d.v.node_odds[d.node], (counted[told], (packed[told] >> 2).astype(np.float32) / np.float32(512))]
+    for k, g in enumerate(guessed):
+        at, x, kind = run_input(d, *g)
+        inputs.append((at, x))
+        if k:
+            gate[at] |= kind << (2 * k)
+    return inputs, gate
 
 
 def node_slot(previous: np.ndarray, group: np.ndarray, bits: int) -> np.ndarray:
@@ -230,12 +248,12 @@ def sparse(*columns: np.ndarray) -> bytes:
     """The entries of a block whose last column is not zero: a bit for every place, then the columns byte by byte, which packs well."""
     there = columns[-1] != 0
     planes = [np.ascontiguousarray(c[there].view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in columns]
-    return zlib.compress(np.packbits(there).tobytes() + b"".join(planes), 1)
+    return np.packbits(there).tobytes() + b"".join(planes)
 
 
 def from_sparse(data: bytes, *types: str) -> tuple[np.ndarray, ...]:
     """Places and columns of a block."""
-    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    raw = np.frombuffer(data, np.uint8)
     places = np.flatnonzero(np.unpackbits(raw[: BLOCK // 8]))
     n, out, at = len(places), [places], BLOCK // 8
     for t in map(np.dtype, types):
@@ -263,14 +281,9 @@ class WordTrainer:
         at = 2 * node_slot(before[counted], d.group[counted], self.bits)
         guessed = [guesses(r, c) for r, c in zip(self.runs, hashed, strict=True)]
         if self.parts:
-            packed = np.zeros(len(d.of), np.int16)
-            packed[counted] = pack_odds(self.nodes[at].astype(np.float32), self.nodes[at + 1].astype(np.float32))
-            inputs, gate = [v.node_odds[d.node], (packed >> 2).astype(np.float32) / np.float32(512)], packed & 3
-            for k, g in enumerate(guessed):
-                x, kind = run_input(d, *g)
-                inputs.append(x)
-                gate = gate if k == 0 else gate | (kind << (2 * k))
-            self.mixer.learn(inputs, gate.astype(np.intp), d.branch)
+            packed = pack_odds(self.nodes[at].astype(np.float32), self.nodes[at + 1].astype(np.float32))
+            inputs, gate = predictions(d, counted, packed, guessed)
+            self.mixer.learn(inputs, gate, d.branch)
         np.add.at(self.nodes, at + d.branch[counted], np.uint32(1))
         for k, (r, c) in enumerate(zip(self.runs, hashed, strict=True)):
             # contexts grow: one of three words is kept once its two last words have been met before
@@ -292,11 +305,12 @@ class WordTrainer:
 
 
 def guesses(r: Runs, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The standing symbol of each context, -1 for none, and its log odds."""
     slot, check = slots(context, r.bits)
-    slot = slot.astype(np.intp)
-    entry, seen = r.entry[slot], r.seen[slot]
-    there = (seen > 0) & (entry >> np.uint32(SYMBOL_BITS) == check)
-    return np.where(there, (entry & SYMBOL).astype(np.int64), -1), run_odds(r.hits[slot], seen)
+    found = r.whole[slot.astype(np.intp)]
+    seen = (found >> np.uint64(48)).astype(np.uint16)
+    there = (seen > 0) & ((found >> np.uint64(SYMBOL_BITS)) & CHECK == check)
+    return np.where(there, (found & np.uint64(SYMBOL)).astype(np.int64), -1), run_odds(((found >> np.uint64(32)) & np.uint64(CEILING)).astype(np.uint16), seen)
 
 
 class BlockSum:
@@ -338,7 +352,8 @@ class WordModel:
     def put(self, k: int, block: int, data: bytes) -> None:
         if k < RUNS:
             at, entry, odds = from_sparse(data, "<u4", "<i2")
-            self.runs["entry"][k, block * BLOCK + at], self.runs["odds"][k, block * BLOCK + at] = entry, odds
+            own = self.runs[k, block * BLOCK : (block + 1) * BLOCK]
+            own["entry"][at], own["odds"][at], own["there"][at] = entry, odds, 1
         else:
             at, packed = from_sparse(data, "<i2")
             self.nodes[block * BLOCK + at] = packed
@@ -350,23 +365,23 @@ class WordModel:
         d = Decisions(v, symbol)
         before = followers(symbol, inside)[d.of]
         counted = np.flatnonzero(before >= 0)
-        packed = np.zeros(len(d.of), np.int16)
-        packed[counted] = self.nodes[node_slot(before[counted], d.group[counted], self.bits)]
-        inputs, gate = [v.node_odds[d.node], (packed >> 2).astype(np.float32) / np.float32(512)], packed & 3
+        packed = self.nodes[node_slot(before[counted], d.group[counted], self.bits)]
+        guessed, whole = [], self.runs.view(np.uint64)
         for k, c in enumerate(contexts(hashes, inside)):
             slot, check = slots(c, self.bits)
-            found = self.runs[k][slot.astype(np.intp)]
-            entry, odds = found["entry"], found["odds"].astype(np.float32) / np.float32(512)
-            there = (entry > 0) & (entry >> np.uint32(SYMBOL_BITS) == check)
-            x, kind = run_input(d, np.where(there, (entry & SYMBOL).astype(np.int64), -1), odds)
-            inputs.append(x)
-            gate = gate if k == 0 else gate | (kind << (2 * k))
-        gate = gate.astype(np.intp)
+            found = whole[k][slot.astype(np.intp)]
+            there = (found >> np.uint64(48) > 0) & ((found >> np.uint64(SYMBOL_BITS)) & CHECK == check)
+            odds = ((found >> np.uint64(32)) & np.uint64(CEILING)).astype(np.uint16).view(np.int16)
+            guessed.append((np.where(there, (found & np.uint64(SYMBOL)).astype(np.int64), -1), odds.astype(np.float32) / np.float32(512)))
+        inputs, gate = predictions(d, counted, packed, guessed)
         p = self.mixer.refined(self.mixer.mixed(inputs, gate), gate, self.rates)
-        np.subtract(1, p, out=p, where=d.branch == 0)
-        logs = np.log10(np.maximum(p, 1e-6))
-        texts = len(words.counts)
-        return np.bincount(np.repeat(np.arange(texts), words.counts + 1)[d.of], logs, texts), escaped
+        # the probability of the branch taken
+        p -= np.float32(0.5)
+        p *= d.sign
+        p += np.float32(0.5)
+        logs = np.log(np.maximum(p, np.float32(1e-6), out=p), out=p)
+        begin = d.first[np.flatnonzero(inside == 0)]  # of each text, which has its end at least
+        return np.add.reduceat(logs, begin, dtype=np.float64) / np.log(10) if len(begin) else np.zeros(0), escaped
 
 
 def gaps(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

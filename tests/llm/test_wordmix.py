@@ -44,7 +44,10 @@ def test_guesses_agree_as_far_as_paths_do():
     symbol, guess = rng.integers(0, 502, 400), rng.integers(-1, 502, 400)
     d = wordmix.Decisions(v, symbol)
     odds = np.ones(400, np.float32)
-    got, kind = wordmix.run_input(d, guess, odds)
+    places, x, kinds = wordmix.run_input(d, guess, odds)
+    got, kind = np.zeros(len(d.of)), np.zeros(len(d.of), int)
+    got[places], kind[places] = x, kinds
+    assert len(set(places.tolist())) == len(places)
     at = 0
     for s, g in zip(symbol, guess):
         own = v.places[v.first[s] : v.first[s] + v.depth[s]].tolist()
