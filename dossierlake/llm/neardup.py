@@ -1,9 +1,11 @@
 """Near duplicates: MinHash bands propose, odd sketches estimate, full shingle sets confirm.
 
 Documents with equal shingle sets collapse first. Bands join the distinct sets into families (everything
-reachable through shared buckets). A family is cut into blocks, and every pair of blocks is looked at in
-one task: odd sketches (MinHash samples folded into a parity bitmap) rank the pairs by the population
-count of their XOR, and full sets decide, as long as a pair is not yet connected by confirmed links.
+reachable through shared buckets). A family is cut into blocks. Inside a block, and between its members and
+the family's leader, odd sketches (MinHash samples folded into a parity bitmap) rank the pairs by the
+population count of their XOR, and full sets decide, as long as a pair is not yet connected by confirmed
+links. That settles families of one block, and those whose members are all near copies. Only families that are
+still in several parts then have their blocks compared two by two, without pairs inside a part.
 Only a spanning forest leaves a task, so no group of copies is ever written out as pairs.
 """
 
@@ -109,9 +111,15 @@ class Forest:
         self.up[self.find(x)] = self.find(y)
 
 
-def links_between(left: list[int], right: list[int], odd: np.ndarray, sets: list[np.ndarray], similarity: tuple[int, int]) -> list[tuple[int, int]]:
-    """A spanning forest of the true links between two blocks (or inside one, if they are the same)."""
+def links_between(left: list[int], right: list[int], odd: np.ndarray, sets: list[np.ndarray], similarity: tuple[int, int], parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the true links between two blocks (or inside one, if they are the same), leaving out pairs that are already in one part."""
     part, whole = similarity
+    forest = Forest(len(sets))
+    if parts is not None:
+        for x in np.unique(parts):
+            own = np.flatnonzero(parts == x)
+            for k in own[1:]:
+                forest.join(int(own[0]), int(k))
     sizes = np.array([len(x) for x in sets])
     a_all, b_all, d_all = [], [], []
     for k, a in enumerate(left):
@@ -120,13 +128,15 @@ def links_between(left: list[int], right: list[int], odd: np.ndarray, sets: list
             continue
         d = np.bitwise_count(odd[others] ^ odd[a]).sum(axis=1)
         near = (estimate(d) >= part / whole - MARGIN) & (np.minimum(sizes[others], sizes[a]) * whole >= np.maximum(sizes[others], sizes[a]) * part)
+        if parts is not None:
+            near &= parts[others] != parts[a]
         a_all.append(np.full(near.sum(), a))
         b_all.append(others[near])
         d_all.append(d[near])
     if not a_all:
         return []
     a_all, b_all, d_all = map(np.concatenate, (a_all, b_all, d_all))
-    forest, out = Forest(len(sets)), []
+    out = []
     for i in np.argsort(d_all, kind="stable"):
         a, b = int(a_all[i]), int(b_all[i])
         if forest.find(a) != forest.find(b):
@@ -138,10 +148,10 @@ def links_between(left: list[int], right: list[int], odd: np.ndarray, sets: list
 
 
 def _confirmed(members: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """Links (a, b) of the block pairs, which arrive sorted by family and block pair."""
+    """Links (a, b) of the block pairs, which arrive sorted by family and block pair; a row tells the part its document is known to be in, null for none."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, blocks, odd, sets = None, [], [], [], []
+        key, ids, blocks, odd, parts, sets = None, [], [], [], [], []
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def close() -> pa.RecordBatch | None:
@@ -150,20 +160,22 @@ def _confirmed(members: DataFrame, shingle: int, similarity: tuple[int, int]) ->
             _, i, j = key
             left = [k for k, x in enumerate(blocks) if x == i]
             right = left if i == j else [k for k, x in enumerate(blocks) if x == j]
-            found = links_between(left, right, np.frombuffer(b"".join(odd), np.uint64).reshape(len(odd), -1), sets, similarity)
+            known = None if parts[0] is None else np.array(parts)
+            found = links_between(left, right, np.frombuffer(b"".join(odd), np.uint64).reshape(len(odd), -1), sets, similarity, known)
             return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], schema=schema) if found else None
 
         for batch in batches:
             for part in slices(batch):
-                rows = zip(*(part.column(k).to_pylist() for k in ("family", "i", "j", "doc_id", "block", "odd")), shingle_sets(texts_of(part), shingle), strict=True)
-                for family, i, j, doc_id, block, sketch, items in rows:
+                rows = zip(*(part.column(k).to_pylist() for k in ("family", "i", "j", "doc_id", "block", "odd", "part")), shingle_sets(texts_of(part), shingle), strict=True)
+                for family, i, j, doc_id, block, sketch, known, items in rows:
                     if (family, i, j) != key:
                         if (out := close()) is not None:
                             yield out
-                        key, ids, blocks, odd, sets = (family, i, j), [], [], [], []
+                        key, ids, blocks, odd, parts, sets = (family, i, j), [], [], [], [], []
                     ids.append(doc_id)
                     blocks.append(block)
                     odd.append(sketch)
+                    parts.append(known)
                     sets.append(items)
         if (out := close()) is not None:
             yield out
@@ -202,8 +214,23 @@ def _judged(docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataF
     known = staged(placed.join(sketches, F.col("node_") == F.col("rep")).drop("rep"), "family-members")
     rows = docs.select("doc_id", text_mark(), text_or_empty().alias("text"))
     with_text = rows.join(known, (F.col("doc_id") == F.col("node_")) & (F.col("mark") == F.col("mark_")))
-    paired = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "odd", "text")
-    links = components(_confirmed(paired, shingle, similarity)).withColumnsRenamed({"node": "node_", "component": "linked"})
+    own = ["family", "blocks", "block", "doc_id", "odd", "text"]
+    none = F.lit(None).cast("long")
+    # every block with the family's leader, its smallest member
+    leader = with_text.filter((F.col("doc_id") == F.col("family")) & (F.col("blocks") > 1)).select(*own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    led = with_text.select(*own).unionByName(leader.filter("other <> block").withColumn("block", F.col("other")).select(*own))
+    sure = staged(_confirmed(led.select("family", F.col("block").alias("i"), F.col("block").alias("j"), "doc_id", "block", "odd", none.alias("part"), "text"), shingle, similarity), "links")
+    links = components(sure)
+    if known.filter("blocks > 1").limit(1).count():
+        parts = staged(links, "parts").select(F.col("node").alias("member"), F.col("component").alias("own_part"))
+        members = known.filter("blocks > 1").join(parts, F.col("node_") == F.col("member"), "left").select("node_", "mark_", "family", "blocks", "block", "odd", F.coalesce("own_part", "node_").alias("part"))
+        open_ = members.groupBy(F.col("family").alias("open")).agg(F.countDistinct("part").alias("n")).filter("n > 1").select("open")
+        rest = staged(members.join(open_, F.col("family") == F.col("open"), "left_semi"), "unsettled")
+        if rest.limit(1).count():
+            left = rows.join(rest, (F.col("doc_id") == F.col("node_")) & (F.col("mark") == F.col("mark_"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")
+            paired = left.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "odd", "part", "text")
+            links = components(sure.unionByName(_confirmed(paired, shingle, similarity)))
+    links = links.withColumnsRenamed({"node": "node_", "component": "linked"})
 
     classes = distinct.join(links, F.col("rep") == F.col("node_"), "left").select(F.col("s1").alias("s1_"), F.col("s2").alias("s2_"), F.coalesce("linked", "rep").alias("class"))
     classes = staged(classes, "classes")
