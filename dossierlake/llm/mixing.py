@@ -497,10 +497,7 @@ def train(docs: DataFrame) -> tuple[TextModel, DataFrame, tuple[np.ndarray, np.n
     merged = staged(_summed(parts), "model")
     pieces = [(r["what"], r["block"], bytes(r["data"])) for r in merged.toLocalIterator()]  # bounded by the tables' sizes
     mixer = next((Mixer.merged(zlib.decompress(d), INPUTS) for what, _, d in pieces if what == WORDS_MIX), Mixer(inputs=INPUTS))
-    words = WordModel(vocabulary, bits, mixer)
-    for what, block, data in pieces:
-        if WORDS <= what < WORDS_MIX:
-            words.put(what - WORDS, block, data)
+    words = WordModel(vocabulary, bits, mixer, [(what - WORDS, block, data) for what, block, data in pieces if WORDS <= what < WORDS_MIX])
     letters = Model(byte_counts, [x for x in pieces if x[0] <= LETTERS_MIX])
     return TextModel(letters, words, gap_counts), counts, frequent
 

@@ -43,7 +43,6 @@ class Vocabulary:
         place = np.argsort(own.view(np.uint64), kind="stable")
         # sorted as unsigned numbers, so that their first bits lead to their place
         self.keys, self.ids = np.append(own.view(np.uint64)[place], ~np.uint64(0)), np.append(place, -1)
-        self.starts = np.searchsorted(self.keys, np.arange(1 << PREFIX_BITS, dtype=np.uint64) << np.uint64(64 - PREFIX_BITS))
         self.end, self.escape = len(own), len(own) + 1
         weight = np.concatenate([n, [max(texts, 1), max(tokens - texts - n.sum(), 1)]])
         size = len(weight)
@@ -59,12 +58,26 @@ class Vocabulary:
             odds[made - size] = np.log(w1 / w0)
             heapq.heappush(heap, (w0 + w1, made))
         self.node_odds = odds
+        self.parent, self.turn = parent.astype(np.int32), branch.astype(np.int8)
+        self._lay_paths()
+
+    def __getstate__(self) -> dict:
+        """The tree, from which the paths are laid again: a tenth of their size."""
+        return {k: getattr(self, k) for k in ("keys", "ids", "end", "escape", "node_odds", "parent", "turn")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._lay_paths()
+
+    def _lay_paths(self) -> None:
+        self.starts = np.searchsorted(self.keys, np.arange(1 << PREFIX_BITS, dtype=np.uint64) << np.uint64(64 - PREFIX_BITS))
+        size = self.escape + 1
         root, now, steps = 2 * size - 2, np.arange(size), []
         depth = np.zeros(size, np.int64)
         while (here := now != root).any():
-            steps.append((np.flatnonzero(here), ((parent[now[here]] - size) * 2 + branch[now[here]]).astype(np.int32)))
+            steps.append((np.flatnonzero(here), (self.parent[now[here]] - size) * 2 + self.turn[now[here]]))
             depth[here] += 1
-            now = np.where(here, parent[now], now)
+            now = np.where(here, self.parent[now], now)
         self.depth = depth
         self.first = np.concatenate([[0], np.cumsum(depth)[:-1]])
         self.places = np.zeros(int(depth.sum()), np.int32)
@@ -341,22 +354,27 @@ class BlockSum:
 
 
 class WordModel:
-    """The merged tables and the mixer, for scoring."""
-
-    def __init__(self, v: Vocabulary, bits: int, mixer):
-        self.v, self.bits, self.mixer = v, bits, mixer
-        self.rates = mixer.rates()
-        self.runs = np.zeros((RUNS, 1 << bits), GUESS)
-        self.nodes = np.zeros(1 << bits, np.int16)
-
-    def put(self, k: int, block: int, data: bytes) -> None:
-        if k < RUNS:
-            at, entry, odds = from_sparse(data, "<u4", "<i2")
-            own = self.runs[k, block * BLOCK : (block + 1) * BLOCK]
-            own["entry"][at], own["odds"][at], own["there"][at] = entry, odds, 1
-        else:
-            at, packed = from_sparse(data, "<i2")
-            self.nodes[block * BLOCK + at] = packed
+    """The merged tables and the mixer, for scoring. It travels as the blocks it was made of, which hold no empty slots."""
+
+    def __init__(self, v: Vocabulary, bits: int, mixer, blocks: list[tuple[int, int, bytes]]):
+        self.__setstate__({"v": v, "bits": bits, "mixer": mixer, "blocks": blocks})
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("v", "bits", "mixer", "blocks")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.rates = self.mixer.rates()
+        self.runs = np.zeros((RUNS, 1 << self.bits), GUESS)
+        self.nodes = np.zeros(1 << self.bits, np.int16)
+        for k, block, data in self.blocks:
+            if k < RUNS:
+                at, entry, odds = from_sparse(data, "<u4", "<i2")
+                own = self.runs[k, block * BLOCK : (block + 1) * BLOCK]
+                own["entry"][at], own["odds"][at], own["there"][at] = entry, odds, 1
+            else:
+                at, packed = from_sparse(data, "<i2")
+                self.nodes[block * BLOCK + at] = packed
 
     def log10(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """The log10 probability of each text's symbols, and the numbers of the escaped words."""

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pickle
 
 import numpy as np
 import pytest
@@ -103,12 +104,11 @@ def test_a_text_seen_before_costs_less():
     trainer = wordmix.WordTrainer(v, 16, mixing.Mixer(inputs=wordmix.INPUTS))
     for k in range(0, 40, 4):
         trainer.add(Words([*texts[k : k + 4], *texts[:2]], lower=True), mixing.pack_odds)
-    model = wordmix.WordModel(v, 16, trainer.mixer)
     sums = {}
     for r in trainer.rows(0):
         s = sums.setdefault((r["what"], r["block"]), wordmix.BlockSum(r["what"] < wordmix.RUNS))
         s.add(r["data"])
-    for (what, block), s in sums.items():
-        model.put(what, block, s.packed(mixing.pack_odds))
+    model = wordmix.WordModel(v, 16, trainer.mixer, [(what, block, s.packed(mixing.pack_odds)) for (what, block), s in sums.items()])
+    model = pickle.loads(pickle.dumps(model))  # as it reaches the workers
     logs, _ = model.log10(Words([texts[0], " ".join(f"w{x}" for x in rng.integers(0, 500, 60))]))
     assert logs[0] > 0.6 * logs[1] and math.isfinite(logs[1]) and logs[1] < 0
