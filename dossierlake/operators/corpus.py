@@ -87,16 +87,18 @@ def flatten_json_tree(trees: DataFrame, key: str = "document", payload: str = "t
     """Nodes of nested JSON trees, level by level: `nodes` of a node, or else its `children`; text joins text, summary and prefix summary.
 
     Each level is one projection and explode over what the level above left; it ends when no node has
-    children or at `depth`.
+    children. Trees of more than `depth` levels raise an error: nothing is left out.
     """
     children = F.coalesce(F.expr("variant_get(node, '$.nodes', 'array<variant>')"), F.expr("variant_get(node, '$.children', 'array<variant>')"))
     now = trees.select(key, F.lit("").alias("path"), F.lit(0).alias("level"), F.parse_json(payload).alias("node"))
     out = None
-    for _ in range(depth):
+    for level in range(depth + 1):
         now = now.select(key, "path", "level", F.posexplode(children).alias("i", "child")).select(key, F.concat_ws("/", F.nullif("path", F.lit("")), F.lpad(F.col("i").cast("string"), 4, "0")).alias("path"), (F.col("level") + 1).alias("level"), F.col("child").alias("node"))
         now = now.persist()
         if now.isEmpty():
             break
+        if level == depth:
+            raise ValueError(f"a tree has more than {depth} levels")
         text = F.concat_ws(" ", *[F.expr(f"variant_get(node, '$.{x}', 'string')") for x in ("text", "summary", "prefix_summary")])
         rows = now.select(key, "path", "level", F.expr("variant_get(node, '$.title', 'string')").alias("title"), text.alias("text"), F.coalesce(F.size(children), F.lit(0)).alias("child_count"))
         out = rows if out is None else out.unionByName(rows)

@@ -91,3 +91,13 @@ def test_greedy_dedupe_is_not_transitive(spark):
     boxes = [(1, 1, 0, 0, 100, 100), (1, 2, 30, 0, 130, 98), (1, 3, 60, 0, 160, 96)]
     rows = {r.block_id: r.duplicate_of for r in layout.greedy_dedupe(spark.createDataFrame(boxes, "page long, block_id long, x0 long, y0 long, x1 long, y1 long")).collect()}
     assert rows == {1: None, 2: 1, 3: None}
+
+
+def test_a_tree_deeper_than_given_raises(spark):
+    tree = '{"title": "leaf"}'
+    for _ in range(5):
+        tree = '{"title": "x", "nodes": [' + tree + "]}"
+    trees = spark.createDataFrame([("d", '{"nodes": [' + tree + "]}")], "document string, tree string")
+    assert corpus.flatten_json_tree(trees, depth=6).count() == 6
+    with pytest.raises(ValueError):
+        corpus.flatten_json_tree(trees, depth=5)
