@@ -71,27 +71,35 @@ class Vocabulary:
 
     def _lay_paths(self) -> None:
         self.starts = np.searchsorted(self.keys, np.arange(1 << PREFIX_BITS, dtype=np.uint64) << np.uint64(64 - PREFIX_BITS))
+        # level by level, so that no more than one entry a symbol is held beside the paths
         size = self.escape + 1
-        root, now, steps = 2 * size - 2, np.arange(size), []
-        depth = np.zeros(size, np.int64)
-        while (here := now != root).any():
-            steps.append((np.flatnonzero(here), (self.parent[now[here]] - size) * 2 + self.turn[now[here]]))
+        root = 2 * size - 2
+        depth, now = np.zeros(size, np.int64), np.arange(size, dtype=np.int32)
+        while (here := np.flatnonzero(now != root)).size:
             depth[here] += 1
-            now = np.where(here, self.parent[now], now)
+            now[here] = self.parent[now[here]]
         self.depth = depth
         self.first = np.concatenate([[0], np.cumsum(depth)[:-1]])
         self.places = np.zeros(int(depth.sum()), np.int32)
         # a symbol's branches from the top, as the leading bits of a number: paths have fewer than 64 decisions up to 10**13 tokens
         self.codes = np.zeros(size, np.uint64)
-        for k, (s, place) in enumerate(steps):
-            self.places[self.first[s] + depth[s] - 1 - k] = place
-            self.codes[s] |= (place & 1).astype(np.uint64) << (63 - (depth[s] - 1 - k)).astype(np.uint64)
+        left, now = depth.copy(), np.arange(size, dtype=np.int32)
+        while (here := np.flatnonzero(left)).size:
+            left[here] -= 1
+            own = now[here]
+            place = (self.parent[own] - size) * 2 + self.turn[own]
+            self.places[self.first[here] + left[here]] = place
+            self.codes[here] |= (place & 1).astype(np.uint64) << (63 - left[here]).astype(np.uint64)
+            now[here] = self.parent[own]
         # a decision's group (the node three decisions are reached from) * 8 + its place there, so that three lookups share a cache line
-        level = np.arange(len(self.places)) - np.repeat(self.first, depth)
-        inner, bits = level % 3, self.places & 1
-        last, one = np.roll(bits, 1), np.roll(bits, 2)
-        within = np.where(inner == 0, 1, np.where(inner == 1, 2 + last, 4 + 2 * one + last))
-        self.groups = ((self.places >> 1)[np.arange(len(level)) - inner] * 8 + within).astype(np.int32)
+        self.groups = np.zeros(len(self.places), np.int32)
+        for level in range(int(depth.max())):
+            at = self.first[np.flatnonzero(depth > level)] + level
+            inner = level % 3
+            within = 1
+            for k in range(inner, 0, -1):
+                within = 2 * within + (self.places[at - k] & 1)
+            self.groups[at] = (self.places[at - inner] >> 1) * 8 + within
 
     def symbols(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Symbol and hash of every word and every end, the symbols' place in their text, and the numbers of the words that are escaped."""
@@ -354,16 +362,20 @@ class BlockSum:
 
 
 class WordModel:
-    """The merged tables and the mixer, for scoring. It travels as the blocks it was made of, which hold no empty slots."""
+    """The merged tables and the mixer, for scoring. It travels as the blocks it was made of, which hold no empty slots; where it arrives, tables stand for them."""
 
     def __init__(self, v: Vocabulary, bits: int, mixer, blocks: list[tuple[int, int, bytes]]):
-        self.__setstate__({"v": v, "bits": bits, "mixer": mixer, "blocks": blocks})
+        self.v, self.bits, self.mixer, self.blocks, self.runs = v, bits, mixer, blocks, None
 
     def __getstate__(self) -> dict:
         return {k: getattr(self, k) for k in ("v", "bits", "mixer", "blocks")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
+        self._lay_tables()
+        self.blocks = None
+
+    def _lay_tables(self) -> None:
         self.rates = self.mixer.rates()
         self.runs = np.zeros((RUNS, 1 << self.bits), GUESS)
         self.nodes = np.zeros(1 << self.bits, np.int16)
@@ -378,6 +390,8 @@ class WordModel:
 
     def log10(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """The log10 probability of each text's symbols, and the numbers of the escaped words."""
+        if self.runs is None:
+            self._lay_tables()
         v = self.v
         symbol, hashes, inside, escaped = v.symbols(words)
         d = Decisions(v, symbol)
