@@ -15,23 +15,17 @@ from dossierlake.sources.tables import table
 CASES = ["Summarize  chapter {size}", "What is {name}?", "tóm tắt document {brand} file.pdf?", "HS code of the {name}", "code 0000.00.{size2} now", "define  {name}!", "{name} là gì?", "What is the weight and the usage of {name}", "{type} file contents", "Ngoại quan cần đáp ứng gì của {name}", "12", "mô tả chapter_{size} gồm các note"]
 
 
-def _parts() -> dict[str, tuple]:
-    return {
-        "{size2}": ("lpad(CAST(p_size AS VARCHAR), 2, '0')", F.lpad(F.col("p_size").cast("string"), 2, "0")),
-        "{size}": ("CAST(p_size AS VARCHAR)", F.col("p_size").cast("string")),
-        "{name}": ("p_name", F.col("p_name")),
-        "{brand}": ("p_brand", F.col("p_brand")),
-        "{type}": ("p_type", F.col("p_type")),
-    }
+#: Marks of the cases and what stands for them, in SQL that both sides read alike.
+PARTS = {"{size2}": "lpad(CAST(p_size AS STRING), 2, '0')", "{size}": "CAST(p_size AS STRING)", "{name}": "p_name", "{brand}": "p_brand", "{type}": "p_type"}
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = None
+    n, q = F.col("p_partkey") % len(CASES), None
     for i, case in enumerate(CASES):
         c = F.lit(case)
-        for mark, (_, column) in _parts().items():
-            c = F.replace(c, F.lit(mark), column)
-        q = F.when(F.col("p_partkey") % len(CASES) == i, c) if q is None else q.when(F.col("p_partkey") % len(CASES) == i, c)
+        for mark, sql in PARTS.items():
+            c = F.replace(c, F.lit(mark), F.expr(sql))
+        q = F.when(n == i, c) if q is None else q.when(n == i, c)
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), q.alias("q"))
 
 
@@ -39,7 +33,7 @@ def _questions() -> str:
     out = "CASE p_partkey % " + str(len(CASES))
     for i, case in enumerate(CASES):
         c = "'" + case + "'"
-        for mark, (sql, _) in _parts().items():
+        for mark, sql in PARTS.items():
             c = f"replace({c}, '{mark}', {sql})"
         out += f" WHEN {i} THEN {c}"
     return f"(SELECT p_partkey AS query_id, {out} END AS q FROM part)"
