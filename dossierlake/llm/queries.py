@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.llm import decontaminate, licenses, mixing, neardup, packing, pii, quality, sharding, substrings, warc
+from dossierlake.llm import decontaminate, licenses, metricsearch, mixing, neardup, packing, pii, quality, resample, sharding, substrings, variants, warc
 from dossierlake.llm.common import table
 
 
@@ -52,8 +52,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metricsearch.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii, op2_sharding, op3_decontamination, op4_mixing, op5_substrings, op6_licenses, op7_warc, op8_neardup, op9_packing, op10_quality)
+    own = (op1_pii, op2_sharding, op3_decontamination, op4_mixing, op5_substrings, op6_licenses, op7_warc, op8_neardup, op9_packing, op10_quality, op11_resampling, op12_variants, op13_topk)
     return {f.__name__: f for f in own}
 
 
