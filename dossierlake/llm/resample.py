@@ -24,9 +24,9 @@ from dossierlake.llm.common import LOWER, give_back, slices, staged, text_or_emp
 
 BUCKETS = 10_000
 #: Bytes of text whose features are brought together before they leave a task.
-CHUNK = 12 << 20
+CHUNK = 6 << 20
 #: Bytes of text for which there is a shard of the dictionary.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SPACE = pa.scalar(b" ", pa.large_binary())
 #: Words of more bytes are hashed byte by byte where they end a run.
 LONG = 200
@@ -187,6 +187,8 @@ def feature_counts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     def together(group: pa.Table) -> pa.Table:
         blocks = pa.concat_tables(pq.read_table(pa.BufferReader(x)) for x in group.column("packed").to_pylist())
         counted = blocks.group_by("feature").aggregate([("n", "sum")])
+        del blocks
+        give_back()
         return pa.table({"feature": counted.column("feature").cast(pa.string()), "n": counted.column("n_sum").cast(pa.int64())})
 
     parts = docs.select(text_or_empty().alias("text")).mapInArrow(work, "shard long, packed binary")
