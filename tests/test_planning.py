@@ -60,12 +60,32 @@ def test_alignment_scores(spark):
     schema = "document string, page long, id long, text string, block_id long, x0 long, y0 long, x1 long, y1 long"
     spans = spark.createDataFrame([row(1, "Green tea 0902.10.10"), row(2, "#"), row(3, "nothing alike")], schema)
     units = spark.createDataFrame([row(1, "# green  TEA 0902.10.10"), row(9, "tea", (90, 90, 95, 95))], schema)
-    got = {(r.span_id, r.unit_id): r.score for r in alignment.scored(spans, units).collect()}
+    blocks = units.filter("id = 1")
+    units = units.select("document", "page", "id", "text", "block_id")
+    pairs = alignment.scored(spans, units, blocks)
+    got = {(r.span_id, r.unit_id): r.score for r in pairs.collect()}
     assert got[1, 1] == 80 + 34 + 34 + 26 + 34 + 8 + 12 + 18 and got[2, 1] == 0
-    best = {r.span_id: (r.unit_id, r.confidence) for r in alignment.best(alignment.scored(spans, units), "span_id", "unit_id", alignment.SPAN_THRESHOLD).collect()}
+    best = {r.span_id: (r.unit_id, r.confidence) for r in alignment.best(spans, pairs, "span_id", "unit_id", alignment.SPAN_THRESHOLD).collect()}
     assert best == {1: (1, "high"), 2: (None, "none"), 3: (None, "low")}
 
 
+def test_a_span_without_units_on_its_page_meets_its_document(spark):
+    schema = "document string, page long, id long, text string, block_id long, x0 long, y0 long, x1 long, y1 long"
+    spans = [("d", 1, 1, "green tea leaves", None, 0, 0, 10, 10), ("d", 7, 2, "green tea leaves", None, 0, 0, 10, 10), ("d", None, 3, "een te", 5, None, None, None, None), ("d", 8, 4, "!", None, 0, 0, 1, 1), ("e", 1, 5, "green tea leaves", None, 0, 0, 10, 10), ("d", 9, 6, "no word of it", 5, 0, 0, 10, 10)]
+    spans = spark.createDataFrame(spans, schema)
+    units = spark.createDataFrame([("d", 1, 10, "coffee", None), ("d", 2, 11, "Green tea leaves", 5), ("d", 2, 12, "", 5), ("d", None, 13, "beans", 5)], "document string, page long, id long, text string, block_id long")
+    blocks = spark.createDataFrame([("d", 2, 5, "x", 1, 0, 0, 10, 5), ("d", None, 6, "green tea", 1, 0, 0, 10, 10)], "document string, page long, id long, text string, block_id long, x0 long, y0 long, x1 long, y1 long")
+    pairs = alignment.scored(spans, units, blocks)
+    got = {(r.span_id, r.unit_id): r.score for r in pairs.collect()}
+    # span 1 keeps to its page; 2 meets its words, 3 holds by characters and block, 6 by block alone
+    assert set(got) == {(1, 10), (2, 11), (3, 11), (3, 13), (6, 11), (6, 13)}
+    assert got[1, 10] == 8 + 18 and got[2, 11] == 80 + 34 + 34 + 9 and got[3, 11] == round(58 + 12 * 6 / 16 + 12, 6) and got[6, 13] == 21
+    best = {r.span_id: r.unit_id for r in alignment.best(spans, pairs, "span_id", "unit_id", alignment.SPAN_THRESHOLD).collect()}
+    assert best == {1: None, 2: 11, 3: 11, 4: None, 5: None, 6: None}
+    fallen = {r.span_id: (r.block_id, r.confidence) for r in alignment.fallback_blocks(spans, blocks).collect()}
+    assert fallen[1] == (6, "fallback") and fallen[3] == (6, "fallback") and fallen[5] == (None, "none")
+
+
 def test_only_contenders_are_scored_and_the_best_stay_the_same(spark):
     sections = spark.createDataFrame([(i, "d", "C 1", f"0000.00.{i % 100:02d}", f"tea {'green tea ' * (i % 50)}", f"tea number {i}", "s", f"green tea of kind {i % 7} under 20 cm") for i in range(200)], "section_id long, document string, chapter string, hs_code string, title string, section string, source string, text string")
     queries = retrieval.signals(spark.createDataFrame([("q", "green tea of kind 3 under 20 cm"), ("r", "tea")], "query_id string, question string"))
