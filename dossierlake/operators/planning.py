@@ -6,7 +6,7 @@ folded text are places in the question.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierlake.functions import forms as X
@@ -46,15 +46,15 @@ def flat(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
 
 
-def query_language(c: Column) -> Column:
+def query_language(c: Column, form: Column | None = None) -> Column:
     """vi, en, mixed or unknown, as the planner tells it: any Latin letter is English unless Vietnamese stands there."""
-    n = X.planner_form(c)
+    n = X.planner_form(c) if form is None else form
     vi, en = F.lower(c).rlike(X.VIETNAMESE_LETTERS) | n.rlike(PLAN_VIETNAMESE), n.rlike(PLAN_ENGLISH)
     return F.when(n == "", "unknown").when(vi & en, "mixed").when(vi, "vi").when(c.rlike("[a-zA-Z]"), "en").otherwise("unknown")
 
 
-def chapter_number(c: Column) -> Column:
-    found = F.regexp_extract(X.planner_form(c), CHAPTER, 1)
+def chapter_number(c: Column, form: Column | None = None) -> Column:
+    found = F.regexp_extract(X.planner_form(c) if form is None else form, CHAPTER, 1)
     return F.when(found != "", found.cast("int"))
 
 
@@ -70,19 +70,19 @@ def _from(question: Column, folded: Column, pattern: str, group: int) -> Column:
     return F.when(folded.rlike(pattern), F.substring(question, F.position(found, folded), F.length(question)))
 
 
-def definition_term(c: Column) -> Column:
-    """The term whose definition is asked for; null where none is."""
-    q = flat(c)
-    n = X.planner_form(q)
+def definition_term(c: Column, form: Column | None = None) -> Column:
+    """The term whose definition is asked for; null where none is. With a form, c has its white space collapsed."""
+    q = flat(c) if form is None else c
+    n = X.planner_form(q) if form is None else form
     each = [_from(q, n, p, 1) for p in (r"^define\s+(.+)$", r"^(.+?)\s+la\s+gi\??$", r"^what\s+is\s+(.+?)\??$")]
     told = clean_target(F.regexp_replace(F.btrim(F.coalesce(*each)), "[?.!]+$", ""))
     return F.when(told != "", told)
 
 
-def document_name(c: Column) -> Column:
-    """The document whose summary is asked for: what stands after the marker, or else before it; null where none is asked for."""
-    q = flat(c)
-    n = X.planner_form(q)
+def document_name(c: Column, form: Column | None = None) -> Column:
+    """The document whose summary is asked for: what stands after the marker, or else before it; null where none is asked for. With a form, c has its white space collapsed."""
+    q = flat(c) if form is None else c
+    n = X.planner_form(q) if form is None else form
     at = F.regexp_instr(n, F.lit(DOCUMENT))
     signals = lambda x: flat(F.regexp_replace(F.regexp_replace(x, "(?i)" + SUMMARY, " "), r"(?i)(?<![A-Za-z0-9_])(có\s+gì|nội\s+dung|nói\s+về|tóm\s+tắt|gồm|liệt\s+kê)(?![A-Za-z0-9_])", " "))
     after = signals(F.substring(q, at + F.length(F.regexp_extract(n, DOCUMENT, 1)), F.length(q)))
@@ -91,31 +91,43 @@ def document_name(c: Column) -> Column:
     return F.when(n.rlike(DOCUMENT) & n.rlike(SUMMARY) & (name != ""), name)
 
 
-def asks_for_code(c: Column) -> Column:
-    return X.planner_form(c).rlike(CODE_QUESTION)
+def asks_for_code(c: Column, form: Column | None = None) -> Column:
+    return (X.planner_form(c) if form is None else form).rlike(CODE_QUESTION)
 
 
-def plan_by_rules(c: Column) -> Column:
-    """intent, target, needs_code, language, confidence and reason of a question that the rules settle; null otherwise."""
-    n, code = X.planner_form(c), F.regexp_extract(c, T.CODE, 0)
-    chapter = F.when(n.rlike(SUMMARY), chapter_number(c))
-    name = document_name(c)
-    plan = lambda intent, target, needs, reason: F.struct(F.lit(intent).alias("intent"), target.alias("target"), F.lit(needs).alias("needs_code"), query_language(c).alias("language"), F.lit("high").alias("confidence"), F.lit(reason).alias("reason"))
-    return (
-        F.when(code != "", plan("exact_hscode_lookup", code, True, "query contains an exact HS code"))
-        .when(chapter.isNotNull(), plan("chapter_summary", F.concat(F.lit("chapter "), chapter.cast("string")), False, "query asks for chapter contents"))
-        .when(name.isNotNull(), plan("document_summary", name, False, "query asks for a document summary"))
-    )
+# Why a rule has settled a question.
+REASONS = ("query contains an exact HS code", "query asks for chapter contents", "query asks for a document summary")
+
+
+def plans(questions: DataFrame, question: str = "question") -> DataFrame:
+    """The questions with plan: intent, target, needs_code, language, confidence and reason where the rules settle one, else null;
+    and with language, definition_term and asks_code.
+
+    Folded texts are columns of their own before patterns look at them, so no expression holds them twice.
+    """
+    laid = questions.withColumn("_flat", flat(F.col(question))).withColumn("_form", X.planner_form(F.col("_flat")))
+    q, n = F.col("_flat"), F.col("_form")
+    laid = laid.withColumns({"language": query_language(F.col(question), n), "definition_term": definition_term(q, n), "asks_code": asks_for_code(q, n), "_name": document_name(q, n)})
+    laid = laid.withColumns({"_code": F.regexp_extract(question, T.CODE, 0), "_chapter": F.when(n.rlike(SUMMARY), chapter_number(q, n))})
+    rules = [
+        ("exact_hscode_lookup", F.when(F.col("_code") != "", F.col("_code")), True),
+        ("chapter_summary", F.concat(F.lit("chapter "), F.col("_chapter").cast("string")), False),
+        ("document_summary", F.col("_name"), False),
+    ]
+    plan = lambda intent, target, needs, reason: F.struct(F.lit(intent).alias("intent"), target.alias("target"), F.lit(needs).alias("needs_code"), F.col("language"), F.lit("high").alias("confidence"), F.lit(reason).alias("reason"))
+    found = F.coalesce(*[F.when(target.isNotNull(), plan(intent, target, needs, reason)) for (intent, target, needs), reason in zip(rules, REASONS, strict=True)])
+    return laid.withColumn("plan", found).drop("_flat", "_form", "_name", "_code", "_chapter")
 
 
 def field_groups(form: Column, tokens: Column) -> Column:
     """The fields that a text asks for: a label stands in its field form, or all of a label's longer words are among its tokens."""
-    hit = lambda label: F.contains(form, F.lit(label)) | (F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains(tokens, w)) if (words := [w for w in label.split() if len(w) >= 3]) else F.lit(False))
     found = []
     for name, labels in FIELD_GROUPS.items():
-        any_ = hit(labels[0])
-        for label in labels[1:]:
-            any_ = any_ | hit(label)
+        any_ = form.rlike("|".join(labels))  # labels are letters and blanks
+        for label in labels:
+            # a word alone among the tokens stands in the form too
+            if (words := [w for w in label.split() if len(w) >= 3]) and label != words[0]:
+                any_ = any_ | (F.size(F.array_except(F.array(*map(F.lit, words)), tokens)) == 0)
         found.append(F.when(any_, name))
     return F.array_compact(F.array(*found))
 

@@ -69,9 +69,8 @@ q4 AS (SELECT *, CASE WHEN marker <> '' AND sums THEN nullif({_target("CASE WHEN
 )
 def query_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan of every question that rules settle, with its language, and the term whose definition it asks for."""
-    c = F.col("q")
-    p = questions(spark, sf_dir).select("query_id", "q", P.plan_by_rules(c).alias("plan"))
-    return p.select("query_id", P.query_language(c).alias("language"), "plan.intent", "plan.target", P.definition_term(c).alias("definition"), P.asks_for_code(c).alias("asks_code"))
+    p = P.plans(questions(spark, sf_dir).select("query_id", "q"), "q")
+    return p.select("query_id", "language", "plan.intent", "plan.target", F.col("definition_term").alias("definition"), "asks_code")
 
 
 _FIELD = f"trim(regexp_replace(regexp_replace({_low('q')}, '[_-]+', ' ', 'g'), '\\s+', ' ', 'g'))"

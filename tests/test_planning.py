@@ -17,7 +17,7 @@ def one(spark, expression, text):
     ("What is green tea?", None), ("", None), ("tóm tắt document Coffee Guide.pdf", ("document_summary", "Coffee Guide pdf", "mixed")), (None, None),
 ])
 def test_plans(spark, question, plan):
-    got = one(spark, planning.plan_by_rules, question)
+    got = planning.plans(spark.createDataFrame([(question,)], "question string")).first().plan
     assert (got and (got.intent, got.target, got.language)) == plan
 
 
