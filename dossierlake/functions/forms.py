@@ -215,7 +215,7 @@ def _after(text: Column, sentence: Column) -> Column:
 
 
 def paragraphs(c: Column) -> Column:
-    parts = F.transform(F.split(c, r"\n{2,}|(?<=[.!?])\s+(?=[A-Z])"), F.btrim)
+    parts = F.transform(F.split(c, r"\n{2,}|(?<=[.!?])\s+(?=[A-Z])"), lambda x: F.btrim(x))
     return F.filter(parts, lambda p: F.length(p) >= 8)
 
 
@@ -240,7 +240,7 @@ def retrieved_text(c: Column) -> Column:
 
 
 def captions(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(r"(?i)\*Caption:\s*([^*]+)\*"), F.lit(1)), F.btrim)
+    return F.transform(F.regexp_extract_all(c, F.lit(r"(?i)\*Caption:\s*([^*]+)\*"), F.lit(1)), lambda x: F.btrim(x))
 
 
 NOTE = r"(?i)\b(should be classified under|classified under|remain in heading|does not apply|however|except|provided that|if)\b"

@@ -142,7 +142,7 @@ def codes(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def preview(c: Column, most: int = 180) -> Column:

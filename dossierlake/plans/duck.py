@@ -27,6 +27,12 @@ def meaningful(x: str) -> str:
     return f"list_distinct(list_filter(list_transform({raw(normalize(x))}, lambda t: {form('t')}), lambda t: (length(t) >= 3 OR regexp_matches(t, '^\\d+(?:\\.\\d+)?$')) AND t NOT IN ({stop})))"
 
 
+def meaningful_in_order(x: str) -> str:
+    """The meaningful tokens of a text with repeats, in order."""
+    stop = ", ".join(f"'{w}'" for w in STOPWORDS)
+    return f"list_filter(list_transform({raw(normalize(x))}, lambda t: {form('t')}), lambda t: (length(t) >= 3 OR regexp_matches(t, '^\\d+(?:\\.\\d+)?$')) AND t NOT IN ({stop}))"
+
+
 def joined(array: str) -> str:
     return f"array_to_string(list_sort({array}), '|')"
 
