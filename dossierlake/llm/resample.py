@@ -28,6 +28,8 @@ CHUNK = 6 << 20
 #: Bytes of text for which there is a shard of the dictionary.
 SHARD_BYTES = 4 << 20
 SPACE = pa.scalar(b" ", pa.large_binary())
+#: Runs sampled for each shard, to find where shards part.
+SAMPLED = 32
 #: Words of more bytes are hashed byte by byte where they end a run.
 LONG = 200
 #: Bytes that are no part of a word: ASCII other than digits and letters. UTF-8 writes all other code points above them.
@@ -148,14 +150,17 @@ def _packed(features: pa.Array, n: np.ndarray) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def _splitters(docs: DataFrame, shards: int) -> list[bytes]:
-    """Features, in order, that part those of all texts into about equal shares: quantiles of one run a sampled document, 32 documents a share."""
+def _splitters(docs: DataFrame, shards: int, total: int) -> list[bytes]:
+    """Features, in order, that part those of all texts into about equal shares: quantiles of SAMPLED runs a share, taken
+    at even distances through all texts from a start that the text's hash decides, each once. They only balance the shares."""
     text, letters = text_or_empty(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    mark = F.xxhash64(*[F.col(x) for x in ("doc_id", "item_id") if x in docs.columns], text)
-    piece = F.translate(F.substring(text, (F.pmod(mark, F.greatest(F.length(text), F.lit(1))) + 1).cast("int"), F.lit(100)), letters, letters.lower())
-    run = F.array_join(F.slice(F.regexp_extract_all(piece, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)), 2, 3), " ")  # the first may be cut
-    sample = docs.select(mark.alias("mark"), run.alias("run")).filter("run <> ''").orderBy("mark").limit(32 * shards).select("run")
-    runs = sorted(r.run.encode() for r in sample.collect())
+    step = F.lit(max(1, total // (SAMPLED * shards)))
+    start = F.pmod(F.xxhash64(text), step)
+    places = F.when(start < F.length(text), F.sequence(start, F.length(text).cast("long") - 1, step))
+    pieces = docs.select(F.explode(F.transform(places, lambda at: F.substr(text, (at + 1).cast("int"), F.lit(100)))).alias("piece"))
+    words = F.regexp_extract_all(F.translate("piece", letters, letters.lower()), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    run = F.array_join(F.slice(words, 2, 3), " ")  # the first may be cut
+    runs = sorted(r.run.encode() for r in pieces.select(run.alias("run")).filter("run <> ''").distinct().collect())
     return sorted({runs[k * len(runs) // shards] for k in range(1, shards)}) if runs else []
 
 
@@ -168,7 +173,7 @@ def feature_counts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     """
     schema = pa.schema([("shard", pa.int64()), ("packed", pa.binary())])
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    splitters = _splitters(docs, max(1, math.ceil(total / shard_bytes)))
+    splitters = _splitters(docs, max(1, math.ceil(total / shard_bytes)), total)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
@@ -261,7 +266,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     ranges = max(1, min(4096, math.ceil(n / 100_000)))
     dealt = staged(scored.filter(able).repartitionByRange(ranges, *best).withColumn("range", F.spark_partition_id()), "ranges")
     counts = {r.range: r["count"] for r in dealt.groupBy("range").count().collect()}  # a row for each range
-    before = [0, *np.cumsum([counts.get(k, 0) for k in range(ranges)]).tolist()]
+    before = [0, *np.cumsum([counts.get(k, 0) for k in range(max(counts, default=0))]).tolist()]
     place = F.row_number().over(Window.partitionBy("range").orderBy(*best)) + F.lit(before)[F.col("range")]
     ranked = dealt.withColumn("rank", place.cast("long"))
     rank = F.when(F.col("rank") <= drawn, F.col("rank")).alias("rank")
