@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossierlake.functions import forms as X
-from dossierlake.operators import fusion
+from dossierlake.operators import fusion, reconstruct
 from dossierlake.plans import duck as D
 from dossierlake.plans.forms import _low, _sub
 from dossierlake.registry import query
@@ -202,3 +202,11 @@ _LINKS = f"""{_SCORES}, pic AS (SELECT *, coalesce(area_ratio >= 0.85, false) AS
 def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What links each image: its own caption, a source note, or the caption of the image it belongs to."""
     return fusion.linked_images(blocks(spark, sf_dir))
+
+
+@query("markdown_parts")
+def markdown_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings, paragraphs, images and tables of each document, in order; compared with a walk over the lines in tests."""
+    i = F.col("block_id")
+    b = blocks(spark, sf_dir).withColumns({"lines": F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"), "anchored": i % 13 == 0, "reason": F.lit(None).cast("string"), "path": F.when(i % 2 == 0, F.concat(F.lit("images/"), i.cast("string"), F.lit(".png"))), "caption": F.when(i % 3 == 0, F.lit("A root"))})
+    return reconstruct.markdown_parts(b)
