@@ -42,9 +42,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One record per document: the new one where there is one."""
+    """One record per document: the one updated last, of equally old ones the new one."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy("document").orderBy(F.col("_new").desc(), F.col("updated_at").desc_nulls_last())
+    w = Window.partitionBy("document").orderBy(F.col("updated_at").desc_nulls_last(), F.col("_new").desc())
     return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_new")
 
 
