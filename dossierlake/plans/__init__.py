@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text", "qa", "rank", "corpus", "layout", "checks", "documents", "forms", "places", "planning", "figures", "passages", "citations")
+MODULES: tuple[str, ...] = ("text", "qa", "rank", "corpus", "layout", "checks", "documents", "forms", "places", "planning", "figures", "passages", "citations", "jobs")
 
 
 def load() -> None:
