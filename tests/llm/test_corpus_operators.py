@@ -162,17 +162,25 @@ def test_templates(spark):
     item = "If Anna buys 12 apples for 3 dollars each and gives 12 of them to Peter, how much does Anna pay for the rest of them today"
     other = item.replace("Anna", "Maria").replace("12", "40").replace("3 dollars", "5 euros").replace("Peter", "Paul")
     torn = item.replace("buys 12", "buys 40").replace("Anna pay", "Maria pay")
-    crossed = other.replace("gives 40", "gives 77").replace("does Maria", "does Klara")
     filler = "nothing of this stands in any question and it goes on for a while "
-    rows = [(1, filler + other + " " + filler), (2, filler + item.upper()), (3, filler + torn), (4, filler * 5), (5, None), (6, ""), (7, "is seven words the least we search"), (8, "well, is seven words the least we search then"), (9, filler + item.replace(" ", "\n")), (14, filler + crossed)]
+    rows = [(1, filler + other + " " + filler), (2, filler + item.upper()), (3, filler + torn), (4, filler * 5), (5, None), (6, ""), (7, "is seven words the least we search"), (8, "well, is seven words the least we search then"), (9, filler + item.replace(" ", "\n"))]
     frame = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
     bench = spark.createDataFrame([(10, item), (11, "is seven words the least we search"), (12, "too short"), (13, None)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame, bench).collect()}
-    # document 3 holds 15 words of the item in a row, more than a literal window; in document 14 no 13 words stand as in the item and the slots contradict one another
+    # document 3 holds 15 words of the item in a row, more than a literal window
     assert set(got) == {(1, 10), (2, 10), (3, 10), (9, 10), (7, 11), (8, 11)}
     assert got[1, 10].n_changed > 0 and got[9, 10].n_changed == 0
     assert decontaminate.contaminated(frame.limit(0), bench).count() == 0 and decontaminate.contaminated(frame, bench.limit(0)).count() == 0
-    assert {r.doc_id for r in decontaminate.drop_contaminated(frame, bench).collect()} == {4, 5, 6, 14}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(frame, bench).collect()} == {4, 5, 6}
+
+
+def test_windows_whose_slots_contradict_are_none(spark):
+    """One number of the item became several: no window of it matches, neither literally nor by its slots."""
+    item = "Take 12 pears from 12 trees and put 12 of them on 12 plates then move 12 plates to 12 tables at last"
+    numbers = iter("31 32 33 34 35 36".split())
+    rows = [(1, item.replace("12", "40")), (2, " ".join(next(numbers) if w == "12" else w for w in item.split()))]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(10, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 10)}
 
 
 def test_literal_windows_count_alone_and_slots_may_become_equal(spark):
