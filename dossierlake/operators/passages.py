@@ -266,3 +266,59 @@ def comparison_answers(compared: DataFrame) -> DataFrame:
     same = F.concat(begin, F.lit(" and "), "against", F.lit(" have the same "), metric, F.lit(": "), shown("value"), F.lit("."))
     more = F.concat(begin, F.lit(" has "), F.when(F.col("higher"), "higher").otherwise("lower"), F.lit(" "), metric, F.lit(": "), shown("value"), F.lit(" compared with "), "against", F.lit(" "), shown("other"), F.lit("."))
     return compared.select("query_id", F.when(equal, "medium").otherwise("high").alias("confidence"), F.when(equal, same).otherwise(more).alias("answer"))
+
+
+# -- fields ------------------------------------------------------------------------------------------------------
+
+# Lines at which a field's text ends, least scores of headings and paragraphs, and of what counts as sure.
+BOUNDARY = [r"(?i)^(source|citation|page|section|chapter|hs\s*code)\b", r"(?i)^#{1,6}\s*chapter\b", r"^#{1,6}\s*\d{4}\.\d{2}\.\d{2}\b"]
+LEAST_HEADING, SURE_HEADING, LEAST_PARAGRAPH, SURE_PARAGRAPH = 0.58, 0.82, 0.4, 0.72
+_field_labels = sorted({x for labels in P.FIELD_GROUPS.values() for x in labels} | {"general requirements on appearance", "appearance requirements"}, key=lambda x: (-len(x), x))
+FIELD_LABEL = r"(?i)\b((?:general\s+)?(?:" + "|".join(x for x in _field_labels if len(x) >= 5) + r")(?:\s+(?:requirements?|characteristics?|notes?))?)\s*:"
+
+
+def heading_blocks(sections: DataFrame) -> DataFrame:
+    """section_id, block, heading and body: what stands below each heading or label of a section, up to the next or to a line that ends it."""
+    broken = F.regexp_replace(section_text(F.col("text")), FIELD_LABEL, "\n$1:\n")
+    lines = sections.select("section_id", F.posexplode(F.filter(F.transform(F.split(broken, r"\n+"), lambda x: F.btrim(x)), lambda x: x != "")).alias("n", "line"))
+    ends = F.lit(False)
+    for pattern in BOUNDARY:
+        ends = ends | F.col("line").rlike(pattern)
+    part = lambda pattern, k: F.regexp_extract("line", pattern, k)
+    mark, listed, colon = r"^#{1,6}\s+(.+)$", r"^(?:\d+(?:\.\d+)*[.)]?\s+)([^:]{3,100}):?\s*(.*)$", r"^([^:]{3,100}):\s*(.*)$"
+    lines = lines.withColumns({"ends": ends, "groups": P.field_groups(X.field_form(F.col("line")), X.field_tokens(F.col("line")))})
+    label = _compact(F.col("line")) & (F.size(F.split("line", r"\s+")) <= 6) & ~F.col("line").rlike(r"[.!?]$") & (F.size("groups") > 0)
+    kinds = [(part(mark, 1) != "", part(mark, 1), F.lit("")), ((part(listed, 1) != "") & _compact(part(listed, 1)), part(listed, 1), part(listed, 2)), ((part(colon, 1) != "") & _compact(part(colon, 1)), part(colon, 1), part(colon, 2)), (label, F.col("line"), F.lit(""))]
+    heading, inline = (F.coalesce(*[F.when(c, _one_space(x[k])) for c, *x in kinds]) for k in (0, 1))
+    lines = lines.withColumns({"heading": F.when(~F.col("ends"), heading), "inline": inline})
+    starts = (F.col("ends") | F.col("heading").isNotNull()).cast("int")
+    lines = lines.withColumn("block", F.sum(starts).over(Window.partitionBy("section_id").orderBy("n")))
+    said = F.when(F.col("heading").isNotNull(), F.col("inline")).otherwise(_one_space(F.regexp_replace("line", r"^[-*•▪◦]\s+", "")))
+    whole = lines.withColumn("said", said).groupBy("section_id", "block").agg(F.min_by("heading", "n").alias("heading"), F.array_sort(F.collect_list(F.struct("n", "said"))).alias("l"))
+    body = F.array_join(F.filter(F.transform("l", lambda x: x["said"]), lambda x: x != ""), " ")
+    return whole.filter("heading IS NOT NULL").select("section_id", F.col("block").cast("int").alias("block"), "heading", body.alias("body"))
+
+
+def _matched(asked: DataFrame, given: DataFrame, text: str, order: str) -> DataFrame:
+    """The text of each question's section that answers its field best, with match; the earlier one on ties."""
+    laid = given.withColumns({"g_form": X.field_form(F.col(text)), "g_tokens": X.field_tokens(F.col(text))}).withColumn("g_groups", P.field_groups(F.col("g_form"), F.col("g_tokens")))
+    q = asked.filter("field IS NOT NULL").select("query_id", "section_id", X.field_form(F.col("field")).alias("a_form"), X.field_tokens(F.col("field")).alias("a_tokens"))
+    both = q.withColumn("a_groups", P.field_groups(F.col("a_form"), F.col("a_tokens"))).join(laid, "section_id").withColumn("match", F.round(P.field_match("a", "g"), 6))
+    w = Window.partitionBy("query_id").orderBy(F.col("match").desc(), order)
+    return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+
+
+def extracted_fields(asked: DataFrame, sections: DataFrame) -> DataFrame:
+    """query_id, extracted, matched_heading, confidence and fallback for questions that ask for a field of their section.
+
+    The best heading gives what stands below it; where none fits, the best paragraph does, with less confidence; else nothing.
+    """
+    heads = _matched(asked, heading_blocks(sections), "heading", "block").select("query_id", "heading", F.when(F.col("body") != "", F.col("body")).otherwise(F.col("heading")).alias("below"), F.col("match").alias("head_match"))
+    cut = F.filter(F.transform(F.split(section_text(F.col("text")), r"\n{2,}|(?<=[.!?])\s+(?=[A-Z])"), lambda p: _one_space(p)), lambda p: F.length(p) >= 12)
+    parts = sections.select("section_id", F.posexplode(F.when(F.size(cut) > 0, cut).otherwise(F.array(section_text(F.col("text"))))).alias("place", "paragraph"))
+    best = _matched(asked, parts, "paragraph", "place").select("query_id", "paragraph", F.col("match").alias("part_match"))
+    d = asked.filter("field IS NOT NULL").select("query_id").join(heads, "query_id", "left").join(best, "query_id", "left")
+    headed, told = F.coalesce(F.col("head_match") >= LEAST_HEADING, F.lit(False)), F.coalesce(F.col("part_match") >= LEAST_PARAGRAPH, F.lit(False))
+    sure = F.when(headed, F.when(F.col("head_match") >= SURE_HEADING, "high").otherwise("medium")).when(told & (F.col("part_match") >= SURE_PARAGRAPH), "medium").otherwise("low")
+    return d.select("query_id", F.when(headed, F.col("below")).when(told, _one_space(F.col("paragraph"))).otherwise("").alias("extracted"), F.when(headed | ~told, F.col("heading")).alias("matched_heading"), sure.alias("confidence"), (~headed).alias("fallback"))
+

@@ -110,3 +110,16 @@ def focused_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def definition_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first block of each section that describes something."""
     return W.definitions(sections(spark, sf_dir))
+
+
+_HEADS = f"""sec AS {_SECTIONS}, br AS (SELECT section_id, regexp_replace(text, '{W.FIELD_LABEL}', chr(10) || '\\1:' || chr(10), 'g') AS broken FROM sec), li AS (SELECT section_id, unnest(range(len({_LINE}))) AS n, unnest({_LINE}) AS q FROM br),
+    f1 AS (SELECT *, {_FIELD} AS n_ FROM li), f2 AS (SELECT *, list_distinct(list_filter(string_split_regex(n_, '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))) AS t FROM f1),
+    f3 AS (SELECT *, list_filter({_GROUPS.replace("contains(n,", "contains(n_,")}, lambda x: x IS NOT NULL) AS g, {" OR ".join(f"regexp_matches(q, '{p}')" for p in W.BOUNDARY)} AS ends, regexp_extract(q, '^#{{1,6}}\\s+(.+)$', 1) AS mark, regexp_extract(q, '^(?:\\d+(?:\\.\\d+)*[.)]?\\s+)([^:]{{3,100}}):?\\s*(.*)$', 1) AS num, regexp_extract(q, '^(?:\\d+(?:\\.\\d+)*[.)]?\\s+)([^:]{{3,100}}):?\\s*(.*)$', 2) AS num2, regexp_extract(q, {_SPLIT}, 1) AS col, regexp_extract(q, {_SPLIT}, 2) AS col2 FROM f2),
+    f4 AS (SELECT *, CASE WHEN ends THEN NULL WHEN mark <> '' THEN mark WHEN num <> '' AND {_FEW("num")} THEN num WHEN col <> '' AND {_FEW("col")} THEN col WHEN {_FEW("q")} AND len(string_split_regex(q, '\\s+')) <= 6 AND NOT regexp_matches(q, '[.!?]$') AND len(g) > 0 THEN q END AS head, CASE WHEN mark <> '' THEN '' WHEN num <> '' AND {_FEW("num")} THEN num2 WHEN col <> '' AND {_FEW("col")} THEN col2 ELSE '' END AS inl FROM f3),
+    f5 AS (SELECT *, CAST(sum(CASE WHEN ends OR head IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY section_id ORDER BY n) AS INT) AS block, trim(CASE WHEN head IS NOT NULL THEN inl ELSE regexp_replace(q, '^[-*•▪◦]\\s+', '') END) AS said FROM f4)"""
+
+
+@query("heading_blocks", f"WITH {_HEADS} SELECT section_id, block, {D.flat('first(head ORDER BY n)')} AS heading, coalesce({D.flat('''string_agg(said, ' ' ORDER BY n) FILTER (said <> '')''')}, '') AS body FROM f5 GROUP BY section_id, block HAVING first(head ORDER BY n) IS NOT NULL")
+def heading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands below each heading and label of a section."""
+    return W.heading_blocks(sections(spark, sf_dir))
