@@ -83,18 +83,31 @@ PARTS = ("hs_code", "title", "heading", "body", "captions", "source", "numeric",
 
 
 def token_scores(queries: DataFrame, fields: DataFrame) -> DataFrame:
-    """query_id, section_id and the parts of the score that the index alone decides (t_*, p_hs_code, p_contrast_penalty), for sections that share a token with the question."""
-    tokens = lambda name, against: queries.select("query_id", F.explode(name).alias("token"), F.lit(against).alias("against"))
-    hits = inverted_index(fields).join(tokens("tokens", False).unionByName(tokens("baseline", True)), "token")
-    summed = lambda keep, weight: F.sum(F.when(keep, F.col("tf") * weight).otherwise(0))
+    """query_id, section_id and the parts of the score that the index alone decides (t_*, p_hs_code, p_contrast_penalty), for sections that share a token with the question.
+
+    Sections are dealt by their id first, so their tokens meet the questions' where they stand: neither postings nor pairs are shuffled.
+    What is broadcast is named: by Spark's estimates, made from the size of the files, the sections' texts look smaller than the questions.
+    """
+    # explode_outer: explode makes a filter on the signals, which is pushed below the questions' distinct and told for every row they are drawn from
+    tokens = lambda name, against: queries.select("query_id", F.explode_outer(name).alias("token"), F.lit(against).alias("against"))
+    asked = tokens("tokens", False).unionByName(tokens("baseline", True))
+    each = F.array(*[F.struct(F.lit(f).alias("field"), T.raw_tokens(F.col(f"f_{f}")).alias("tokens")) for f in FIELDS])
+    found = by_section(fields).select("section_id", F.explode(each).alias("x")).select("section_id", "x.field", F.explode("x.tokens").alias("token"))
+    hits = found.join(F.broadcast(asked), "token")
+    summed = lambda keep, weight: F.sum(F.when(keep, weight).otherwise(0))
     positive = ~F.col("against")
     return hits.groupBy("query_id", "section_id").agg(
-        *[summed(positive & (F.col("field") == f), w).alias(f"t_{f}") for f, w in TOKEN_WEIGHT.items()],
-        summed(positive & (F.col("field") == "title") & F.col("token").rlike(T.CODE), CODE_WEIGHT).alias("p_hs_code"),
+        *[summed(positive & (F.col("field") == f), F.lit(w)).alias(f"t_{f}") for f, w in TOKEN_WEIGHT.items()],
+        summed(positive & (F.col("field") == "title") & F.col("token").rlike(T.CODE), F.lit(CODE_WEIGHT)).alias("p_hs_code"),
         (-summed(F.col("against"), _weight(CONTRAST_WEIGHT))).alias("p_contrast_penalty"),
     )
 
 
+def by_section(fields: DataFrame) -> DataFrame:
+    """The search texts dealt by section; both sides of the score take the same rows."""
+    return fields.select("section_id", *[f"f_{f}" for f in FIELDS]).repartition("section_id")
+
+
 def _long(phrases: str) -> Column:
     return F.filter(phrases, lambda p: F.contains(p, F.lit(" ")))
 
@@ -109,9 +122,9 @@ def contenders(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     room = queries.select("query_id", (F.size(_long("phrases")) * sum(PHRASE_WEIGHT.values()) + F.size("numeric") * NUMERIC_WEIGHT).alias("_room"))
     w = Window.partitionBy("query_id").orderBy(F.col("_sure").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = found.withColumn("_sure", sure).withColumn("_n", F.row_number().over(w))
-    least = ranked.filter(F.col("_n") == k).select("query_id", F.col("_sure").alias("_least"))
-    kept = ranked.join(room, "query_id").join(least, "query_id", "left").filter(F.col("_least").isNull() | (F.col("_sure") + F.col("_room") >= F.col("_least")))
-    return kept.drop("_sure", "_n", "_room", "_least")
+    least = ranked.filter(F.col("_n") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("_sure")).alias("_least"))
+    kept = found.withColumn("_sure", sure).join(F.broadcast(room), "query_id").join(F.broadcast(least), "query_id", "left").filter(F.col("_least").isNull() | (F.col("_sure") + F.col("_room") >= F.col("_least")))
+    return kept.drop("_sure", "_room", "_least")
 
 
 def field_scores(queries: DataFrame, fields: DataFrame, k: int | None = None) -> DataFrame:
@@ -119,9 +132,10 @@ def field_scores(queries: DataFrame, fields: DataFrame, k: int | None = None) ->
     found = token_scores(queries, fields)
     if k is not None:
         found = contenders(found, queries, k)
-    texts = fields.select("section_id", *[f"f_{f}" for f in FIELDS], F.concat_ws(" ", "f_title", "f_heading", "f_body", "f_captions").alias("_all"))
+    texts = by_section(fields).select("section_id", *[f"f_{f}" for f in FIELDS], F.concat_ws(" ", "f_title", "f_heading", "f_body", "f_captions").alias("_all"))
     texts = texts.withColumn("_words", T.raw_tokens(F.col("_all")))
-    both = found.join(queries.select("query_id", _long("phrases").alias("_long"), "numeric"), "query_id").join(texts, "section_id")
+    asked = queries.select("query_id", _long("phrases").alias("_long"), "numeric")
+    both = found.join(F.broadcast(asked), "query_id").join(texts.hint("merge"), "section_id")
     hit = lambda text: F.size(F.filter("_long", lambda x: F.contains(text, x)))
     parts = {f"p_{f}": F.col(f"t_{f}") + (hit(F.col(f"f_{f}")) * PHRASE_WEIGHT[f] if f in PHRASE_WEIGHT else 0) for f in FIELDS}
     parts["p_numeric"] = F.size(F.filter("numeric", lambda x: T.includes_term(F.col("_all"), F.col("_words"), x))) * NUMERIC_WEIGHT

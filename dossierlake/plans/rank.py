@@ -16,7 +16,8 @@ from dossierlake.sources.tables import part_sections, part_sections_sql
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = retrieval.top_k(scores(spark, sf_dir, TOP).filter("score > 0"), TOP, F.col("score").desc(), F.col("section_id")).select("query_id", "section_id", "score")
-    return best.join(retrieval.signals(questions(spark, sf_dir)), "query_id").join(ranking.section_features(part_sections(spark, sf_dir)), "section_id")
+    found = best.join(retrieval.signals(questions(spark, sf_dir)), "query_id").join(part_sections(spark, sf_dir).hint("merge"), "section_id")
+    return ranking.section_features(found)
 
 
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
