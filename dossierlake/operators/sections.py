@@ -76,10 +76,11 @@ def build_markdown(lines: DataFrame) -> DataFrame:
 def markdown_sections(docs: DataFrame) -> DataFrame:
     """document, place, code, title, body and source of every coded heading; a body ends where the next heading begins."""
     heads = F.regexp_extract_all("markdown", F.lit(HEADING), F.lit(0))
-    each = docs.select("document", "markdown", F.posexplode(heads).alias("place", "heading"))
-    # the text after the n-th heading, up to the next heading of any level
+    # the text after the n-th heading, up to the next heading of any level; a document is split once, not once a heading
     parts = F.split("markdown", HEADING)
-    body = F.get(F.split(F.get(parts, F.col("place") + 1), r"(?m)^#{1,2} "), F.lit(0))
+    pairs = F.arrays_zip(heads.alias("heading"), F.slice(parts, F.lit(2), F.size(parts)).alias("after"))
+    each = docs.select("document", F.posexplode(pairs).alias("place", "x")).select("document", "place", "x.heading", "x.after")
+    body = F.get(F.split("after", r"(?m)^#{1,2} "), F.lit(0))
     out = each.select("document", "place", F.regexp_extract("heading", HEADING, 1).alias("code"), F.trim(F.regexp_extract("heading", HEADING, 2)).alias("title"), F.trim(F.regexp_replace(body, r"^\s+|\s+$", "")).alias("body"))
     return out.withColumn("source", F.nullif(F.regexp_extract("body", r"\(Source:\s*([^)]*)\)", 1), F.lit("")))
 

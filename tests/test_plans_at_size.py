@@ -2,7 +2,7 @@
 
 import pytest
 
-from dossierlake.operators import retrieval
+from dossierlake.operators import retrieval, sections
 from dossierlake.plans import qa, rank
 from dossierlake.sources.tables import part_sections
 
@@ -36,3 +36,12 @@ def test_signals_are_told_once_a_question(spark):
     q = retrieval.signals(qa.questions(spark, SF))
     lines = plan(retrieval.token_scores(q, retrieval.search_fields(part_sections(spark, SF))))
     assert not [x for x in lines if " Filter " in x and "size(array_" in x]
+
+
+def test_markdown_is_split_once_a_document(spark):
+    text = "# CHAPTER 1\n\n" + "\n\n".join(f"## 0000.00.{i:02d} — TITLE {i}\n\nbody {i}\n\n# CHAPTER {i}" for i in range(30)) + "\n\n## 0001.00.00 — LAST\n\nend (Source: book)"
+    found = sections.markdown_sections(spark.createDataFrame([("d", text), ("e", "plain"), ("f", None)], "document string, markdown string"))
+    rows = sorted(tuple(r) for r in found.collect())
+    assert rows == [("d", i, f"0000.00.{i:02d}", f"TITLE {i}", f"body {i}", None) for i in range(30)] + [("d", 30, "0001.00.00", "LAST", "end (Source: book)", "book")]
+    lines = plan(found)
+    assert not any("markdown#" in x for x in lines[: next(i for i, x in enumerate(lines) if "Generate" in x)])
