@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ ACCENTED, PLAIN = T.ACCENTED.replace("đ", "").replace("Đ", ""), "".join(b for
 BROKEN_INTENT, BROKEN_LOOKUP = "‘", "„€˜"
 
 
+def let(c: Column, of: Callable[[Column], Column]) -> Column:
+    """What `of` makes of a value that is told once, however often `of` names it."""
+    return F.get(F.transform(F.array(c), of), F.lit(0))
+
+
 def _flat(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, r"\s+", " "))
 
@@ -204,10 +211,13 @@ def shorten_sentence(c: Column, most: int) -> Column:
 
 def shorten_to_sentences(c: Column, most: int) -> Column:
     """As many whole sentences as fit, or words where the first one does not."""
-    flat = _flat(c)
+    return let(_flat(c), lambda flat: F.when(F.length(flat) <= most, flat).otherwise(_first_sentences(flat, most)))
+
+
+def _first_sentences(flat: Column, most: int) -> Column:
     each = T.sentences(flat)
     fits = F.aggregate(each, F.struct(F.lit("").alias("text"), F.lit(True).alias("open")), lambda a, s: F.when(a["open"] & (F.length(_after(a["text"], s)) <= most), F.struct(_after(a["text"], s).alias("text"), F.lit(True).alias("open"))).otherwise(F.struct(a["text"].alias("text"), F.lit(False).alias("open"))))  # noqa: E501
-    return F.when(F.length(flat) <= most, flat).when(fits["text"] != "", fits["text"]).otherwise(_clipped(flat, most))
+    return let(fits["text"], lambda text: F.when(text != "", text).otherwise(_clipped(flat, most)))
 
 
 def _after(text: Column, sentence: Column) -> Column:

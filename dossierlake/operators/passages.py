@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from dossierlake.functions import forms as X
 from dossierlake.functions import text as T
 from dossierlake.operators import planning as P
+from dossierlake.operators.rows import once, spread
 
 # Patterns of texts that are taken out or split at, and the points of blocks.
 GROUPED, SHARED = r"(?is)\bGrouped HS code set:\s*.*?(?=\bShared description:|\n|$)", r"(?i)\bShared description:\s*"
@@ -66,15 +67,15 @@ def answer_blocks(sections: DataFrame) -> DataFrame:
     """
     broken = F.regexp_replace(section_text(F.col("text")), INLINE_LABEL, "\n$1:\n")
     broken = F.regexp_replace(F.regexp_replace(broken, "[•▪◦]", "\n- "), r"(?:^|\n)\s+-\s+", "\n- ")
-    lines = sections.select("section_id", F.posexplode(F.filter(F.transform(F.split(broken, r"\n+"), lambda x: F.btrim(x)), lambda x: x != "")).alias("n", "raw"))
+    lines = spread(sections, "section_id").select("section_id", F.posexplode_outer(F.filter(F.transform(F.split(broken, r"\n+"), lambda x: F.btrim(x)), lambda x: x != "")).alias("n", "raw"))
     # the table test looks for blank runs, which the stripping of debug tails collapses, so it sees what is left of them
-    lines = lines.withColumn("line", _one_space(F.regexp_replace("raw", DEBUG, " "))).filter("line <> ''")
+    lines = once(lines, {"line": _one_space(F.regexp_replace("raw", DEBUG, " "))}).filter("line <> ''")
     noise = F.lit(False)
     for pattern in NOISE:
         noise = noise | F.col("line").rlike(pattern)
     lines = lines.filter(~noise).withColumn("bare", F.regexp_replace("line", r"^[-*]\s+", ""))
     lines = lines.withColumns({"form": X.field_form(F.col("bare")), "words": X.field_tokens(F.col("bare"))})
-    lines = lines.withColumn("field", P.requested_field(P.field_groups(F.col("form"), F.col("words"))))
+    lines = lines.withColumn("groups", P.field_groups(F.col("form"), F.col("words"))).withColumn("field", P.requested_field(F.col("groups")))
     mark, before, after = F.regexp_extract("bare", r"^#{1,6}\s+(.+)$", 1), F.regexp_extract("bare", r"^([^:]{3,100}):\s*(.*)$", 1), F.regexp_extract("bare", r"^([^:]{3,100}):\s*(.*)$", 2)
     heading = F.when(mark != "", F.btrim(mark)).when((before != "") & _compact(before), F.btrim(before)).when(_compact(F.col("bare")) & F.col("field").isNotNull(), F.btrim("bare"))
     inline = F.when((mark == "") & (before != "") & _compact(before), F.btrim(after)).otherwise("")
@@ -89,7 +90,7 @@ def answer_blocks(sections: DataFrame) -> DataFrame:
     each = lambda name: F.transform("l", lambda x: x[name])
     bullets = F.array_join(F.concat(F.when(F.col("heading") != "", F.array("heading")).otherwise(F.array().cast("array<string>")), each("bare")), ": ")
     text = F.when(F.col("kind") == "bullet", bullets).when(F.col("kind") == "heading", F.col("l")[0]["inline"]).otherwise(F.array_join(each("line"), " "))
-    told = whole.select("section_id", F.col("block").cast("int").alias("block"), "heading", "kind", answer_text(text).alias("text"))
+    told = once(whole.select("section_id", F.col("block").cast("int").alias("block"), "heading", "kind", text.alias("said")), {"text": answer_text(F.col("said"))}).drop("said")
     return told.filter((F.length("text") >= 8) & letters(F.col("text")))
 
 
@@ -99,23 +100,28 @@ def answer_blocks(sections: DataFrame) -> DataFrame:
 def signals(asked: DataFrame) -> DataFrame:
     """The questions with what blocks are scored by: local tokens without those of contrasts, phrases, ranges, the field that is asked for."""
     q = asked.withColumns({"_n": T.normalize_search(F.col("question")), "_f": X.field_form(F.col("question")), "_t": X.field_tokens(F.col("question"))})
-    q = q.withColumns({"field": P.requested_field(P.field_groups(F.col("_f"), F.col("_t"))), "tokens": X.local_tokens(F.col("question"))})
+    q = once(q.withColumn("_g", P.field_groups(F.col("_f"), F.col("_t"))), {"field": P.requested_field(F.col("_g")), "tokens": X.local_tokens(F.col("question"))})
     baseline = X.baseline_tokens(F.col("_n"))
     phrases = F.filter(F.transform(T.useful_phrases(T.meaningful_tokens(F.col("question")), F.col("_n")), X.local_form), lambda p: F.length(p) >= 6)
     ranges = F.transform(T.numeric_ranges(F.col("question")), X.local_form)
-    return q.withColumns({"tokens": F.array_except("tokens", F.coalesce(baseline, F.array().cast("array<string>"))), "phrases": phrases, "ranges": ranges}).drop("_n", "_f", "_t")
+    return q.withColumns({"tokens": F.array_except("tokens", F.coalesce(baseline, F.array().cast("array<string>"))), "phrases": phrases, "ranges": ranges}).drop("_n", "_f", "_t", "_g")
 
 
 def _held(tokens: str, token: Column) -> Column:
     return X.matches_local(F.col(tokens), token)
 
 
-def field_overlap(field: Column, form: Column, tokens: Column, groups: Column) -> Column:
-    """How well a text (its field form, local tokens and groups) answers a field, 0 to 1."""
-    words = X.local_tokens(field)
-    asked = P.field_groups(X.field_form(field), X.field_tokens(field))
+def _with_field(asked: DataFrame) -> DataFrame:
+    """The questions with form, words and groups of the field that is asked for, before sections meet them."""
+    laid = asked.withColumns({"_field_form": X.field_form(F.col("field")), "_field_words": X.local_tokens(F.col("field")), "_field_tokens": X.field_tokens(F.col("field"))})
+    return laid.withColumn("_field_groups", P.field_groups(F.col("_field_form"), F.col("_field_tokens")))
+
+
+def field_overlap(form: Column, tokens: Column, groups: Column) -> Column:
+    """How well a text (its field form, local tokens and groups) answers the field of _with_field, 0 to 1."""
+    words, asked = F.col("_field_words"), F.col("_field_groups")
     share = F.size(F.array_intersect(words, tokens)) / F.greatest(F.lit(1), F.size(words)) * 0.45 + F.when(F.arrays_overlap(asked, groups), 0.55).otherwise(0.0)
-    return F.when(form == "", 0.0).when(F.contains(form, X.field_form(field)), 1.0).otherwise(F.least(F.lit(1.0), share))
+    return F.when(form == "", 0.0).when(F.contains(form, F.col("_field_form")), 1.0).otherwise(F.least(F.lit(1.0), share))
 
 
 def scored_passages(asked: DataFrame, passages: DataFrame) -> DataFrame:
@@ -128,10 +134,10 @@ def scored_passages(asked: DataFrame, passages: DataFrame) -> DataFrame:
     laid = laid.withColumns({"_tokens": X.local_tokens(F.col("_form")), "_label": F.when(F.col("heading") != "", F.col("heading")).otherwise(F.col("text"))})
     laid = laid.withColumns({"_label_form": X.field_form(F.col("_label")), "_label_tokens": X.local_tokens(F.col("_label")), "_label_words": X.field_tokens(F.col("_label"))})
     laid = laid.withColumn("_label_groups", P.field_groups(F.col("_label_form"), F.col("_label_words")))
-    d = asked.join(laid, "section_id")
+    d = _with_field(asked).join(laid, "section_id")
     distinct = lambda t: (F.length(t) >= 5) | t.rlike(r"\d")
     total = lambda items, points: F.aggregate(items, F.lit(0.0), lambda a, x: a + points(x))
-    d = d.withColumn("_overlap", F.when(F.col("field").isNotNull(), field_overlap(F.col("field"), F.col("_label_form"), F.col("_label_tokens"), F.col("_label_groups"))))
+    d = d.withColumn("_overlap", F.when(F.col("field").isNotNull(), field_overlap(F.col("_label_form"), F.col("_label_tokens"), F.col("_label_groups"))))
     words = total("phrases", lambda p: F.when(F.contains(F.col("_form"), p), PHRASE).otherwise(0.0)) + total("tokens", lambda t: F.when(_held("_tokens", t), F.when(distinct(t), DISTINCT).otherwise(PLAIN)).otherwise(0.0)) + total("ranges", lambda r: F.when(F.contains(F.col("_form"), r), RANGE).otherwise(0.0))
     headed = F.col("heading") != ""
     asks = F.col("field").isNotNull()
@@ -175,7 +181,7 @@ def focused_answers(best: DataFrame, most: int = MOST_CHARS) -> DataFrame:
 def definitions(sections: DataFrame, most: int = MOST_CHARS) -> DataFrame:
     """section_id and the first block of each section that describes something, as a sentence."""
     x = F.regexp_replace(answer_text(F.col("text"), most), r"(?i)^Definition:\s*", "")
-    told = answer_blocks(sections).withColumn("told", X.shorten_to_sentences(F.btrim(x), most)).filter((F.col("told") != "") & letters(F.col("told")))
+    told = once(answer_blocks(sections), {"told": X.shorten_to_sentences(F.btrim(x), most)}).filter((F.col("told") != "") & letters(F.col("told")))
     return told.groupBy("section_id").agg(F.min_by("told", "block").alias("told")).select("section_id", X.sentence_end(F.col("told")).alias("definition"))
 
 
@@ -280,13 +286,14 @@ FIELD_LABEL = r"(?i)\b((?:general\s+)?(?:" + "|".join(x for x in _field_labels i
 def heading_blocks(sections: DataFrame) -> DataFrame:
     """section_id, block, heading and body: what stands below each heading or label of a section, up to the next or to a line that ends it."""
     broken = F.regexp_replace(section_text(F.col("text")), FIELD_LABEL, "\n$1:\n")
-    lines = sections.select("section_id", F.posexplode(F.filter(F.transform(F.split(broken, r"\n+"), lambda x: F.btrim(x)), lambda x: x != "")).alias("n", "line"))
+    lines = spread(sections, "section_id").select("section_id", F.posexplode_outer(F.filter(F.transform(F.split(broken, r"\n+"), lambda x: F.btrim(x)), lambda x: x != "")).alias("n", "line")).filter("line IS NOT NULL")
     ends = F.lit(False)
     for pattern in BOUNDARY:
         ends = ends | F.col("line").rlike(pattern)
     part = lambda pattern, k: F.regexp_extract("line", pattern, k)
     mark, listed, colon = r"^#{1,6}\s+(.+)$", r"^(?:\d+(?:\.\d+)*[.)]?\s+)([^:]{3,100}):?\s*(.*)$", r"^([^:]{3,100}):\s*(.*)$"
-    lines = lines.withColumns({"ends": ends, "groups": P.field_groups(X.field_form(F.col("line")), X.field_tokens(F.col("line")))})
+    lines = lines.withColumns({"form": X.field_form(F.col("line")), "words": X.field_tokens(F.col("line"))})
+    lines = lines.withColumns({"ends": ends, "groups": P.field_groups(F.col("form"), F.col("words"))})
     label = _compact(F.col("line")) & (F.size(F.split("line", r"\s+")) <= 6) & ~F.col("line").rlike(r"[.!?]$") & (F.size("groups") > 0)
     kinds = [(part(mark, 1) != "", part(mark, 1), F.lit("")), ((part(listed, 1) != "") & _compact(part(listed, 1)), part(listed, 1), part(listed, 2)), ((part(colon, 1) != "") & _compact(part(colon, 1)), part(colon, 1), part(colon, 2)), (label, F.col("line"), F.lit(""))]
     heading, inline = (F.coalesce(*[F.when(c, _one_space(x[k])) for c, *x in kinds]) for k in (0, 1))

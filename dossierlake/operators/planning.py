@@ -6,6 +6,9 @@ folded text are places in the question.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,11 +126,12 @@ def field_groups(form: Column, tokens: Column) -> Column:
     """The fields that a text asks for: a label stands in its field form, or all of a label's longer words are among its tokens."""
     found = []
     for name, labels in FIELD_GROUPS.items():
-        any_ = form.rlike("|".join(labels))  # labels are letters and blanks
+        # a label that holds another of its field stands only where that one does
+        any_ = reduce(or_, (F.contains(form, F.lit(label)) for label in labels if not any(x != label and x in label for x in labels)))
         for label in labels:
             # a word alone among the tokens stands in the form too
             if (words := [w for w in label.split() if len(w) >= 3]) and label != words[0]:
-                any_ = any_ | (F.size(F.array_except(F.array(*map(F.lit, words)), tokens)) == 0)
+                any_ = any_ | reduce(and_, (F.array_contains(tokens, w) for w in words))
         found.append(F.when(any_, name))
     return F.array_compact(F.array(*found))
 

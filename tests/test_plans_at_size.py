@@ -3,7 +3,7 @@
 import pytest
 
 from dossierlake.operators import retrieval, sections
-from dossierlake.plans import qa, rank
+from dossierlake.plans import passages, qa, rank
 from dossierlake.sources.tables import part_sections
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +45,11 @@ def test_markdown_is_split_once_a_document(spark):
     assert rows == [("d", i, f"0000.00.{i:02d}", f"TITLE {i}", f"body {i}", None) for i in range(30)] + [("d", 30, "0001.00.00", "LAST", "end (Source: book)", "book")]
     lines = plan(found)
     assert not any("markdown#" in x for x in lines[: next(i for i, x in enumerate(lines) if "Generate" in x)])
+
+
+@pytest.mark.parametrize(("name", "told"), [("heading_blocks", {"translate(": 2}), ("answer_blocks", {"translate(": 2, "(?i)<doc=": 1}), ("definition_paragraphs", {"(?i)<doc=": 2})])
+def test_texts_of_blocks_are_told_once(spark, name, told):
+    """Forms of a line are not copied into every label that is looked for, nor an answer's text into the filters on it."""
+    shown = getattr(passages, name)(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert {x: shown.count(x) for x in told} == told
+    assert "RepartitionByExpression [section_id" in shown
