@@ -122,8 +122,7 @@ def _long(tokens: Column, least: int = 3) -> Column:
 def search_tokens(c: Column) -> Column:
     """Distinct search tokens without stopwords; with them where nothing else is left."""
     all_ = F.array_distinct(_long(_formed(T.raw_tokens(search_form(c)))))
-    kept = _kept(all_, SEARCH_STOPWORDS)
-    return F.when(F.size(kept) > 0, kept).otherwise(all_)
+    return let(all_, lambda each: let(_kept(each, SEARCH_STOPWORDS), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(each)))
 
 
 def source_tokens(c: Column) -> Column:
@@ -205,8 +204,7 @@ def _clipped(c: Column, most: int) -> Column:
 
 
 def shorten_sentence(c: Column, most: int) -> Column:
-    flat = _flat(c)
-    return sentence_end(F.when(F.length(flat) <= most, flat).otherwise(_clipped(flat, most)))
+    return let(let(_flat(c), lambda flat: F.when(F.length(flat) <= most, flat).otherwise(_clipped(flat, most))), sentence_end)
 
 
 def shorten_to_sentences(c: Column, most: int) -> Column:
@@ -258,8 +256,8 @@ NOTE = r"(?i)\b(should be classified under|classified under|remain in heading|do
 
 def classification_note(c: Column) -> Column:
     """The first sentence that says where something belongs, shortened when it is long."""
-    s = F.get(F.filter(T.sentences(retrieved_text(c)), lambda x: x.rlike(NOTE)), F.lit(0))
-    return F.when(F.length(s) <= 220, s).otherwise(shorten_sentence(s, 180))
+    note = F.get(F.filter(T.sentences(retrieved_text(c)), lambda x: x.rlike(NOTE)), F.lit(0))
+    return let(note, lambda s: F.when(F.length(s) <= 220, s).otherwise(shorten_sentence(s, 180)))
 
 
 def strip_codes(c: Column, allowed: Column) -> Column:

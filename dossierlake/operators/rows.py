@@ -16,5 +16,8 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows dealt by their keys: a table of short rows is a few megabytes in one or two splits, whatever is made of each row."""
-    return df.repartition(*keys)
+    """The rows dealt by their keys: a table of short rows is a few megabytes in one or two splits, whatever is made of each row.
+
+    The number of partitions is the session's; without one they would be merged again by their bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossierlake.functions import forms as X
 from dossierlake.functions import text as T
 from dossierlake.operators import integrity
+from dossierlake.operators.rows import spread
 from dossierlake.plans import duck as D
 from dossierlake.plans.text import joined
 from dossierlake.registry import query
@@ -22,7 +23,7 @@ _RAW = "'## ' || title || ' — “Đất” Cà-phê_x..y ‘' || text || ' [1.
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = part_sections(spark, sf_dir)
+    s = spread(part_sections(spark, sf_dir), "section_id")
     return s.select("section_id", F.concat(F.lit("## "), "title", F.lit(" — “Đất” Cà-phê_x..y ‘"), "text", F.lit(" [1.5-2 kg] higher longest code 12 -- 3.5.")).alias("raw"))
 
 
@@ -116,7 +117,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat(F.lit("Tell me: Green "), "p_name", F.lit(' in "'), "p_brand", F.lit('" longer in size than '), F.lower("p_type"), F.lit(" and Coffea arabica?"))
     second = F.concat(F.lit("Which Robusta beans are sweeter than red "), "p_name", F.lit(" with ‘"), "p_brand", F.lit("’"))
     q = F.when(k == 0, first).when(k == 1, second).when(k == 2, F.concat(F.lit("mã của "), "p_name")).otherwise(F.concat(F.lit("12 / "), F.col("p_size").cast("string")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), q.alias("question"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("query_id"), q.alias("question"))
 
 
 _STARTS = _in(X.QUESTION_STARTERS)
@@ -154,7 +155,7 @@ _MD = "'## ' || section || chr(10) || '![a](b.png)' || chr(10) || '<!-- x' || ch
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.lit("\n")
     md = F.concat(F.lit("## "), "section", n, F.lit("![a](b.png)"), n, F.lit("<!-- x"), n, F.lit("y --> "), "text", n, F.lit("*Caption: The "), "title", F.lit("*"), n, F.lit("(Source: book)"), n, F.lit("It is of use. Goods of "), F.lower("title"), F.lit(" should be classified under "), "hs_code", F.lit(" if dry and clean. Codes 1234.56.78 do not apply. <doc=a.pdf;page=1>"), n, n, F.lit("Nguồn: x"))  # noqa: E501
-    return part_sections(spark, sf_dir).select("section_id", "section", "title", "hs_code", "text", md.alias("md"))
+    return spread(part_sections(spark, sf_dir), "section_id").select("section_id", "section", "title", "hs_code", "text", md.alias("md"))
 
 
 _CLEAN = D.flat(_sub(_sub(_sub(_sub(_sub("md", "(?m)^#{1,6}\\s+.*$", ""), "!\\[[^\\]]*\\]\\([^)]+\\)", ""), "(?s)<!--.*?-->", ""), "(?im)^\\*Caption:\\s*[^*]+\\*$", ""), "(?im)^\\(Source:[^)]+\\)$", ""))

@@ -3,7 +3,7 @@
 import pytest
 
 from dossierlake.operators import retrieval, sections
-from dossierlake.plans import passages, qa, rank
+from dossierlake.plans import forms, passages, qa, rank
 from dossierlake.sources.tables import part_sections
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +53,10 @@ def test_texts_of_blocks_are_told_once(spark, name, told):
     shown = getattr(passages, name)(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert {x: shown.count(x) for x in told} == told
     assert "RepartitionByExpression [section_id" in shown
+
+
+@pytest.mark.parametrize("name", ["text_forms", "token_sets", "question_names", "section_answers"])
+def test_texts_made_of_short_rows_are_spread(spark, name):
+    """Parts are a few megabytes in one split; adaptive execution merges partitions by bytes unless their number is given."""
+    lines = plan(getattr(forms, name)(spark, SF))
+    assert any("REPARTITION_BY_NUM" in x for x in lines)
