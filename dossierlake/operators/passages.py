@@ -100,7 +100,7 @@ def answer_blocks(sections: DataFrame) -> DataFrame:
 def signals(asked: DataFrame) -> DataFrame:
     """The questions with what blocks are scored by: local tokens without those of contrasts, phrases, ranges, the field that is asked for."""
     q = asked.withColumns({"_n": T.normalize_search(F.col("question")), "_f": X.field_form(F.col("question")), "_t": X.field_tokens(F.col("question"))})
-    q = once(q.withColumn("_g", P.field_groups(F.col("_f"), F.col("_t"))), {"field": P.requested_field(F.col("_g")), "tokens": X.local_tokens(F.col("question"))})
+    q = q.withColumn("_g", P.field_groups(F.col("_f"), F.col("_t"))).withColumns({"field": P.requested_field(F.col("_g")), "tokens": X.local_tokens(F.col("question"))})
     baseline = X.baseline_tokens(F.col("_n"))
     phrases = F.filter(F.transform(T.useful_phrases(T.meaningful_tokens(F.col("question")), F.col("_n")), X.local_form), lambda p: F.length(p) >= 6)
     ranges = F.transform(T.numeric_ranges(F.col("question")), X.local_form)
