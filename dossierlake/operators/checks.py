@@ -49,12 +49,46 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least == 0, 0).otherwise(F.floor(1000 * F.size(F.array_intersect(a, b)) / least)).cast("long")
 
 
-def aligned(spans: DataFrame, units: DataFrame) -> DataFrame:
-    """Scores of spans against the units they share a token with: equality, containment, shared tokens, pairs and numbers."""
-    token = lambda df, key: df.select(key, F.explode("tokens").alias("token"))
-    met = token(spans, "span_id").join(token(units, "unit_id"), "token").select("span_id", "unit_id").distinct()
-    d = met.join(spans.withColumnsRenamed({"tokens": "a", "text": "ta"}), "span_id").join(units.withColumnsRenamed({"tokens": "b", "text": "tb"}), "unit_id")
+def _met(texts: DataFrame, units: DataFrame, *keys: str) -> DataFrame:
+    """The keys of texts, token and unit_id of every token that a text shares with a unit."""
+    token = lambda df, *key: df.select(*key, F.explode("tokens").alias("token"))
+    return token(texts.withColumn("_tokens", F.col("tokens")), *keys, "_tokens").join(token(units, "unit_id"), "token").withColumnRenamed("_tokens", "a")
+
+
+def _each_span(spans: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """What was found for a text, for every span that has it; by the size of their files spans would look small enough to be broadcast."""
+    same = F.col("tokens") == F.col("a")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return spans.join(found.hint("merge"), same)
+
+
+def overlaps(spans: DataFrame, units: DataFrame) -> DataFrame:
+    """span_id, unit_id and overlap of spans and the units they share a token with; equal token sets are held against units once."""
+    sizes = units.select(F.col("unit_id").alias("unit_id_"), F.size("tokens").alias("n"))
+    met = _met(spans.select("tokens").distinct(), units).groupBy("a", "unit_id").agg(F.count(F.lit(1)).alias("both"))
+    found = met.join(sizes, F.col("unit_id") == F.col("unit_id_")).select("a", "unit_id", F.floor(1000 * F.col("both") / F.least(F.size("a"), "n")).cast("long").alias("overlap"))
+    return _each_span(spans, found).select("span_id", "unit_id", "overlap")
+
+
+def _scored_texts(spans: DataFrame, units: DataFrame) -> DataFrame:
+    """text_, its tokens a, unit_id and score: equality, containment, shared tokens, pairs and numbers."""
+    texts = spans.select("text", "tokens").distinct().withColumnRenamed("text", "text_")
+    met = _met(texts, units, "text_").select("text_", "a", "unit_id").distinct()
+    d = met.join(units.withColumnsRenamed({"tokens": "b", "text": "tb"}), "unit_id")
     pairs = lambda x: T.ngrams(F.col(x), 2)
     digits = lambda x: F.filter(x, lambda t: t.rlike(r"\d"))
-    score = F.when(F.col("ta") == F.col("tb"), 80000).when(F.contains(F.col("tb"), F.col("ta")), 58000).otherwise(0) + 34 * overlap(F.col("a"), F.col("b")) + 34 * overlap(pairs("a"), pairs("b")) + 26 * overlap(digits("a"), digits("b"))
-    return d.select("span_id", "unit_id", score.cast("long").alias("score"))
+    score = F.when(F.col("text_") == F.col("tb"), 80000).when(F.contains(F.col("tb"), F.col("text_")), 58000).otherwise(0) + 34 * overlap(F.col("a"), F.col("b")) + 34 * overlap(pairs("a"), pairs("b")) + 26 * overlap(digits("a"), digits("b"))
+    return d.select("text_", "a", "unit_id", score.cast("long").alias("score"))
+
+
+def aligned(spans: DataFrame, units: DataFrame) -> DataFrame:
+    """Scores of spans against the units they share a token with; equal texts are scored once."""
+    return _each_span(spans, _scored_texts(spans, units), "text").select("span_id", "unit_id", "score")
+
+
+def best_aligned(spans: DataFrame, units: DataFrame, least: int) -> DataFrame:
+    """The best unit of each span that scores `least` or more, the smaller unit_id on ties; told for each text first."""
+    top = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "unit_id"))).filter("_n = 1").drop("_n")
+    found = top(_scored_texts(spans, units).filter(F.col("score") >= least), "text_", "a")
+    return top(_each_span(spans, found, "text").select("span_id", "unit_id", "score"), "span_id")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dossierlake.functions import text as T
-from dossierlake.operators import checks, corpus
+from dossierlake.operators import checks
+from dossierlake.operators.rows import spread
 from dossierlake.plans import duck as D
 from dossierlake.registry import query
 from dossierlake.sources.tables import part_sections, part_sections_sql, table
@@ -127,7 +128,7 @@ def eval_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans_and_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("span_id"), T.normalize_search(F.col("p_name")).alias("text"))
+    names = spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("span_id"), T.normalize_search(F.col("p_name")).alias("text"))
     titles = table(spark, sf_dir, "part").select("p_name").distinct().select(F.md5("p_name").alias("unit_id"), T.normalize_search(F.concat(F.lit("the "), F.col("p_name"), F.lit(" 20 cm"))).alias("text"))
     with_tokens = lambda df: df.withColumn("tokens", F.array_distinct(F.filter(T.raw_tokens(F.col("text")), lambda t: F.length(t) > 1)))
     return with_tokens(names), with_tokens(titles)
@@ -153,10 +154,7 @@ FROM sp JOIN un ON len(list_intersect(a, b)) > 0)"""
 
 @query("overlap_coefficient_pairs", f"WITH {ALIGNED} SELECT span_id, unit_id, {_overlap('a', 'b')} AS overlap FROM sp JOIN un ON len(list_intersect(a, b)) > 0")
 def overlap_coefficient_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans, units = spans_and_units(spark, sf_dir)
-    each = lambda df, key: df.select(key, F.size("tokens").alias(f"n_{key}"), F.explode("tokens").alias("token"))
-    met = each(spans, "span_id").join(each(units, "unit_id"), "token")
-    return met.groupBy("span_id", "unit_id").agg(F.floor(1000 * F.count(F.lit(1)) / F.least(F.first("n_span_id"), F.first("n_unit_id"))).cast("long").alias("overlap"))
+    return checks.overlaps(*spans_and_units(spark, sf_dir))
 
 
 @query("alignment_score", f"WITH {ALIGNED} SELECT * FROM al")
@@ -166,8 +164,7 @@ def alignment_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("align_best_match", f"WITH {ALIGNED} SELECT span_id, unit_id, score FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY score DESC, unit_id) AS n FROM al WHERE score >= 32000) WHERE n = 1")
 def align_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = checks.aligned(*spans_and_units(spark, sf_dir)).filter("score >= 32000")
-    return corpus.first_wins(scored.withColumn("least", -F.col("score")), ["span_id"], ["least", "unit_id"]).drop("least")
+    return checks.best_aligned(*spans_and_units(spark, sf_dir), 32000)
 
 
 _FIELDS = "(SELECT section_id, string_split(text, '. ') AS x FROM (" + SECTIONS + "))"

@@ -2,7 +2,8 @@
 
 import pytest
 
-from dossierlake.operators import retrieval, sections
+from dossierlake.operators import checks, retrieval, sections
+from dossierlake.plans import checks as checked
 from dossierlake.plans import forms, passages, qa, rank
 from dossierlake.sources.tables import part_sections
 
@@ -60,3 +61,23 @@ def test_texts_made_of_short_rows_are_spread(spark, name):
     """Parts are a few megabytes in one split; adaptive execution merges partitions by bytes unless their number is given."""
     lines = plan(getattr(forms, name)(spark, SF))
     assert any("REPARTITION_BY_NUM" in x for x in lines)
+
+
+@pytest.mark.parametrize("name", ["alignment_score", "align_best_match", "overlap_coefficient_pairs"])
+def test_equal_texts_are_aligned_once(spark, name):
+    """Spans are dealt before they are worked on, none is broadcast, and it is texts that meet units."""
+    lines = plan(getattr(checked, name)(spark, SF))
+    assert any("REPARTITION_BY_NUM" in x for x in lines)
+    for i in [i for i, x in enumerate(lines) if "BroadcastExchange" in x]:
+        assert not any("span_id" in x for x in below(lines, i))
+    generated = [x for x in lines if "Generate explode" in x]
+    assert generated and not any("span_id" in x for x in generated)
+
+
+def test_spans_of_one_id_are_aligned_by_their_own_rows(spark):
+    spans = spark.createDataFrame([(1, "red bolt", ["red", "bolt"]), (1, "red bolt", ["red", "bolt"]), (1, "red", ["red"]), (2, "", [])], "span_id long, text string, tokens array<string>")
+    units = spark.createDataFrame([("u", "the red bolt", ["the", "red", "bolt"]), ("v", "red", ["red"])], "unit_id string, text string, tokens array<string>")
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    assert got(checks.aligned(spans, units)) == sorted([(1, "u", 126000), (1, "v", 34000)] * 2 + [(1, "u", 92000), (1, "v", 114000)])
+    assert got(checks.best_aligned(spans, units, 32000)) == [(1, "u", 126000)]
+    assert got(checks.overlaps(spans, units)) == sorted([(1, "u", 1000), (1, "v", 1000)] * 3)
