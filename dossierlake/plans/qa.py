@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
 from dossierlake.operators import ranking, retrieval
+from dossierlake.operators.rows import spread
 from dossierlake.plans import duck as D
 from dossierlake.registry import query
 from dossierlake.sources.tables import part_sections, part_sections_sql, table
@@ -72,7 +73,7 @@ INDEX = "idx AS (SELECT section_id, field, token, count(*) AS tf FROM (" + " UNI
 
 @query("inverted_index", f"WITH {FIELDS}, {INDEX} SELECT field, token, count(*) AS n_sections, CAST(sum(tf) AS BIGINT) AS n FROM idx GROUP BY ALL")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = retrieval.inverted_index(retrieval.search_fields(part_sections(spark, sf_dir)))
+    index = retrieval.inverted_index(retrieval.search_fields(spread(part_sections(spark, sf_dir), "section_id")))
     return index.groupBy("field", "token").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("tf").alias("n"))
 
 

@@ -81,3 +81,9 @@ def test_spans_of_one_id_are_aligned_by_their_own_rows(spark):
     assert got(checks.aligned(spans, units)) == sorted([(1, "u", 126000), (1, "v", 34000)] * 2 + [(1, "u", 92000), (1, "v", 114000)])
     assert got(checks.best_aligned(spans, units, 32000)) == [(1, "u", 126000)]
     assert got(checks.overlaps(spans, units)) == sorted([(1, "u", 1000), (1, "v", 1000)] * 3)
+
+
+def test_postings_are_counted_where_their_section_is(spark):
+    lines = plan(qa.inverted_index(spark, SF))
+    shuffles = [x for x in lines if " Exchange " in x]
+    assert len(shuffles) == 2 and "REPARTITION_BY_NUM" in shuffles[-1]
