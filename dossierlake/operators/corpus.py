@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dossierlake.operators.rows import spread
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of every key in the given order."""
@@ -65,7 +67,8 @@ def range_join(points: DataFrame, ranges: DataFrame, key: str, at: str, low: str
     """Points inside closed ranges of the same key: both are filed by cells of `width`, so the join is by equality."""
     cells = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     filed = points.withColumn("_cell", F.floor(F.col(at) / width))
-    return filed.join(cells, [key, "_cell"]).filter(F.col(at).between(F.col(low), F.col(high))).drop("_cell")
+    # short rows that meet in many pairs: the session's partitions share them out, none is shipped to all
+    return spread(filed, key, "_cell").join(spread(cells, key, "_cell").hint("merge"), [key, "_cell"]).filter(F.col(at).between(F.col(low), F.col(high))).drop("_cell")
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:

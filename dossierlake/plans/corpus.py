@@ -153,7 +153,7 @@ def carry_forward_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = part_sections(spark, sf_dir).withColumn("home", F.concat_ws("|", "document", "title"))
     points = s.select("home", F.col("section_id").alias("inside"), F.col("page_start").alias("page"))
-    return corpus.range_join(points, s.select("home", "section_id", "page_start", "page_end"), "home", "page", "page_start", "page_end").filter("inside <> section_id").select("section_id", "inside")
+    return corpus.range_join(points, s.select("home", "section_id", "page_start", "page_end"), "home", "page", "page_start", "page_end", width=2).filter("inside <> section_id").select("section_id", "inside")
 
 
 @query(

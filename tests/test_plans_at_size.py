@@ -4,7 +4,7 @@ import pytest
 
 from dossierlake.operators import checks, retrieval, sections
 from dossierlake.plans import checks as checked
-from dossierlake.plans import forms, passages, qa, rank
+from dossierlake.plans import corpus, forms, passages, qa, rank
 from dossierlake.sources.tables import part_sections
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +87,8 @@ def test_postings_are_counted_where_their_section_is(spark):
     lines = plan(qa.inverted_index(spark, SF))
     shuffles = [x for x in lines if " Exchange " in x]
     assert len(shuffles) == 2 and "REPARTITION_BY_NUM" in shuffles[-1]
+
+
+def test_ranges_meet_points_in_the_sessions_partitions(spark):
+    lines = plan(corpus.page_range_join(spark, SF))
+    assert not any("BroadcastExchange" in x for x in lines) and sum("REPARTITION_BY_NUM" in x for x in lines) == 2
