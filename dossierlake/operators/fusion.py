@@ -7,14 +7,18 @@ blocks, so what is folded in order is folded as one array of the page, in the JV
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from dossierlake.functions import forms
 from dossierlake.functions import geometry as G
+from dossierlake.operators.rows import once
 
 PAGE = ["document", "page"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -24,6 +28,7 @@ LEAST_LINK, LEAST_AFFINITY, DUPLICATE, BACKGROUND = 0.52, 0.62, 0.92, 0.85
 # Tolerances of rows and columns, least rows and columns, least drawings, confidences of tables.
 ROW_TOLERANCE, COLUMN_TOLERANCE, LEAST_ROWS, LEAST_COLUMNS, LEAST_DRAWINGS, APART = 8, 18, 4, 3, 12, 12
 EXPLICIT, RULED, ALIGNED = 0.95, 0.62, 0.54
+MOST_PAIRS = 1 << 20  # pairs of candidates looked at in one go
 # Patterns of lines that are or are not captions, and what a caption's words are worth.
 CODE_LINE, SOURCE_LINE, CHAPTER_LINE = r"^\d{4}\.\d{2}\.\d{2}\b", r"(?i)^\(Source:", r"(?i)^CHAPTER\s+\d+"
 FIGURE_LINE = r"(?i)^(pictures?|fig(?:ure)?|hinh|ảnh|anh)\b"
@@ -105,13 +110,19 @@ def _same_image(a: Column, b: Column) -> Column:
     return ((whole > 0) & (w * h >= DUPLICATE * whole)) | ((F.sqrt(dx * dx + dy * dy) <= 6) & alike("x") & alike("y"))
 
 
-def distinct_images(blocks: DataFrame) -> DataFrame:
-    """document, page, block_id of the images that stay: largest first, one goes if one that stays covers nearly the same place."""
+def kept_images(blocks: DataFrame) -> DataFrame:
+    """The images that stay, with what links look at: largest first, one goes if one that stays covers nearly the same place."""
     size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    images = blocks.filter("kind = 'image' AND x0 IS NOT NULL").select(*PAGE, F.struct((-size).alias("less"), "block_id", *BOX).alias("c"))
+    seen = [x for x in ("decorative", "area_ratio", "page_width", "page_height") if x in blocks.columns]
+    images = blocks.filter("kind = 'image' AND x0 IS NOT NULL").select(*PAGE, F.struct((-size).alias("less"), "block_id", *BOX, *seen).alias("c"))
     whole = images.groupBy(*PAGE).agg(F.array_sort(F.collect_list("c")).alias("all"))
     kept = _kept_in_order(F.col("all"), whole.schema["all"].dataType.simpleString(), _same_image)
-    return whole.select(*PAGE, F.explode(kept).alias("c")).select(*PAGE, F.col("c.block_id").alias("block_id"))
+    return whole.select(*PAGE, F.explode(kept).alias("c")).select(*PAGE, *[F.col(f"c.{x}").alias(x) for x in ("block_id", *BOX, *seen)])
+
+
+def distinct_images(blocks: DataFrame) -> DataFrame:
+    """document, page, block_id of the images that stay."""
+    return kept_images(blocks).select(*PAGE, "block_id")
 
 
 # -- caption candidates ----------------------------------------------------------------------------------------
@@ -125,23 +136,27 @@ def _short(c: Column) -> Column:
     return (c != "") & ~c.rlike(SOURCE_LINE) & ~c.rlike(CODE_LINE) & (F.size(F.split(c, r"\s+")) <= 25)
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is told once, however often it stands there; inside lambdas nothing else would share it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def caption_text(c: Column) -> Column:
     """What of a block's text could be a caption: the line after a code line, else its lines but chapters, sources and page numbers; empty if none or too long."""
-    lines = text_lines(c)
-    code = F.array_position(F.transform(lines, lambda x: x.rlike(CODE_LINE)), True).cast("int")
-    after = F.coalesce(F.get(lines, code), F.lit(""))
-    plain = F.filter(lines, lambda x: ~x.rlike(CHAPTER_LINE) & ~x.rlike(SOURCE_LINE) & ~x.rlike(r"^\d{1,3}$"))
-    joined = F.array_join(plain, " ")
-    return F.when(code > 0, F.when(_short(after), after).otherwise("")).when(_short(joined), joined).otherwise("")
+    said = lambda x: _let(x, lambda v: F.when(_short(v), v).otherwise(""))
+    plain = lambda lines: F.filter(lines, lambda x: ~x.rlike(CHAPTER_LINE) & ~x.rlike(SOURCE_LINE) & ~x.rlike(r"^\d{1,3}$"))
+    code = lambda lines: F.array_position(F.transform(lines, lambda x: x.rlike(CODE_LINE)), True).cast("int")
+    after = lambda lines, at: F.coalesce(F.get(lines, at), F.lit(""))
+    return _let(text_lines(c), lambda lines: _let(code(lines), lambda at: F.when(at > 0, said(after(lines, at))).otherwise(said(F.array_join(plain(lines), " ")))))
 
 
 def caption_kind(c: Column) -> Column:
-    lines = text_lines(c)
-    return (
+    kind = lambda lines: (
         F.when(F.exists(lines, lambda x: x.rlike(CODE_LINE)), "section-title")
         .when(F.exists(lines, lambda x: forms.fusion_form(x).rlike(FIGURE_LINE)), "figure-caption")
         .otherwise("generic")
     )
+    return _let(text_lines(c), kind)
 
 
 def caption_candidates(blocks: DataFrame) -> DataFrame:
@@ -151,39 +166,92 @@ def caption_candidates(blocks: DataFrame) -> DataFrame:
     between its block's and the next; if none could, or the block has one line, the block is the candidate (line null).
     """
     fit = blocks.filter("x0 IS NOT NULL AND text IS NOT NULL AND kind IN ('text', 'caption', 'unknown') AND (layout_only OR kind = 'caption')")
-    fit = fit.withColumn("own", caption_text(F.col("text"))).filter("own <> '' AND length(own) <= 500")
+    fit = once(fit, {"own": caption_text(F.col("text"))}).filter("own <> '' AND length(own) <= 500")
     lines = F.filter(F.transform("lines", lambda l, i: F.struct(i.alias("line"), caption_text(l["text"]).alias("text"), *[l[x].alias(x) for x in BOX])), lambda l: l["text"] != "")
     several = F.when(F.size("lines") > 1, lines).otherwise(F.array().cast("array<struct<line:int,text:string,x0:bigint,y0:bigint,x1:bigint,y1:bigint>>"))
     alone = F.array(F.struct(F.lit(None).cast("int").alias("line"), F.col("text").alias("text"), *BOX))
-    parts = fit.withColumn("parts", several).select(*PAGE, "block_id", "order", "avg_font_size", F.explode(F.when(F.size("parts") > 0, F.col("parts")).otherwise(alone)).alias("p"))
+    parts = once(fit, {"parts": several}).select(*PAGE, "block_id", "order", "avg_font_size", F.explode(F.when(F.size("parts") > 0, F.col("parts")).otherwise(alone)).alias("p"))
     candidate = F.concat(F.col("block_id").cast("string"), F.coalesce(F.concat(F.lit("-line-"), F.col("p.line").cast("string")), F.lit("")))
     return parts.select(*PAGE, candidate.alias("candidate"), F.col("block_id").alias("parent"), F.col("p.line").alias("line"), (F.col("order") + F.coalesce(F.col("p.line"), F.lit(0)) / 100).alias("order"), F.col("p.text").alias("text"), caption_kind(F.col("p.text")).alias("kind"), "avg_font_size", *[F.col(f"p.{x}").alias(x) for x in BOX])
 
 
+def _clusters_of(pages: np.ndarray, kind: np.ndarray, box: dict[str, np.ndarray], reach: float) -> np.ndarray:
+    """For rows whose pages (numbered) lie together: the place of the first row of each one's connected group.
+
+    Pairs are held MOST_PAIRS at a time (a row's own at least), of which those that are near stay.
+    """
+    n = len(pages)
+    first = np.searchsorted(pages, pages)  # where each row's page begins
+    many = np.searchsorted(pages, pages, "right") - first
+    ends = np.cumsum(many)
+    middle = {x: box[f"{x}0"] + np.maximum(box[f"{x}1"] - box[f"{x}0"], 0) / 2 for x in "xy"}
+    left, right, at = [], [], 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_PAIRS, "right")))
+        a = np.repeat(np.arange(at, to), many[at:to])
+        b = np.arange(len(a)) - np.repeat(ends[at:to] - many[at:to] - (ends[at - 1] if at else 0), many[at:to]) + first[a]
+        apart = lambda x: np.maximum(0, np.maximum(box[f"{x}0"][a] - box[f"{x}1"][b], box[f"{x}0"][b] - box[f"{x}1"][a]))  # noqa: B023, E731
+        near = (np.hypot(apart("x"), apart("y")) <= reach) | (np.hypot(middle["x"][a] - middle["x"][b], middle["y"][a] - middle["y"][b]) <= reach * 1.5)
+        near = (near & (kind[a] == kind[b])) | (a == b)
+        left.append(a[near])
+        right.append(b[near])
+        at = to
+    a, b = np.concatenate(left), np.concatenate(right)
+    starts = np.searchsorted(a, np.arange(n))
+    least = np.arange(n)
+    while True:  # the least place reaches a neighbour further each time, and what that one has reached
+        then = np.minimum.reduceat(least[b], starts)
+        then = then[then]
+        if (then == least).all():
+            return least
+        least = then
+
+
 def candidate_clusters(candidates: DataFrame, reach: float = SAME_CLUSTER) -> DataFrame:
-    """The candidates with `cluster`, the first candidate (by order) of the connected group of near ones of one kind on the page."""
-    numbered = candidates.withColumn("n", F.row_number().over(Window.partitionBy(*PAGE).orderBy("order", "candidate")))
-    schema = "document string, page long, n int, cluster int"
-
-    def joined(group: pa.Table) -> pa.Table:
-        box = {x: group.column(x).to_numpy().astype(float) for x in BOX}
-        n, kind = group.column("n").to_numpy(), np.array(group.column("kind").to_pylist())
-        apart = lambda a, b: np.maximum(0, np.maximum(a[:, None] - b[None, :], a[None, :] - b[:, None]))
-        middle = lambda x: box[f"{x}0"] + np.maximum(box[f"{x}1"] - box[f"{x}0"], 0) / 2
-        gap = np.hypot(apart(box["x0"], box["x1"]), apart(box["y0"], box["y1"]))
-        centers = np.hypot(middle("x")[:, None] - middle("x")[None, :], middle("y")[:, None] - middle("y")[None, :])
-        near = ((gap <= reach) | (centers <= reach * 1.5)) & (kind[:, None] == kind[None, :])
-        least = n.astype(np.int64)
-        while True:  # the least number reaches a neighbour further each time
-            then = np.where(near, least[None, :], np.iinfo(np.int64).max).min(axis=1)
-            if (then == least).all():
-                break
-            least = then
-        return pa.table({"document": group.column("document"), "page": group.column("page").cast(pa.int64()), "n": group.column("n"), "cluster": pa.array(least, pa.int32())})
-
-    found = numbered.select(*PAGE, "n", "kind", *BOX).groupBy(*PAGE).applyInArrow(joined, schema)
-    found = found.withColumnsRenamed({"document": "document_", "page": "page_", "n": "n_"})
-    return numbered.join(found, (F.col("document") == F.col("document_")) & (F.col("page") == F.col("page_")) & (F.col("n") == F.col("n_"))).drop("document_", "page_", "n_")
+    """The candidates with their number n on the page (by order) and `cluster`, the first candidate of the connected group of near ones of one kind on the page.
+
+    Pages are dealt and sorted, and worked on as many at a time as a batch brings; one that a batch cuts waits for the next.
+    Rows without a document or page are on no page.
+    """
+    schema = T.StructType([*candidates.schema.fields, T.StructField("n", T.IntegerType()), T.StructField("cluster", T.IntegerType())])
+
+    def told(rows: pa.Table, pages: np.ndarray) -> pa.RecordBatch:
+        box = {x: rows.column(x).to_numpy().astype(float) for x in BOX}
+        kind = rows.column("kind").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        cluster = _clusters_of(pages, kind, box, reach)
+        first = np.searchsorted(pages, pages)
+        out = rows.append_column("n", pa.array(np.arange(len(pages)) - first + 1, pa.int32())).append_column("cluster", pa.array(cluster - first + 1, pa.int32()))
+        return out.combine_chunks().to_batches()[0]
+
+    def numbers(rows: pa.Table) -> np.ndarray:
+        document = rows.column("document").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        page = rows.column("page").to_numpy()
+        return np.concatenate([[0], np.cumsum((document[1:] != document[:-1]) | (page[1:] != page[:-1]))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            if len(waiting) > 1 and _place(batch, -1) == _place(waiting[0], 0):
+                continue  # all of it is one page so far
+            rows = pa.Table.from_batches(waiting)
+            pages = numbers(rows)
+            whole = int(np.searchsorted(pages, pages[-1]))
+            if whole:
+                yield told(rows.slice(0, whole), pages[:whole])
+            waiting = rows.slice(whole).to_batches()
+        if waiting:
+            rows = pa.Table.from_batches(waiting)
+            yield told(rows, numbers(rows))
+
+    placed = candidates.filter("document IS NOT NULL AND page IS NOT NULL").repartition(*PAGE).sortWithinPartitions(*PAGE, "order", "candidate")
+    return placed.mapInArrow(work, schema)
+
+
+def _place(batch: pa.RecordBatch, at: int) -> tuple:
+    return tuple(batch.column(x)[at if at >= 0 else batch.num_rows + at].as_py() for x in PAGE)
 
 
 def caption_clusters(candidates: DataFrame) -> DataFrame:
@@ -203,9 +271,9 @@ def caption_clusters(candidates: DataFrame) -> DataFrame:
 
 
 def keyword_score(text: Column) -> Column:
-    plain = forms.fusion_form(text)
-    points = F.when(plain.rlike(CAPTION_WORD), 0.24).otherwise(0.0) + F.when(plain.rlike(CAPTION_NUMBER), 0.08).otherwise(0.0) + F.when(plain.rlike(PART_NAME), 0.06).otherwise(0.0) + F.when(text.rlike(ARROW), 0.08).otherwise(0.0)
-    return F.least(points, F.lit(0.34))
+    arrow = F.when(text.rlike(ARROW), 0.08).otherwise(0.0)
+    points = lambda plain: F.when(plain.rlike(CAPTION_WORD), 0.24).otherwise(0.0) + F.when(plain.rlike(CAPTION_NUMBER), 0.08).otherwise(0.0) + F.when(plain.rlike(PART_NAME), 0.06).otherwise(0.0)
+    return F.least(_let(forms.fusion_form(text), points) + arrow, F.lit(0.34))
 
 
 def font_score(size: Column, members: Column, text: Column) -> Column:
@@ -249,14 +317,16 @@ def _in_context(a: str, b: str, reach: float) -> Column:
 
 def caption_scores(images: DataFrame, clusters: DataFrame) -> DataFrame:
     """document, page, block_id, cluster, score, caption, members for each image and each cluster near it that is good enough."""
-    pairs = _prefixed(images.filter("NOT decorative AND x0 IS NOT NULL"), "a_").join(_prefixed(clusters, "b_"), PAGE).filter(_in_context("a_", "b_", REACH))
+    worded = once(clusters, {"words": keyword_score(F.col("text"))})  # once a cluster, not once a pair
+    pairs = _prefixed(images.filter("NOT decorative AND x0 IS NOT NULL"), "a_").join(_prefixed(worded, "b_"), PAGE).filter(_in_context("a_", "b_", REACH))
     gap = F.sqrt(G.gap_squared("a_", "b_"))
     w, h = F.col("a_x1") - F.col("a_x0"), F.col("a_y1") - F.col("a_y0")
     near = G.clamp(1 - gap / F.greatest(F.lit(120.0), F.sqrt((w * w + h * h).cast("double")) * 0.75), F.lit(0.0), F.lit(1.0))
-    points = near * 0.56 + keyword_score(F.col("b_text")) + direction_score("a_", "b_") + font_score(F.col("b_avg_font_size"), F.col("b_n_members"), F.col("b_text")) + symbol_score(F.col("b_text"), gap)
+    points = near * 0.56 + F.col("b_words") + direction_score("a_", "b_") + font_score(F.col("b_avg_font_size"), F.col("b_n_members"), F.col("b_text")) + symbol_score(F.col("b_text"), gap)
     passed = (F.col("b_kind") == "section-title") & (F.col("b_y0") > F.col("a_y1") + 8)
     score = F.round(F.when(passed, 0.0).otherwise(G.clamp(points, F.lit(0.0), F.lit(1.0))), 6)
-    return pairs.select(*PAGE, F.col("a_block_id").alias("block_id"), F.col("b_cluster").alias("cluster"), score.alias("score"), F.col("b_text").alias("caption"), F.col("b_members").alias("members")).filter(F.col("score") >= LEAST_LINK)
+    told = once(pairs, {"score": score})
+    return told.select(*PAGE, F.col("a_block_id").alias("block_id"), F.col("b_cluster").alias("cluster"), "score", F.col("b_text").alias("caption"), F.col("b_members").alias("members")).filter(F.col("score") >= LEAST_LINK)
 
 
 def _first(df: DataFrame, *order: Column) -> DataFrame:
@@ -274,6 +344,39 @@ def affinity(a: str, b: str) -> Column:
     return F.round(F.when(gap > GROUP_REACH, 0.0).otherwise(G.clamp(near * 0.45 + in_line * 0.35 + alike * 0.2, F.lit(0.0), F.lit(1.0))), 6)
 
 
+def _beside(images: DataFrame, other: str) -> DataFrame:
+    """The images once for every row of their array `other`, at least once: a_* is the image's own, b_* the other's."""
+    d = images.withColumn("_b", F.explode_outer(other)).drop(other)
+    own = [x for x in (*BOX, "page_width", "page_height") if x in images.columns]
+    return d.withColumns({**{f"a_{x}": F.col(x) for x in own}, **{f"b_{x}": F.col(f"_b.{x}") for x in BOX}})
+
+
+def _taken(pairs: DataFrame, images: DataFrame, fits: Column, how: str, score: Column, caption: Column, *order: Column) -> DataFrame:
+    """The images with the link to the first other that fits, as they were where none does."""
+    w = Window.partitionBy(*PAGE, "block_id", *BOX).orderBy(F.col("_fits").desc(), *[F.when(F.col("_fits"), x) for x in order])
+    d = pairs.withColumn("_fits", F.col("_b").isNotNull() & F.coalesce(fits, F.lit(False))).withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+    link = {"how": F.lit(how), "score": score, "caption": caption, "source": F.col("_b.block_id").cast("string")}
+    return d.withColumns({k: F.when(F.col("_fits"), v).otherwise(F.col(k)) for k, v in link.items()}).select(*images.columns)
+
+
+def _by_note(images: DataFrame, notes: DataFrame) -> DataFrame:
+    """Images without a link take the nearest source note in their context."""
+    by_page = notes.groupBy(*PAGE).agg(F.collect_list(F.struct("block_id", *BOX)).alias("_notes"))
+    bare = F.col("how").isNull() & F.col("shape")
+    pairs = _beside(images.join(by_page, PAGE, "left").withColumn("_notes", F.when(bare, F.col("_notes"))), "_notes")
+    return _taken(pairs, images, _in_context("a_", "b_", SOURCE_REACH), "source", F.lit(0.58), F.lit(None).cast("string"), G.gap_squared("a_", "b_"), F.col("_b.block_id"))
+
+
+def _by_peer(images: DataFrame) -> DataFrame:
+    """Images without a link take over the caption of the linked one of their page that they look most like."""
+    peer = F.struct("block_id", *BOX, "score", "caption")
+    linked = F.collect_list(F.when(F.col("how").isNotNull() & F.col("shape"), peer)).over(Window.partitionBy(*PAGE))
+    alone = F.col("how").isNull() & F.col("shape") & F.col("document").isNotNull() & F.col("page").isNotNull()
+    pairs = _beside(images.withColumn("_peers", linked).withColumn("_peers", F.when(alone, F.col("_peers"))), "_peers").withColumn("_like", affinity("a_", "b_"))
+    score = F.round(G.clamp(F.col("_b.score") * F.col("_like"), F.lit(0.0), F.lit(0.95)), 6)
+    return _taken(pairs, images, F.col("_like") >= LEAST_AFFINITY, "group", score, F.col("_b.caption"), -F.col("_like"), F.col("_b.block_id"))
+
+
 def linked_images(blocks: DataFrame, rounds: int = 1) -> DataFrame:
     """document, page, block_id, how, score, caption, source for every distinct image that is no decoration.
 
@@ -282,22 +385,13 @@ def linked_images(blocks: DataFrame, rounds: int = 1) -> DataFrame:
     whole page take part in neither of the last two. Ties go to the smaller cluster, block or image. Each round
     carries captions one image further through a group; one round is what fusion does.
     """
-    images = blocks.join(distinct_images(blocks), [*PAGE, "block_id"], "left_semi").filter("NOT decorative")
+    images = kept_images(blocks).filter("NOT decorative")
     captions = _first(caption_scores(images, caption_clusters(caption_candidates(blocks))), F.col("score").desc(), F.col("cluster"))
     captions = captions.select(*PAGE, "block_id", F.lit("caption").alias("how"), "score", "caption", F.col("members").alias("source"))
-    behind = F.coalesce(F.col("area_ratio") >= BACKGROUND, F.lit(False))
-    bare = images.join(captions, [*PAGE, "block_id"], "left_anti").filter(~behind)
+    # links are carried with the images, page by page: what finds them stands in the plan once
+    told = images.join(captions, [*PAGE, "block_id"], "left").withColumn("shape", ~F.coalesce(F.col("area_ratio") >= BACKGROUND, F.lit(False)))
     notes = blocks.filter("kind = 'text' AND x0 IS NOT NULL").filter(F.exists(text_lines(F.col("text")), lambda x: x.rlike(SOURCE_LINE)))
-    pairs = _prefixed(bare, "a_").join(_prefixed(notes.select(*PAGE, "block_id", "text", *BOX), "b_"), PAGE).filter(_in_context("a_", "b_", SOURCE_REACH))
-    pairs = pairs.select(*PAGE, F.col("a_block_id").alias("block_id"), G.gap_squared("a_", "b_").alias("gap"), F.col("b_block_id").alias("note"), F.col("b_text").alias("text"))
-    sources = _first(pairs, F.col("gap"), F.col("note")).select(*PAGE, "block_id", F.lit("source").alias("how"), F.lit(0.58).alias("score"), F.lit(None).cast("string").alias("caption"), F.col("note").cast("string").alias("source"))
-    linked = captions.unionByName(sources)
-    shapes = images.filter(~behind).select(*PAGE, "block_id", *BOX)
+    told = _by_note(told, notes)
     for _ in range(rounds):
-        peers = shapes.join(linked.withColumnRenamed("source", "from"), [*PAGE, "block_id"])
-        orphans = shapes.join(linked, [*PAGE, "block_id"], "left_anti")
-        both = _prefixed(orphans, "a_").join(_prefixed(peers, "b_"), PAGE).withColumn("likeness", affinity("a_", "b_")).filter(F.col("likeness") >= LEAST_AFFINITY)
-        both = both.select(*PAGE, F.col("a_block_id").alias("block_id"), "likeness", F.col("b_block_id").alias("peer"), F.round(G.clamp(F.col("b_score") * F.col("likeness"), F.lit(0.0), F.lit(0.95)), 6).alias("score"), F.col("b_caption").alias("caption"))
-        taken = _first(both, F.col("likeness").desc(), F.col("peer")).select(*PAGE, "block_id", F.lit("group").alias("how"), "score", "caption", F.col("peer").cast("string").alias("source"))
-        linked = linked.unionByName(taken)
-    return images.select(*PAGE, "block_id").join(linked, [*PAGE, "block_id"], "left")
+        told = _by_peer(told)
+    return told.select(*PAGE, "block_id", "how", "score", "caption", "source")

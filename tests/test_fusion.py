@@ -111,3 +111,39 @@ def test_links_of_images(spark):
     assert one[10] == "caption" and sum(v is not None for v in three.values()) >= sum(v is not None for v in one.values())
     assert all(v is not None for v in three.values())
     assert U.linked_images(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_clusters_of_pages_that_batches_cut(spark):
+    """Groups against a plain walk, with pages that arrive in several batches and pairs looked at in several goes."""
+    rng = random.Random(3)
+    rows = []
+    for d in ("a", "b"):
+        for p, n in ((1, 1), (2, 40), (3, 7)):
+            for i in range(n):
+                x, y = rng.randrange(600), rng.randrange(500)
+                rows.append((d, p, f"c{i:02d}", float(i % 5), rng.choice(["generic", "figure-caption"]), x, y, x + 30, y + 12))
+    schema = "document string, page long, candidate string, `order` double, kind string, x0 long, y0 long, x1 long, y1 long"
+    held = U.MOST_PAIRS
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "6")
+    U.MOST_PAIRS = 30
+    try:
+        got = {(r.document, r.page, r.candidate): (r.n, r.cluster) for r in U.candidate_clusters(spark.createDataFrame([*rows, (None, 1, "z", 0.0, "generic", 0, 0, 1, 1)], schema)).collect()}
+    finally:
+        U.MOST_PAIRS = held
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for page in {r[:2] for r in rows}:
+        own = sorted((r for r in rows if r[:2] == page), key=lambda r: (r[3], r[2]))
+        near = lambda a, b: a[4] == b[4] and (math.hypot(max(0, a[5] - b[7], b[5] - a[7]), max(0, a[6] - b[8], b[6] - a[8])) <= 42 or math.hypot(a[5] - b[5], a[6] - b[6]) <= 63)
+        group = list(range(len(own)))
+        for _ in own:
+            group = [min(group[j] for j, b in enumerate(own) if near(a, b)) for a in own]
+        want.update({(*page, r[2]): (i + 1, group[i] + 1) for i, r in enumerate(own)})
+    assert got == want
+
+
+def test_captions_are_found_once_for_links(spark):
+    from dossierlake.plans import figures
+
+    shown = figures.image_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("MapInArrow") == 1 and "FlatMapGroups" not in shown
