@@ -203,7 +203,7 @@ def piped_rows(sections: DataFrame) -> DataFrame:
     # a table ends at its first short line; every header above that line has it as a row
     rows = rows.withColumn("ended", F.sum("short").over(down))
     heads = rows.filter("head IS NOT NULL").select("section_id", F.col("n").alias("at"), F.col("cells").alias("columns"), F.col("ended").alias("ended_"))
-    below = rows.filter("short = 0").join(heads, "section_id").filter((F.col("n") >= F.col("at") + 2) & (F.col("ended") == F.col("ended_")))
+    below = rows.filter("short = 0").join(heads.hint("merge"), "section_id").filter((F.col("n") >= F.col("at") + 2) & (F.col("ended") == F.col("ended_")))
     named = F.filter(F.transform(F.slice("columns", 2, 1000), lambda c: F.lower(_one_space(c))), lambda c: c != "")
     values = F.filter(F.transform(F.slice("cells", 2, 1000), lambda c, i: F.struct(F.get(named, i).alias("column"), F.regexp_extract(c, NUMBER, 0).alias("raw"))), lambda v: (v["raw"] != "") & v["column"].isNotNull())
     found = below.select("section_id", F.struct(F.lit(0).alias("kind"), F.col("at").alias("at"), F.col("n").alias("n")).alias("place"), _row_label(F.col("cells")[0]).alias("label"), values.alias("values"))
@@ -215,7 +215,7 @@ def flattened_rows(asked: DataFrame, sections: DataFrame) -> DataFrame:
 
     The two columns are the kinds that question and text speak of: mature, and tender or young.
     """
-    d = asked.select("query_id", "section_id", "question").join(sections, "section_id")
+    d = asked.select("query_id", "section_id", "question").join(sections.hint("merge"), "section_id")
     said = X.local_form(F.concat_ws(" ", "question", "text"))
     d = d.withColumn("said", said).filter(F.col("said").rlike(r"\bmature\b") & F.col("said").rlike(r"\btender\s*/\s*young\b|\btender\b|\byoung\b"))
     suffix = F.when(F.col("said").rlike(r"\bcoconut\s+water\b"), " coconut water").otherwise("")
@@ -232,7 +232,8 @@ def flattened_rows(asked: DataFrame, sections: DataFrame) -> DataFrame:
 
 def table_rows(asked: DataFrame, sections: DataFrame) -> DataFrame:
     """Rows of both kinds for each question, the first of each label."""
-    piped = asked.select("query_id", "section_id").join(piped_rows(sections), "section_id").select("query_id", "section_id", "place", "label", "values")
+    sections = spread(sections, "section_id")
+    piped = asked.select("query_id", "section_id").join(piped_rows(sections).hint("merge"), "section_id").select("query_id", "section_id", "place", "label", "values")
     both = piped.unionByName(flattened_rows(asked, sections)).withColumn("form", X.local_form(F.col("label")))
     w = Window.partitionBy("query_id", "form").orderBy("place")
     return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

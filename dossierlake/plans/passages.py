@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions import forms as X
 from dossierlake.operators import passages as W
+from dossierlake.operators.rows import spread
 from dossierlake.plans import duck as D
 from dossierlake.plans.forms import _low, _tokens
 from dossierlake.plans.planning import _FIELD, _GROUPS, _ONE, _STOP
@@ -31,7 +32,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.expr("'q' || p_partkey").alias("query_id"), F.col("p_partkey").cast("string").alias("section_id"), F.expr(_ASK).alias("question"))
-    return W.signals(p)
+    return W.signals(spread(p, "section_id"))
 
 
 # -- tables: the twin reads numbers by words, not by one pattern

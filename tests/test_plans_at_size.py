@@ -92,3 +92,8 @@ def test_postings_are_counted_where_their_section_is(spark):
 def test_ranges_meet_points_in_the_sessions_partitions(spark):
     lines = plan(corpus.page_range_join(spark, SF))
     assert not any("BroadcastExchange" in x for x in lines) and sum("REPARTITION_BY_NUM" in x for x in lines) == 2
+
+
+def test_rows_of_tables_are_told_where_their_section_is(spark):
+    lines = plan(passages.answer_table_rows(spark, SF))
+    assert any("REPARTITION_BY_NUM" in x for x in lines) and not any("BroadcastExchange" in x for x in lines)
