@@ -1,5 +1,7 @@
 """Plans, fields, forms and markers on single texts."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +88,47 @@ def test_a_span_without_units_on_its_page_meets_its_document(spark):
     assert fallen[1] == (6, "fallback") and fallen[3] == (6, "fallback") and fallen[5] == (None, "none")
 
 
+@pytest.mark.parametrize(("block", "by_unit"), [(1024, False), (12, True)])
+def test_blocks_of_a_page_are_scored_as_the_whole_page(spark, monkeypatch, block, by_unit):
+    """Whatever the blocks, pairs are those of the rule, scored as text_score does, and the pairs kept for the best give the same best."""
+    monkeypatch.setattr(alignment, "BLOCK", block)
+    draw = random.Random(7)
+    words = ["tea", "green", "leaf", "10.5", "0902.10", "a", "xtea"]
+    text = lambda: draw.choice([None, "", "#", "ea le"]) if draw.random() < 0.15 else " ".join(draw.choices(words, k=draw.randint(1, 5)))
+    box = lambda: (x := draw.randint(0, 20), y := draw.randint(0, 20), x + 10, y + 5) if draw.random() < 0.8 else (None,) * 4
+    schema = "document string, page long, id long, text string, block_id long, x0 long, y0 long, x1 long, y1 long"
+    made = lambda n, at: [("d", draw.choice([1, at, None]), i, text(), draw.choice([1, 2, 9, None]), *box()) for i in range(n)]
+    spans, units = spark.createDataFrame(made(40, 2), schema), spark.createDataFrame(made(30, 3), schema)
+    blocks = spark.createDataFrame([("d", 1, 1, "x", None, 0, 0, 20, 10), ("d", 1, 2, "y", None, 10, 8, 25, 20)], schema)
+    a, b = alignment.with_terms(units if by_unit else spans, "a_"), alignment.with_terms(spans if by_unit else units, "b_")
+    b = b.withColumnRenamed("page", "b_page")
+    own = [r.page for r in b.select(F.col("b_page").alias("page")).distinct().collect() if r.page is not None]
+    same, known = F.coalesce(F.col("page") == F.col("b_page"), F.lit(False)), F.coalesce(F.col("page").isin(own), F.lit(False))
+    met = F.arrays_overlap("a_tokens", "b_tokens") | F.arrays_overlap("a_numbers", "b_numbers") | F.contains("a_form", "b_form") | F.contains("b_form", "a_form") | F.coalesce(F.col("a_block_id") == F.col("b_block_id"), F.lit(False))
+    rest = ~known & (F.col("a_form") != "") & (F.col("b_form") != "") & met
+    want = a.join(b, "document").filter((known & same) | rest).select(F.col("b_id" if by_unit else "a_id").alias("span_id"), F.col("a_id" if by_unit else "b_id").alias("unit_id"), alignment.text_score("a_", "b_").alias("least"), (F.when(same, 8).otherwise(0) + F.when(F.col("a_block_id") == F.col("b_block_id"), 12).otherwise(0)).alias("place"))
+    want = {(r.span_id, r.unit_id): r for r in want.collect()}
+    held = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    pairs = held(alignment.scored(spans, units, blocks, by_unit))
+    got = {(r.span_id, r.unit_id): r.score for r in pairs.collect()}
+    assert set(got) == set(want) and len(got) == pairs.count() > 100
+    for key, score in got.items():
+        low = want[key].least
+        assert (score is None and low is None) or (low == 0 and score == 0) or low + want[key].place - 1e-6 <= score <= low + want[key].place + 18 + 1e-6
+    sides = (units, "unit_id", "span_id") if by_unit else (spans, "span_id", "unit_id")
+    best = lambda p: sorted(map(tuple, alignment.best(sides[0], p, *sides[1:], 20).collect()), key=repr)
+    few = held(alignment.scored(spans, units, blocks, by_unit, only_best=True))
+    assert best(few) == best(pairs) and few.count() < pairs.count()
+
+
+def test_equal_beginnings_alone_are_no_meeting(spark):
+    schema = "document string, page long, id long, text string, block_id long, x0 long, y0 long, x1 long, y1 long"
+    spans = spark.createDataFrame([("d", 7, 1, "green tea", None, 0, 0, 10, 10)], schema)
+    units = spark.createDataFrame([("d", 1, 10, "greenish", None), ("d", 1, 11, "tea", None)], "document string, page long, id long, text string, block_id long")
+    blocks = spans.filter("id < 0")
+    assert [(r.span_id, r.unit_id) for r in alignment.scored(spans, units, blocks).collect()] == [(1, 11)]
+
+
 def test_only_contenders_are_scored_and_the_best_stay_the_same(spark):
     sections = spark.createDataFrame([(i, "d", "C 1", f"0000.00.{i % 100:02d}", f"tea {'green tea ' * (i % 50)}", f"tea number {i}", "s", f"green tea of kind {i % 7} under 20 cm") for i in range(200)], "section_id long, document string, chapter string, hs_code string, title string, section string, source string, text string")
     queries = retrieval.signals(spark.createDataFrame([("q", "green tea of kind 3 under 20 cm"), ("r", "tea")], "query_id string, question string"))
