@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierlake.functions import forms as X
+from dossierlake.operators.rows import once
 
 # Lengths, and labels before which a source is split.
 MOST_EXCERPT, MOST_LINK, LEAST_PHRASE, LEAST_CHUNK = 520, 360, 24, 12
@@ -28,26 +29,26 @@ def source_chunks(c: Column) -> Column:
     """Lines and sentences of twelve characters and more; the whole text where there are none."""
     parts = F.split(F.regexp_replace(c, rf"(?i)\s+(?=(?:{LABELS})\s*:)", "\n"), r"\n+|(?<=[.!?])\s+(?=[A-Z0-9])")
     kept = F.filter(F.transform(parts, lambda p: source_form(p)), lambda p: F.length(p) >= LEAST_CHUNK)
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(c))
+    return X.let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(c)))
 
 
 def truncated(c: Column, most: int) -> Column:
-    x = source_form(c)
-    return F.when(F.length(x) <= most, x).otherwise(F.concat(_trim(F.regexp_replace(F.left(x, F.lit(most)), r"\s+\S*$", "")), F.lit("...")))
+    cut = lambda x: F.concat(_trim(F.regexp_replace(F.left(x, F.lit(most)), r"\s+\S*$", "")), F.lit("..."))
+    return X.let(source_form(c), lambda x: F.when(F.length(x) <= most, x).otherwise(cut(x)))
 
 
 def with_excerpts(rows: DataFrame, source: str = "source", answer: str = "answer") -> DataFrame:
     """The rows with excerpt: the longest chunk of the answer that the source holds word for word, else the chunk of the
     source that shares the most tokens with the answer (the first on ties), else the source's first chunk; shortened."""
-    laid = rows.withColumns({"_clean": source_form(F.col(source)), "_asked": F.coalesce(F.col(answer), F.lit(""))})
-    laid = laid.withColumns({"_lower": F.lower("_clean"), "_chunks": source_chunks(F.col("_clean")), "_said": F.array_distinct(X.source_tokens(F.col("_asked"))), "_parts": F.transform(source_chunks(F.col("_asked")), lambda p: source_form(p))})
-    exact = F.filter("_parts", lambda p: (F.length(p) >= LEAST_PHRASE) & F.contains(F.col("_lower"), F.lower(p)))
+    laid = once(rows, {"_clean": source_form(F.col(source)), "_asked": F.coalesce(F.col(answer), F.lit(""))})
+    laid = once(laid, {"_lower": F.lower("_clean"), "_chunks": source_chunks(F.col("_clean")), "_said": F.array_distinct(X.source_tokens(F.col("_asked"))), "_parts": source_chunks(F.col("_asked"))})
+    exact = F.filter(F.transform("_parts", lambda p: source_form(p)), lambda p: (F.length(p) >= LEAST_PHRASE) & F.contains(F.col("_lower"), F.lower(p)))
     longest = F.array_min(F.transform(exact, lambda p, i: F.struct((-F.length(p)).alias("less"), i.alias("i"), p.alias("text"))))["text"]
-    scored = F.transform("_chunks", lambda t, i: F.struct((-F.size(F.array_intersect(F.array_distinct(X.source_tokens(t)), F.col("_said")))).alias("less"), i.alias("i"), t.alias("text")))
+    scored = F.transform("_chunks", lambda t, i: F.struct((-F.size(F.array_intersect(X.source_tokens(t), F.col("_said")))).alias("less"), i.alias("i"), t.alias("text")))
     best = F.when((F.btrim("_asked") == "") | (F.size("_said") == 0), F.col("_chunks")[0]).otherwise(F.array_min(scored)["text"])
-    laid = laid.withColumns({"_exact": longest, "_best": best})
-    excerpt = F.when(F.col("_clean") == "", "").otherwise(truncated(F.coalesce("_exact", "_best"), MOST_EXCERPT))
-    return laid.withColumn("excerpt", excerpt).drop("_clean", "_asked", "_lower", "_chunks", "_said", "_parts", "_exact", "_best")
+    # chunks are only counted where no part of the answer stands there as it is
+    excerpt = F.when(F.col("_clean") == "", "").otherwise(truncated(F.coalesce(longest, best), MOST_EXCERPT))
+    return once(laid, {"excerpt": excerpt}).drop("_clean", "_asked", "_lower", "_chunks", "_said", "_parts")
 
 
 def escaped(c: Column) -> Column:

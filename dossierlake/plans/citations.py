@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions import forms as X
 from dossierlake.operators import citations
+from dossierlake.operators.rows import spread
 from dossierlake.plans.forms import _low, _search_form, _sub
 from dossierlake.registry import query
 from dossierlake.sources.tables import part_sections, part_sections_sql, table
@@ -15,7 +16,7 @@ _ANSWER = "CASE doc_id % 4 WHEN 0 THEN translate(substr(text, 21, 60), 'aeinrst'
 
 
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source"), F.expr(_ANSWER).alias("answer"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.col("text").alias("source"), F.expr(_ANSWER).alias("answer"))
 
 
 _TRIM = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"

@@ -4,7 +4,7 @@ import pytest
 
 from dossierlake.operators import checks, retrieval, sections
 from dossierlake.plans import checks as checked
-from dossierlake.plans import corpus, forms, passages, qa, rank
+from dossierlake.plans import citations, corpus, forms, passages, qa, rank
 from dossierlake.sources.tables import part_sections
 
 SF = "/root/testdata/sf0.001"
@@ -97,3 +97,11 @@ def test_ranges_meet_points_in_the_sessions_partitions(spark):
 def test_rows_of_tables_are_told_where_their_section_is(spark):
     lines = plan(passages.answer_table_rows(spark, SF))
     assert any("REPARTITION_BY_NUM" in x for x in lines) and not any("BroadcastExchange" in x for x in lines)
+
+
+@pytest.mark.parametrize("name", ["source_excerpts", "source_marks"])
+def test_chunks_of_sources_are_told_once(spark, name):
+    """Once for the source and once for the answer, and documents of one split are spread."""
+    found = getattr(citations, name)(spark, SF)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(?=(?:Appearance|") == 2
+    assert any("REPARTITION_BY_NUM" in x for x in plan(found))
