@@ -130,11 +130,20 @@ def scored_passages(asked: DataFrame, passages: DataFrame) -> DataFrame:
     Phrases, tokens (long ones and numbers more) and ranges that stand there count, and the field that is asked for; long
     tokens that are missing count against it beyond the few that are allowed.
     """
+    # neither side is broadcast: questions and passages may both be as many as the sections
+    return _scored(_with_field(asked).join(_with_label(passages).hint("merge"), "section_id"))
+
+
+def _with_label(passages: DataFrame) -> DataFrame:
+    """The passages with form and tokens, and those of their label, before questions meet them."""
     laid = passages.withColumn("_form", X.local_form(F.concat_ws(" ", "heading", "text")))
     laid = laid.withColumns({"_tokens": X.local_tokens(F.col("_form")), "_label": F.when(F.col("heading") != "", F.col("heading")).otherwise(F.col("text"))})
     laid = laid.withColumns({"_label_form": X.field_form(F.col("_label")), "_label_tokens": X.local_tokens(F.col("_label")), "_label_words": X.field_tokens(F.col("_label"))})
-    laid = laid.withColumn("_label_groups", P.field_groups(F.col("_label_form"), F.col("_label_words")))
-    d = _with_field(asked).join(laid, "section_id")
+    return laid.withColumn("_label_groups", P.field_groups(F.col("_label_form"), F.col("_label_words")))
+
+
+def _scored(d: DataFrame) -> DataFrame:
+    """Rows of _with_field and _with_label, with score instead of what these have laid down."""
     distinct = lambda t: (F.length(t) >= 5) | t.rlike(r"\d")
     total = lambda items, points: F.aggregate(items, F.lit(0.0), lambda a, x: a + points(x))
     d = d.withColumn("_overlap", F.when(F.col("field").isNotNull(), field_overlap(F.col("_label_form"), F.col("_label_tokens"), F.col("_label_groups"))))
@@ -167,15 +176,18 @@ def focused_answers(best: DataFrame, most: int = MOST_CHARS) -> DataFrame:
     asked for or nothing in it stands out. Blocks below LEAST_BLOCK give no answer."""
     good = best.filter(F.col("score") >= LEAST_BLOCK)
     whole = F.when((F.col("kind") == "heading") & (F.col("heading") != ""), F.concat("heading", F.lit(": "), "text")).otherwise(F.col("text"))
-    good = good.withColumn("whole", whole)
-    chunked = good.filter("field IS NULL").select("query_id", "section_id", "question", "field", "tokens", "phrases", "ranges", F.col("heading").alias("above"), evidence_chunks(F.col("whole")).alias("chunks")).filter(F.size("chunks") > 1)
-    asked = chunked.select(F.concat("section_id", F.lit("/"), "query_id").alias("section_id"), "query_id", "question", "field", "tokens", "phrases", "ranges")
-    pieces = chunked.select(F.concat("section_id", F.lit("/"), "query_id").alias("section_id"), F.col("above").alias("heading"), F.lit("paragraph").alias("kind"), F.posexplode("chunks").alias("place", "text"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "place")
-    two = scored_passages(asked, pieces).filter(F.col("score") >= LEAST_CHUNK).withColumn("_n", F.row_number().over(w)).filter("_n <= 2")
-    told = two.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("told"))
-    out = good.join(told, "query_id", "left")
-    return out.select("query_id", "score", F.when(F.col("score") >= HIGH_BLOCK, "high").otherwise("medium").alias("confidence"), answer_text(F.coalesce("told", "whole"), most).alias("answer"))
+    # the block and what it was chosen by go along with its chunks, so that it is worked out once
+    good = once(good.withColumn("block_score", F.col("score")), {"whole": whole})
+    good = once(good, {"chunks": F.when(F.col("field").isNull() & F.col("query_id").isNotNull(), evidence_chunks(F.col("whole")))})
+    chunks = F.when(F.size("chunks") > 1, F.col("chunks"))
+    pieces = good.select("query_id", "block_score", "whole", "field", "tokens", "phrases", "ranges", "heading", F.lit("paragraph").alias("kind"), F.posexplode_outer(chunks).alias("place", "text"))
+    scored = _scored(_with_label(_with_field(pieces)))
+    stands = F.col("place").isNotNull() & (F.col("score") >= LEAST_CHUNK)
+    found = F.collect_list(F.when(stands, F.struct((-F.col("score")).alias("less"), "place", "text")))
+    out = scored.groupBy("query_id", "block_score", "whole").agg(F.slice(F.array_sort(found), 1, 2).alias("two"))
+    told = F.array_join(F.transform(F.array_sort(F.transform("two", lambda x: F.struct(x["place"], x["text"]))), lambda x: x["text"]), " ")
+    out = once(out, {"told": F.when(F.size("two") > 0, told).otherwise(F.col("whole"))})
+    return out.select("query_id", F.col("block_score").alias("score"), F.when(F.col("block_score") >= HIGH_BLOCK, "high").otherwise("medium").alias("confidence"), answer_text(F.col("told"), most).alias("answer"))
 
 
 def definitions(sections: DataFrame, most: int = MOST_CHARS) -> DataFrame:

@@ -105,3 +105,8 @@ def test_chunks_of_sources_are_told_once(spark, name):
     found = getattr(citations, name)(spark, SF)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("(?=(?:Appearance|") == 2
     assert any("REPARTITION_BY_NUM" in x for x in plan(found))
+
+
+def test_blocks_are_scored_once_for_an_answer(spark):
+    lines = plan(passages.focused_answers(spark, SF))
+    assert sum("SortMergeJoin [section_id" in x for x in lines) == 1 and not any("BroadcastExchange" in x for x in lines)
