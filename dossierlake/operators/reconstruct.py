@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dossierlake.functions import forms as X
+from dossierlake.operators.rows import spread
 
 # Patterns of lines, and the distances within which codes and titles belong together.
 CODES, CHAPTER, SOURCE, PICTURE = r"^((?:\d{4}\.\d{2}\.\d{2}\b\s*)+)(.*)$", r"(?i)^CHAPTER\s+\d+", r"(?i)^\(Source:", r"(?i)^(pictures?|fig(?:ure)?|hinh|anh|ảnh)\b"
 TABLE_HEADERS = r"\bgaharu tree species\b|\bscientific name\s*/?\s*genus\b|\bdimension\b.*\b(color|identification)\b|\bcabbage\b.*\bdescription\b|\bbrassica\b.*\bspecies\b"
 LISTED = r"(?i)^\d+\.?\s*$|^\d+\.\s+\S+|^[ivxlcdm]+\.\s+"
 NEXT_CODE, TITLE_REACH, TITLE_LINES, CAPITALS, BODY_CAPITALS, PAGE_FOOT = 45, 140, 30, 0.6, 0.45, 650
-GRID = 50
 KEY = ["document", "page", "block_id"]
 
 
@@ -29,17 +29,17 @@ def capitals(c: Column) -> Column:
     return F.when(letters == 0, 0.0).otherwise(F.length(F.regexp_replace(c, r"\P{Lu}", "")) / letters)
 
 
-def text_lines(blocks: DataFrame) -> DataFrame:
-    """The lines of text blocks in reading order (n), each with its place in its block (i) and a box: its own, or its share of the block's."""
+def text_lines(blocks: DataFrame, *more: str) -> DataFrame:
+    """The lines of text blocks, each with its place in its block (i) and a box: its own, or its share of the block's; with more columns of the block."""
     kept = F.filter(F.transform(F.split("text", "\n"), lambda t: X.inline_form(t)), lambda t: t != "")
     b = blocks.filter("kind = 'text' AND text IS NOT NULL").withColumn("kept", kept)
     foot = F.btrim("text").rlike(r"^\d{1,3}$") & (F.col("y0") >= PAGE_FOOT)
-    each = b.filter(~F.coalesce(foot, F.lit(False))).select(*KEY, "rank", "anchored", "x0", "x1", "y0", "y1", "lines", F.size("kept").alias("of"), F.posexplode("kept").alias("i", "text"))
+    each = b.filter(~F.coalesce(foot, F.lit(False))).select(*KEY, "rank", "anchored", "x0", "x1", "y0", "y1", "lines", *more, F.size("kept").alias("of"), F.posexplode("kept").alias("i", "text"))
     height = F.greatest(F.lit(1.0), (F.col("y1") - F.col("y0")) / F.col("of"))
     own = F.get(F.col("lines"), F.col("i"))
     place = {"lx0": F.coalesce(own["x0"], F.col("x0")), "lx1": F.coalesce(own["x1"], F.col("x1")), "ly0": F.coalesce(own["y0"], F.col("y0") + height * F.col("i")), "ly1": F.coalesce(own["y1"], F.col("y0") + height * (F.col("i") + 1))}
     each = each.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in place.items()})
-    return each.select(*KEY, "rank", "i", "anchored", "text", *place)
+    return each.select(*KEY, "rank", "i", "anchored", "text", *place, *more)
 
 
 def in_reading_order(blocks: DataFrame) -> DataFrame:
@@ -48,20 +48,16 @@ def in_reading_order(blocks: DataFrame) -> DataFrame:
     down = Window.partitionBy("document", "page").orderBy(top, "block_id")
     kind = F.when(F.col("kind") == "text", 0).when(F.col("kind") == "image", 1).otherwise(2)
     order = Window.partitionBy("document").orderBy("page", "_row", F.coalesce("x0", F.lit(1e15)), kind, "order", "block_id")
-    jumps = blocks.withColumn("_jump", F.when(top - F.coalesce(F.lag(top).over(down), top) > 4, 1).otherwise(0))
+    # dealt by document at once, which the pages' windows are content with
+    jumps = spread(blocks, "document").withColumn("_jump", F.when(top - F.coalesce(F.lag(top).over(down), top) > 4, 1).otherwise(0))
     rows = jumps.withColumn("_row", F.sum("_jump").over(down))
     return rows.withColumn("rank", F.row_number().over(order)).drop("_jump", "_row")
 
 
-def inside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
-    """document, page, block_id, i of the lines whose middle lies in a table of their page; lines and tables meet in cells of the page."""
-    cell = lambda x: F.floor(x / GRID)
-    over = tables.filter("x0 IS NOT NULL").select("document", "page", *[F.col(x).cast("double").alias(f"t_{x}") for x in ("x0", "y0", "x1", "y1")])
-    over = over.withColumn("cx", F.explode(F.sequence(cell(F.col("t_x0")), cell(F.col("t_x1"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("t_y0")), cell(F.col("t_y1")))))
-    middle = lines.withColumns({"mx": (F.col("lx0") + F.col("lx1")) / 2, "my": (F.col("ly0") + F.col("ly1")) / 2})
-    met = middle.withColumns({"cx": cell(F.col("mx")), "cy": cell(F.col("my"))}).join(over, ["document", "page", "cx", "cy"])
-    held = (F.col("mx") >= F.col("t_x0")) & (F.col("mx") <= F.col("t_x1")) & (F.col("my") >= F.col("t_y0") + 2) & (F.col("my") <= F.col("t_y1"))
-    return met.filter(held).select(*KEY, "i").distinct()
+def in_tables(tables: Column) -> Column:
+    """Whether the middle of a line lies in one of the tables of its page."""
+    x, y = (F.col("lx0") + F.col("lx1")) / 2, (F.col("ly0") + F.col("ly1")) / 2
+    return F.coalesce(F.exists(tables, lambda t: (x >= t["x0"]) & (x <= t["x1"]) & (y >= t["y0"] + 2) & (y <= t["y1"])), F.lit(False))
 
 
 def _is_title(text: Column) -> Column:
@@ -75,10 +71,11 @@ def told_lines(blocks: DataFrame) -> DataFrame:
     """Every text line with what it is: codes, rest (after the codes), title (could be one), ends (no title can lie beyond it), and
     role: code, title, shared or body; group is the line number of the code line that it belongs to, in_group how many codes that has."""
     ranked = in_reading_order(blocks.filter("kind IN ('text', 'image', 'table')"))
-    lines = text_lines(ranked).withColumn("n", F.row_number().over(Window.partitionBy("document").orderBy("rank", "i")))
-    tables = ranked.filter("kind = 'table' AND coalesce(reason, '') <> 'aligned'")
-    inside = inside_tables(lines, tables).withColumn("in_table", F.lit(True))
-    d = lines.join(inside, [*KEY, "i"], "left").withColumn("in_table", F.coalesce("in_table", F.lit(False)))
+    # lines take their page's tables along, so that neither is dealt again to meet the other
+    table = F.when((F.col("kind") == "table") & (F.coalesce("reason", F.lit("")) != "aligned") & F.col("x0").isNotNull(), F.struct(*[F.col(x).cast("double").alias(x) for x in ("x0", "y0", "x1", "y1")]))
+    ranked = ranked.withColumn("_tables", F.collect_list(table).over(Window.partitionBy("document", "page")))
+    lines = text_lines(ranked, "_tables").withColumn("in_table", in_tables(F.col("_tables"))).drop("_tables")
+    d = lines.withColumn("n", F.row_number().over(Window.partitionBy("document").orderBy("rank", "i")))
     codes = F.regexp_extract_all(F.regexp_extract("text", CODES, 1), F.lit(r"\d{4}\.\d{2}\.\d{2}"), F.lit(0))
     d = d.withColumns({"codes": codes, "rest": F.btrim(F.regexp_extract("text", CODES, 2))}).withColumn("is_code", F.size("codes") > 0)
     plain, folded = X.fusion_form(F.col("text")), F.lower(F.translate("text", X.ACCENTED, X.PLAIN))
@@ -129,27 +126,28 @@ def markdown_parts(blocks: DataFrame) -> DataFrame:
     d = d.withColumns({"all_codes": F.flatten(F.transform(listed("code", F.to_json("codes")), lambda s: F.from_json(s["x"], "array<string>"))), "titles": texts(listed("title", F.col("text"))), "shared": listed("shared", F.col("text"))})
     inline = F.when(F.col("last.rest_title"), F.array(F.col("last.rest"))).otherwise(F.array().cast("array<string>"))
     title = F.array_join(F.concat(inline, F.col("titles")), " ")
-    heads = d.filter("begins").withColumn("title_", title)
     group_line = F.when(F.size("all_codes") > 1, F.array(F.concat(F.lit("Grouped HS code set: "), F.array_join("all_codes", ", "), F.lit(".")))).otherwise(F.array().cast("array<string>"))
     sources = lambda x: x.rlike(SOURCE)
     # shared lines make paragraphs between the source lines, which stand alone
     folded = F.aggregate(texts(F.col("shared")), F.array().cast("array<string>"), lambda a, x: F.when(sources(x) | (F.size(a) == 0) | sources(F.coalesce(F.get(a, F.size(a) - 1), F.lit(""))), F.concat(a, F.array(x))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), F.lit(" "), x)))))
     shared = F.when(F.size("shared") > 0, F.concat(F.array(F.lit("Shared description:")), folded)).otherwise(F.array().cast("array<string>"))
-    each = F.transform("all_codes", lambda c: F.concat(F.array(F.concat(F.lit("## "), c, F.when(F.col("title_") != "", F.concat(F.lit(" — "), F.col("title_"))).otherwise(""))), group_line, shared))
-    headed = heads.select("document", "rank", F.col("i").alias("place"), F.array_join(F.flatten(each), "\n\n").alias("text"))
+    each = F.transform("all_codes", lambda c: F.concat(F.array(F.concat(F.lit("## "), c, F.when(F.col("head_title") != "", F.concat(F.lit(" — "), F.col("head_title"))).otherwise(""))), group_line, shared))
+    # headings stand at the lines that begin a group, so they are told in the same pass as the paragraphs
+    d = d.withColumn("head_title", F.when(F.col("begins"), title)).withColumn("headed", F.when(F.col("begins"), F.array_join(F.flatten(each), "\n\n")))
     own = Window.partitionBy(*KEY).orderBy("i")
     # a paragraph is a run of body lines of a block that no code line, chapter or source line parts
-    parts = d.filter("role IN ('body', 'code')").withColumn("alone", F.col("chapter") | F.col("text").rlike(SOURCE) | F.col("begins"))
-    parts = parts.withColumn("run", F.sum((F.col("alone") | F.coalesce(F.lag("alone").over(own), F.lit(False))).cast("int")).over(own)).filter("role = 'body'")
-    shown = F.when(F.col("chapter"), F.concat(F.lit("# "), F.regexp_extract("text", CHAPTER, 0))).otherwise(F.col("text"))
-    paragraphs = parts.groupBy("document", "rank", *KEY[1:], "run").agg(F.min("i").alias("place"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", shown.alias("t")))), lambda s: s["t"]), " ").alias("text"))
+    parts = d.filter("role IN ('body', 'code')").select(*KEY, "rank", "i", "text", "role", "chapter", "begins", "headed")
+    parts = parts.withColumn("alone", F.col("chapter") | F.col("text").rlike(SOURCE) | F.col("begins"))
+    parts = parts.withColumn("run", F.sum((F.col("alone") | F.coalesce(F.lag("alone").over(own), F.lit(False))).cast("int")).over(own)).filter("role = 'body' OR begins")
+    shown = F.when(F.col("begins"), F.col("headed")).when(F.col("chapter"), F.concat(F.lit("# "), F.regexp_extract("text", CHAPTER, 0))).otherwise(F.col("text"))
+    told = parts.groupBy("document", "rank", *KEY[1:], "begins", "run").agg(F.min("i").alias("place"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", shown.alias("t")))), lambda s: s["t"]), " ").alias("text"))
     ranked = in_reading_order(blocks.filter("kind IN ('text', 'image', 'table')"))
     caption = F.coalesce("caption", F.lit(""))
     image = F.when(F.col("path").isNotNull(), F.concat(F.lit("!["), F.regexp_replace(F.when(caption != "", caption).otherwise(F.col("block_id").cast("string")), r"[\[\]]", ""), F.lit("]("), "path", F.lit(")\n\n<!-- image-id: "), F.col("block_id").cast("string"), F.lit(" -->"))).otherwise(F.concat(F.lit("<!-- image: "), F.col("block_id").cast("string"), F.lit(" -->")))
     image = F.concat(image, F.when(caption != "", F.concat(F.lit("\n\n*Caption: "), caption, F.lit("*"))).otherwise(""))
     others = ranked.filter("(kind = 'image' AND NOT decorative) OR (kind = 'table' AND btrim(coalesce(text, '')) <> '')")
     others = others.select("document", "rank", F.lit(0).alias("place"), F.when(F.col("kind") == "image", image).otherwise(F.btrim("text")).alias("text"))
-    return headed.unionByName(paragraphs.select("document", "rank", "place", "text")).unionByName(others)
+    return told.select("document", "rank", "place", "text").unionByName(others)
 
 
 def markdown(blocks: DataFrame) -> DataFrame:

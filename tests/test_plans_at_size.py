@@ -4,7 +4,7 @@ import pytest
 
 from dossierlake.operators import checks, retrieval, sections
 from dossierlake.plans import checks as checked
-from dossierlake.plans import citations, corpus, forms, passages, qa, rank
+from dossierlake.plans import citations, corpus, figures, forms, passages, qa, rank
 from dossierlake.sources.tables import part_sections
 
 SF = "/root/testdata/sf0.001"
@@ -110,3 +110,10 @@ def test_chunks_of_sources_are_told_once(spark, name):
 def test_blocks_are_scored_once_for_an_answer(spark):
     lines = plan(passages.focused_answers(spark, SF))
     assert sum("SortMergeJoin [section_id" in x for x in lines) == 1 and not any("BroadcastExchange" in x for x in lines)
+
+
+def test_lines_of_markdown_are_dealt_once(spark):
+    """By document; the pages' blocks are numbered before, and images and tables of the parts come from the blocks again."""
+    lines = plan(figures.markdown_parts(spark, SF))
+    shuffles = [x for x in lines if " Exchange " in x]
+    assert len(shuffles) <= 4 and not any("Join" in x for x in lines), shuffles
