@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +19,11 @@ from pyspark.sql.window import Window
 
 from dossierlake.functions import forms
 from dossierlake.functions import geometry as G
-from dossierlake.operators.rows import once
+from dossierlake.operators.rows import once, spread
 
 PAGE = ["document", "page"]
 BOX = ["x0", "y0", "x1", "y1"]
+Block = Column | dict[str, Column]
 # Distances, paddings and least scores of links.
 PAD_X, PAD_Y, REACH, SOURCE_REACH, SAME_CLUSTER, GROUP_REACH = 120, 140, 120, 140, 42, 96
 LEAST_LINK, LEAST_AFFINITY, DUPLICATE, BACKGROUND = 0.52, 0.62, 0.92, 0.85
@@ -41,10 +43,19 @@ def _boxed(c: Column) -> Column:
     return F.struct(*[c[x].alias(x) for x in BOX])
 
 
-def _gap(a: Column, b: Column) -> Column:
+def _columns(p: str) -> dict[str, Column]:
+    """A block given by the prefix of its columns, read like one that is a struct."""
+    return {x: F.col(f"{p}{x}") for x in (*BOX, "page_width", "page_height")}
+
+
+def _gap_squared(a: Block, b: Block) -> Column:
     dx = F.greatest(F.lit(0), a["x0"] - b["x1"], b["x0"] - a["x1"])
     dy = F.greatest(F.lit(0), a["y0"] - b["y1"], b["y0"] - a["y1"])
-    return F.sqrt(dx * dx + dy * dy)
+    return dx * dx + dy * dy
+
+
+def _gap(a: Block, b: Block) -> Column:
+    return F.sqrt(_gap_squared(a, b))
 
 
 def _kept_in_order(items: Column, kind: str, meets) -> Column:
@@ -110,14 +121,26 @@ def _same_image(a: Column, b: Column) -> Column:
     return ((whole > 0) & (w * h >= DUPLICATE * whole)) | ((F.sqrt(dx * dx + dy * dy) <= 6) & alike("x") & alike("y"))
 
 
-def kept_images(blocks: DataFrame) -> DataFrame:
-    """The images that stay, with what links look at: largest first, one goes if one that stays covers nearly the same place."""
+def _seen(blocks: DataFrame) -> list[str]:
+    return [x for x in ("decorative", "area_ratio", "page_width", "page_height") if x in blocks.columns]
+
+
+def _images_in_order(blocks: DataFrame, are: Column) -> Column:
+    """Of a page: its images, largest first."""
     size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    seen = [x for x in ("decorative", "area_ratio", "page_width", "page_height") if x in blocks.columns]
-    images = blocks.filter("kind = 'image' AND x0 IS NOT NULL").select(*PAGE, F.struct((-size).alias("less"), "block_id", *BOX, *seen).alias("c"))
-    whole = images.groupBy(*PAGE).agg(F.array_sort(F.collect_list("c")).alias("all"))
+    return F.array_sort(F.collect_list(F.when(are, F.struct((-size).alias("less"), "block_id", *BOX, *_seen(blocks)))))
+
+
+def _that_stay(whole: DataFrame, blocks: DataFrame, *more: str) -> DataFrame:
+    """The images of each page's array `all` that stay, with more of the page's columns."""
     kept = _kept_in_order(F.col("all"), whole.schema["all"].dataType.simpleString(), _same_image)
-    return whole.select(*PAGE, F.explode(kept).alias("c")).select(*PAGE, *[F.col(f"c.{x}").alias(x) for x in ("block_id", *BOX, *seen)])
+    return whole.select(*PAGE, *more, F.explode(kept).alias("c")).select(*PAGE, *more, *[F.col(f"c.{x}").alias(x) for x in ("block_id", *BOX, *_seen(blocks))])
+
+
+def kept_images(blocks: DataFrame) -> DataFrame:
+    """The images that stay, with what links look at: largest first, one goes if one that stays covers nearly the same place."""
+    images = blocks.filter("kind = 'image' AND x0 IS NOT NULL")
+    return _that_stay(images.groupBy(*PAGE).agg(_images_in_order(blocks, F.lit(True)).alias("all")), blocks)
 
 
 def distinct_images(blocks: DataFrame) -> DataFrame:
@@ -210,17 +233,19 @@ def _clusters_of(pages: np.ndarray, kind: np.ndarray, box: dict[str, np.ndarray]
 def candidate_clusters(candidates: DataFrame, reach: float = SAME_CLUSTER) -> DataFrame:
     """The candidates with their number n on the page (by order) and `cluster`, the first candidate of the connected group of near ones of one kind on the page.
 
-    Pages are dealt and sorted, and worked on as many at a time as a batch brings; one that a batch cuts waits for the next.
+    Pages are sorted by the window that numbers them, which deals them only where they do not lie together yet, and worked on as
+    many at a time as a batch brings; one that a batch cuts waits for the next.
     Rows without a document or page are on no page.
     """
-    schema = T.StructType([*candidates.schema.fields, T.StructField("n", T.IntegerType()), T.StructField("cluster", T.IntegerType())])
+    placed = candidates.withColumn("n", F.row_number().over(Window.partitionBy(*PAGE).orderBy("order", "candidate")))
+    schema = T.StructType([*placed.schema.fields, T.StructField("cluster", T.IntegerType())])
 
     def told(rows: pa.Table, pages: np.ndarray) -> pa.RecordBatch:
         box = {x: rows.column(x).to_numpy().astype(float) for x in BOX}
         kind = rows.column("kind").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
         cluster = _clusters_of(pages, kind, box, reach)
         first = np.searchsorted(pages, pages)
-        out = rows.append_column("n", pa.array(np.arange(len(pages)) - first + 1, pa.int32())).append_column("cluster", pa.array(cluster - first + 1, pa.int32()))
+        out = rows.append_column("cluster", pa.array(cluster - first + 1, pa.int32()))
         return out.combine_chunks().to_batches()[0]
 
     def numbers(rows: pa.Table) -> np.ndarray:
@@ -231,6 +256,7 @@ def candidate_clusters(candidates: DataFrame, reach: float = SAME_CLUSTER) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         for batch in batches:
+            batch = batch.filter(pc.and_(*[pc.is_valid(batch.column(x)) for x in PAGE]))  # here, since a filter would part the shuffle from that of other branches
             if not batch.num_rows:
                 continue
             waiting.append(batch)
@@ -246,7 +272,6 @@ def candidate_clusters(candidates: DataFrame, reach: float = SAME_CLUSTER) -> Da
             rows = pa.Table.from_batches(waiting)
             yield told(rows, numbers(rows))
 
-    placed = candidates.filter("document IS NOT NULL AND page IS NOT NULL").repartition(*PAGE).sortWithinPartitions(*PAGE, "order", "candidate")
     return placed.mapInArrow(work, schema)
 
 
@@ -256,7 +281,8 @@ def _place(batch: pa.RecordBatch, at: int) -> tuple:
 
 def caption_clusters(candidates: DataFrame) -> DataFrame:
     """One row a cluster: its box, its members' captions in reading order, kind of the first, mean font size, members."""
-    placed = candidate_clusters(candidates)
+    told = candidates.select(*PAGE, "candidate", "order", "text", "kind", "avg_font_size", *BOX)
+    placed = spread(candidate_clusters(told).drop("order"), *PAGE)  # by page, as what they are joined with
     own = [*PAGE, "cluster"]
     down = Window.partitionBy(*own).orderBy("y0", "x0", "n")
     new_row = (F.col("y0") - F.coalesce(F.lag("y0").over(down), F.col("y0")) > 4).cast("int")
@@ -285,14 +311,14 @@ def symbol_score(text: Column, gap: Column) -> Column:
     return F.when(gap > 100, 0.0).when(trimmed.rlike(SHORT_LABEL), 0.1).when(trimmed.rlike(LETTER_LABEL), 0.12).otherwise(0.0)
 
 
-def _overlap(a: str, b: str, x: str) -> Column:
-    a0, a1, b0, b1 = F.col(f"{a}{x}0"), F.col(f"{a}{x}1"), F.col(f"{b}{x}0"), F.col(f"{b}{x}1")
+def _overlap(a: Block, b: Block, x: str) -> Column:
+    a0, a1, b0, b1 = a[f"{x}0"], a[f"{x}1"], b[f"{x}0"], b[f"{x}1"]
     return F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0)) / F.greatest(F.lit(1), F.least(a1 - a0, b1 - b0))
 
 
 def direction_score(a: str, b: str) -> Column:
     """Where a cluster (b) stands to an image (a): below, above, beside, or on it."""
-    sideways, upright = _overlap(a, b, "x"), _overlap(a, b, "y")
+    sideways, upright = (_overlap(_columns(a), _columns(b), x) for x in "xy")
     beside = (F.col(f"{b}x1") <= F.col(f"{a}x0")) | (F.col(f"{b}x0") >= F.col(f"{a}x1"))
     return (
         F.when((F.col(f"{b}y0") >= F.col(f"{a}y1")) & (sideways >= 0.25), 0.18)
@@ -307,64 +333,80 @@ def _prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select(*PAGE, *[F.col(c).alias(f"{p}{c}") for c in df.columns if c not in PAGE])
 
 
-def _in_context(a: str, b: str, reach: float) -> Column:
+def _in_context(a: Block, b: Block, reach: float) -> Column:
     """Whether b touches a's padded box, or lies within the reach of a."""
-    x0, y0 = F.greatest(F.lit(0), F.col(f"{a}x0") - PAD_X), F.greatest(F.lit(0), F.col(f"{a}y0") - PAD_Y)
-    x1, y1 = F.least(F.col(f"{a}page_width"), F.col(f"{a}x1") + PAD_X), F.least(F.col(f"{a}page_height"), F.col(f"{a}y1") + PAD_Y)
-    touches = (x0 <= F.col(f"{b}x1")) & (x1 >= F.col(f"{b}x0")) & (y0 <= F.col(f"{b}y1")) & (y1 >= F.col(f"{b}y0"))
-    return touches | (F.sqrt(G.gap_squared(a, b)) <= reach)
+    x0, y0 = F.greatest(F.lit(0), a["x0"] - PAD_X), F.greatest(F.lit(0), a["y0"] - PAD_Y)
+    x1, y1 = F.least(a["page_width"], a["x1"] + PAD_X), F.least(a["page_height"], a["y1"] + PAD_Y)
+    touches = (x0 <= b["x1"]) & (x1 >= b["x0"]) & (y0 <= b["y1"]) & (y1 >= b["y0"])
+    return touches | (_gap(a, b) <= reach)
 
 
-def caption_scores(images: DataFrame, clusters: DataFrame) -> DataFrame:
-    """document, page, block_id, cluster, score, caption, members for each image and each cluster near it that is good enough."""
-    worded = once(clusters, {"words": keyword_score(F.col("text"))})  # once a cluster, not once a pair
-    pairs = _prefixed(images.filter("NOT decorative AND x0 IS NOT NULL"), "a_").join(_prefixed(worded, "b_"), PAGE).filter(_in_context("a_", "b_", REACH))
+def _caption_score() -> Column:
+    """The score of a cluster (b_*, with its `words`) as the caption of an image (a_*)."""
     gap = F.sqrt(G.gap_squared("a_", "b_"))
     w, h = F.col("a_x1") - F.col("a_x0"), F.col("a_y1") - F.col("a_y0")
     near = G.clamp(1 - gap / F.greatest(F.lit(120.0), F.sqrt((w * w + h * h).cast("double")) * 0.75), F.lit(0.0), F.lit(1.0))
     points = near * 0.56 + F.col("b_words") + direction_score("a_", "b_") + font_score(F.col("b_avg_font_size"), F.col("b_n_members"), F.col("b_text")) + symbol_score(F.col("b_text"), gap)
     passed = (F.col("b_kind") == "section-title") & (F.col("b_y0") > F.col("a_y1") + 8)
-    score = F.round(F.when(passed, 0.0).otherwise(G.clamp(points, F.lit(0.0), F.lit(1.0))), 6)
-    told = once(pairs, {"score": score})
-    return told.select(*PAGE, F.col("a_block_id").alias("block_id"), F.col("b_cluster").alias("cluster"), "score", F.col("b_text").alias("caption"), F.col("b_members").alias("members")).filter(F.col("score") >= LEAST_LINK)
+    return F.round(F.when(passed, 0.0).otherwise(G.clamp(points, F.lit(0.0), F.lit(1.0))), 6)
 
 
-def _first(df: DataFrame, *order: Column) -> DataFrame:
-    w = Window.partitionBy(*PAGE, "block_id").orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def _beside(images: DataFrame, clusters: DataFrame, how: str) -> DataFrame:
+    """Images (a_*) and the clusters (b_*) in their context, with their score."""
+    worded = once(clusters, {"words": keyword_score(F.col("text"))})  # once a cluster, not once a pair
+    a, b = _prefixed(images, "a_"), _prefixed(worded, "b_").withColumnsRenamed({x: f"b_{x}" for x in PAGE})
+    near = _in_context(_columns("a_"), _columns("b_"), REACH)
+    pairs = a.join(b, (F.col("document") == F.col("b_document")) & (F.col("page") == F.col("b_page")) & near, how)
+    return once(pairs, {"score": _caption_score()})
 
 
-def affinity(a: str, b: str) -> Column:
+def caption_scores(images: DataFrame, clusters: DataFrame) -> DataFrame:
+    """document, page, block_id, cluster, score, caption, members for each image and each cluster near it that is good enough."""
+    told = _beside(images.filter("NOT decorative AND x0 IS NOT NULL"), clusters, "inner")
+    return told.select(*PAGE, F.col("a_block_id").alias("block_id"), F.col("b_cluster").alias("cluster"), "score", F.col("b_text").alias("caption"), F.col("b_members").alias("members")).filter(F.col("score") >= LEAST_LINK)
+
+
+def affinity(a: Block, b: Block) -> Column:
     """How much two images look like parts of one figure: near, in line, of one size; 0 beyond GROUP_REACH."""
-    gap = F.sqrt(G.gap_squared(a, b))
+    gap = _gap(a, b)
     near = G.clamp(1 - gap / GROUP_REACH, F.lit(0.0), F.lit(1.0))
     in_line = F.greatest(_overlap(a, b, "x"), _overlap(a, b, "y"))
-    size = lambda p: F.greatest(F.lit(1), (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0")))
+    size = lambda p: F.greatest(F.lit(1), (p["x1"] - p["x0"]) * (p["y1"] - p["y0"]))
     alike = F.least(size(a), size(b)) / F.greatest(size(a), size(b))
     return F.round(F.when(gap > GROUP_REACH, 0.0).otherwise(G.clamp(near * 0.45 + in_line * 0.35 + alike * 0.2, F.lit(0.0), F.lit(1.0))), 6)
 
 
-def _beside(images: DataFrame, other: str) -> DataFrame:
-    """The images once for every row of their array `other`, at least once: a_* is the image's own, b_* the other's."""
-    d = images.withColumn("_b", F.explode_outer(other)).drop(other)
-    own = [x for x in (*BOX, "page_width", "page_height") if x in images.columns]
-    return d.withColumns({**{f"a_{x}": F.col(x) for x in own}, **{f"b_{x}": F.col(f"_b.{x}") for x in BOX}})
-
+#: The images of one number on their page, which share their link.
+_SAME_NUMBER = [*PAGE, "block_id"]
 
-def _taken(pairs: DataFrame, images: DataFrame, fits: Column, how: str, score: Column, caption: Column, *order: Column) -> DataFrame:
-    """The images with the link to the first other that fits, as they were where none does."""
-    w = Window.partitionBy(*PAGE, "block_id", *BOX).orderBy(F.col("_fits").desc(), *[F.when(F.col("_fits"), x) for x in order])
-    d = pairs.withColumn("_fits", F.col("_b").isNotNull() & F.coalesce(fits, F.lit(False))).withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-    link = {"how": F.lit(how), "score": score, "caption": caption, "source": F.col("_b.block_id").cast("string")}
-    return d.withColumns({k: F.when(F.col("_fits"), v).otherwise(F.col(k)) for k, v in link.items()}).select(*images.columns)
 
+def _noted_images(blocks: DataFrame) -> DataFrame:
+    """The images that stay and are no decoration, with their `shape` (no picture of nearly a whole page) and the nearest source note in their context.
 
-def _by_note(images: DataFrame, notes: DataFrame) -> DataFrame:
-    """Images without a link take the nearest source note in their context."""
-    by_page = notes.groupBy(*PAGE).agg(F.collect_list(F.struct("block_id", *BOX)).alias("_notes"))
-    bare = F.col("how").isNull() & F.col("shape")
-    pairs = _beside(images.join(by_page, PAGE, "left").withColumn("_notes", F.when(bare, F.col("_notes"))), "_notes")
-    return _taken(pairs, images, _in_context("a_", "b_", SOURCE_REACH), "source", F.lit(0.58), F.lit(None).cast("string"), G.gap_squared("a_", "b_"), F.col("_b.block_id"))
+    A page is one row with its images and notes, so nothing is joined and no pair is written out.
+    """
+    is_note = (F.col("kind") == "text") & F.exists(text_lines(F.col("text")), lambda x: x.rlike(SOURCE_LINE))
+    rows = blocks.filter(F.col("x0").isNotNull() & ((F.col("kind") == "image") | is_note))
+    whole = rows.groupBy(*PAGE).agg(_images_in_order(blocks, F.col("kind") == "image").alias("all"), F.collect_list(F.when(F.col("kind") == "text", F.struct("block_id", *BOX))).alias("notes"))
+    shape = ~F.coalesce(F.col("area_ratio") >= BACKGROUND, F.lit(False))
+    near = F.filter("notes", lambda n: _in_context(_columns(""), n, SOURCE_REACH))
+    nearest = F.array_min(F.transform(near, lambda n: F.struct(_gap_squared(_columns(""), n).alias("gap"), n["block_id"].alias("block_id"))))
+    placed = F.col("document").isNotNull() & F.col("page").isNotNull()
+    told = _that_stay(whole, blocks, "notes").filter("NOT decorative").withColumn("shape", shape)
+    return told.withColumn("note", F.when(F.col("shape") & placed, nearest)).drop("notes")
+
+
+def _by_caption(images: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Images with their link to the best cluster that is good enough, else to their note."""
+    pairs = _beside(images, clusters, "left")
+    pairs = pairs.select(*PAGE, *[F.col(f"a_{x}").alias(x) for x in ("block_id", *BOX, "shape", "note")], F.when(F.col("score") >= LEAST_LINK, F.struct((-F.col("score")).alias("less"), F.col("b_cluster").alias("cluster"), F.col("b_text").alias("caption"), F.col("b_members").alias("members"))).alias("link"))
+    first = Window.partitionBy(*_SAME_NUMBER, *BOX).orderBy(F.col("link").isNull(), F.col("link.less"), F.col("link.cluster"))
+    told = pairs.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    same = Window.partitionBy(*_SAME_NUMBER)  # in the order of the window before
+    told = told.withColumn("link", F.min("link").over(same))
+    told = told.withColumn("note", F.min(F.when(F.col("link").isNull(), F.col("note"))).over(same))
+    by = lambda caption, note: F.when(F.col("link").isNotNull(), caption).when(F.col("note").isNotNull(), note)
+    return told.select(*PAGE, "block_id", *BOX, "shape", by(F.lit("caption"), F.lit("source")).alias("how"), by(-F.col("link.less"), F.lit(0.58)).alias("score"), F.col("link.caption").alias("caption"), by(F.col("link.members"), F.col("note.block_id").cast("string")).alias("source"))
 
 
 def _by_peer(images: DataFrame) -> DataFrame:
@@ -372,9 +414,13 @@ def _by_peer(images: DataFrame) -> DataFrame:
     peer = F.struct("block_id", *BOX, "score", "caption")
     linked = F.collect_list(F.when(F.col("how").isNotNull() & F.col("shape"), peer)).over(Window.partitionBy(*PAGE))
     alone = F.col("how").isNull() & F.col("shape") & F.col("document").isNotNull() & F.col("page").isNotNull()
-    pairs = _beside(images.withColumn("_peers", linked).withColumn("_peers", F.when(alone, F.col("_peers"))), "_peers").withColumn("_like", affinity("a_", "b_"))
-    score = F.round(G.clamp(F.col("_b.score") * F.col("_like"), F.lit(0.0), F.lit(0.95)), 6)
-    return _taken(pairs, images, F.col("_like") >= LEAST_AFFINITY, "group", score, F.col("_b.caption"), -F.col("_like"), F.col("_b.block_id"))
+    likes = F.transform("peers", lambda p: F.struct((-affinity(_columns(""), p)).alias("less"), p["block_id"].alias("block_id"), p["score"].alias("score"), p["caption"].alias("caption")))
+    best = F.array_min(F.filter(likes, lambda p: p["less"] <= -LEAST_AFFINITY))
+    told = images.withColumn("peers", linked).withColumn("peer", F.when(alone, best)).drop("peers")
+    told = told.withColumn("peer", F.min("peer").over(Window.partitionBy(*_SAME_NUMBER)))
+    score = F.round(G.clamp(F.col("peer.score") * -F.col("peer.less"), F.lit(0.0), F.lit(0.95)), 6)
+    link = {"how": F.lit("group"), "score": score, "caption": F.col("peer.caption"), "source": F.col("peer.block_id").cast("string")}
+    return told.withColumns({k: F.when(F.col("peer").isNotNull(), v).otherwise(F.col(k)) for k, v in link.items()}).drop("peer")
 
 
 def linked_images(blocks: DataFrame, rounds: int = 1) -> DataFrame:
@@ -385,13 +431,8 @@ def linked_images(blocks: DataFrame, rounds: int = 1) -> DataFrame:
     whole page take part in neither of the last two. Ties go to the smaller cluster, block or image. Each round
     carries captions one image further through a group; one round is what fusion does.
     """
-    images = kept_images(blocks).filter("NOT decorative")
-    captions = _first(caption_scores(images, caption_clusters(caption_candidates(blocks))), F.col("score").desc(), F.col("cluster"))
-    captions = captions.select(*PAGE, "block_id", F.lit("caption").alias("how"), "score", "caption", F.col("members").alias("source"))
-    # links are carried with the images, page by page: what finds them stands in the plan once
-    told = images.join(captions, [*PAGE, "block_id"], "left").withColumn("shape", ~F.coalesce(F.col("area_ratio") >= BACKGROUND, F.lit(False)))
-    notes = blocks.filter("kind = 'text' AND x0 IS NOT NULL").filter(F.exists(text_lines(F.col("text")), lambda x: x.rlike(SOURCE_LINE)))
-    told = _by_note(told, notes)
+    # images lie by page and stay there: only what Python has told of the clusters is dealt again
+    told = _by_caption(_noted_images(blocks), caption_clusters(caption_candidates(blocks)))
     for _ in range(rounds):
         told = _by_peer(told)
     return told.select(*PAGE, "block_id", "how", "score", "caption", "source")

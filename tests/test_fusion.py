@@ -147,3 +147,10 @@ def test_captions_are_found_once_for_links(spark):
 
     shown = figures.image_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert shown.count("MapInArrow") == 1 and "FlatMapGroups" not in shown
+
+
+def test_images_of_one_number_share_their_link(spark):
+    """As joins by the block's number do: the note beside one of them, the peer of one of them."""
+    rows = [block(1, "image", (10, 10, 60, 60)), block(1, "image", (480, 600, 540, 700)), block(2, "text", (10, 70, 90, 80), "(Source: desk)"), block(3, "image", (480, 480, 540, 590))]
+    got = [tuple(r) for r in U.linked_images(frame(spark, rows)).select("block_id", "how", "source").collect()]
+    assert sorted(got) == [(1, "source", "2"), (1, "source", "2"), (3, "group", "1")]

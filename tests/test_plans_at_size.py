@@ -117,3 +117,14 @@ def test_lines_of_markdown_are_dealt_once(spark):
     lines = plan(figures.markdown_parts(spark, SF))
     shuffles = [x for x in lines if " Exchange " in x]
     assert len(shuffles) <= 4 and not any("Join" in x for x in lines), shuffles
+
+
+def test_blocks_of_pages_are_dealt_once_for_links(spark):
+    """Rows are dealt as they are read, by page, and branches share that; only clusters, told in Python, are dealt again."""
+    found = figures.image_links(spark, SF)
+    found.collect()
+    lines = plan(found)
+    final = lines[: next(i for i, x in enumerate(lines) if "Initial Plan" in x)]
+    shuffles = [x for x in final if " Exchange " in x and "ReusedExchange" not in x]
+    assert len(shuffles) == 2 and sum("ReusedExchange" in x for x in final) == 1, shuffles
+    assert not any("Generate explode(_" in x for x in final)  # pairs with notes and peers are not written out
