@@ -1,10 +1,14 @@
 """What plans ship, repeat and hold, told by the plans themselves: on small rows everything is fast."""
 
+import random
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from dossierlake.operators import checks, retrieval, sections
+from dossierlake.operators import alignment, checks, retrieval, sections
 from dossierlake.plans import checks as checked
-from dossierlake.plans import citations, corpus, figures, forms, passages, qa, rank
+from dossierlake.plans import citations, corpus, figures, forms, passages, places, qa, rank
 from dossierlake.sources.tables import part_sections
 
 SF = "/root/testdata/sf0.001"
@@ -128,3 +132,33 @@ def test_blocks_of_pages_are_dealt_once_for_links(spark):
     shuffles = [x for x in final if " Exchange " in x and "ReusedExchange" not in x]
     assert len(shuffles) == 2 and sum("ReusedExchange" in x for x in final) == 1, shuffles
     assert not any("Generate explode(_" in x for x in final)  # pairs with notes and peers are not written out
+
+
+def test_scores_of_pairs_are_rounded_where_they_are_made(spark):
+    """As Spark rounds, halves of what is written upwards, but not by writing out every number; each pair was once more work for that."""
+    shown = places.placed_alignment(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in shown and "round(" not in shown
+    draw = np.random.default_rng(3)
+    x = np.concatenate([draw.uniform(0, 250, 3000), np.round(draw.uniform(0, 250, 3000), 7), draw.integers(0, 10**6, 3000) / 4096, draw.integers(0, 10**9, 3000) / 1e7, [0.0, 5e-7, 1.5e-6, 80.0000005]])
+    x = np.concatenate([x, np.nextafter(x, 0), np.nextafter(x, 999)])
+    rows = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", F.round("x", 6).alias("r")).collect()
+    assert [r.r for r in rows] == alignment.rounded(np.array([r.x for r in rows])).tolist()
+
+
+def test_texts_that_hold_each_other_are_found(spark):
+    """By single comparisons only where the terms allow it; repeated, cut and one-letter words, and texts without terms."""
+    draw = random.Random(9)
+    words = ["bolt", "bol", "olt", "red", "a", "x", "12.5", "2.5", "é", "reds", "red.5"]
+    told = lambda n, m: spark.createDataFrame([(i, " ".join(draw.choices(words, k=draw.randint(0, m)))) for i in range(n)] + [(n, "olt red"), (n + 1, "bolt reds"), (n + 2, "é")], "id long, text string").withColumn("document", F.lit("d")).withColumn("page", F.lit(1))
+    a, b = (alignment.with_terms(told(60, m), "").cache() for m in (3, 9))
+    want = {(r.a_id, r.b_id): round(r.s, 9) for r in alignment.with_terms(a.select("document", "page", "id", "text"), "a_").join(alignment.with_terms(b.select("document", "page", "id", "text"), "b_"), ["document", "page"]).select("a_id", "b_id", F.coalesce(alignment.text_score("a_", "b_"), F.lit(0.0)).alias("s")).collect()}
+    one, two = (x.select("id", "form", "tokens", "numbers", "codes").toArrow() for x in (a, b))
+    for looked_up in (1 << 17, 0):
+        held, alignment.LOOKED_UP = alignment.LOOKED_UP, looked_up
+        try:
+            scores, _ = alignment._texts_scored(one, two)
+        finally:
+            alignment.LOOKED_UP = held
+        said = [t.column("form").to_pylist() for t in (one, two)]
+        got = {(i, j): round(float(scores[m, n]), 9) for m, i in enumerate(one.column("id").to_pylist()) for n, j in enumerate(two.column("id").to_pylist()) if said[0][m] and said[1][n]}
+        assert got == {k: want[k] for k in got} and sum(v >= 58 for v in got.values()) > 30
